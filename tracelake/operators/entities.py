@@ -19,8 +19,8 @@ GRACE_NS = 30 * NS_PER_S
 # A thread may look older than its process by less than this.
 THREAD_SLACK_NS = NS_PER_MS
 
-# Set by enrichment, unless the start rows already have them.
-_UNSET = {"service_name": "''", "pe_checksum": "0L"}
+# Columns the start rows may lack, with what they then hold until enrichment.
+_UNSET = {"parent_pid": "cast(null as bigint)", "service_name": "''", "pe_checksum": "0L"}
 
 PROGRAM = ("process_name", "service_name", "pe_checksum", "session_id")
 
@@ -48,49 +48,52 @@ def process_intervals(
 ) -> DataFrame:
     """Process instances and the time in which each one owns its pid.
 
-    ``starts``: host, seq, ts_ns, start_key, pid, process_name, session_id (parent_pid, service_name and pe_checksum optional).
-    ``ends``: host, seq, ts_ns and start_key, or pid alone if the ends carry no key.
+    ``starts``: host, seq, ts_ns, start_key, pid, process_name, session_id (parent_pid, service_name and
+    pe_checksum optional). ``ends``: host, seq, ts_ns and start_key, or pid alone if the ends carry no
+    key; they then end the instance that last started on the pid.
     An instance owns its pid from its start until the pid starts again or ``grace_ns`` after its end.
     """
     first = merge_snapshots(starts.filter(F.col("start_key").isNotNull()))
-    if "parent_pid" not in first.columns:
-        first = first.withColumn("parent_pid", F.lit(None).cast("bigint"))
-    first = neighbour_time(
-        first, ["host", "pid"], ["ts_ns", "seq"], "_next", backward=True, chunk_ns=chunk_ns
-    ).withColumn("_next", F.coalesce("_next", F.lit(OPEN_END)))
-    if "start_key" not in ends.columns:
-        owners = first.select("host", "pid", "seq", "start_key", F.col("ts_ns").alias("valid_from"), F.col("_next").alias("valid_to"))
-        ends = _own_by_order(ends, owners, chunk_ns)
-    ended = ends.groupBy("host", "start_key").agg(F.min("ts_ns").alias("end_ns"))
+    if "start_key" in ends.columns:
+        timed = _followed(first, None, "pid", chunk_ns)
+        ended = ends.groupBy("host", "start_key").agg(F.min("ts_ns").alias("end_ns"))
+        timed = timed.drop("end_ns").join(ended, ["host", "start_key"], "left")
+    else:
+        timed = _followed(first, ends, "pid", chunk_ns)
     expires = F.coalesce(F.col("end_ns") + F.lit(grace_ns), F.lit(OPEN_END))
-    return first.join(ended, ["host", "start_key"], "left").select(
+    return timed.select(
         "host",
         "pid",
         "start_key",
         "seq",
-        "parent_pid",
-        "process_name",
         *[F.col(c) if c in first.columns else F.expr(default).alias(c) for c, default in _UNSET.items()],
+        "process_name",
         normalise_session(F.col("session_id"), F.col("pid")).alias("session_id"),
         F.col("ts_ns").alias("create_ns"),
         "end_ns",
         "last_seen_ns",
         expires.alias("expires_ns"),
         F.col("ts_ns").alias("valid_from"),
-        F.least("_next", expires).alias("valid_to"),
+        F.least("next_ns", expires).alias("valid_to"),
     )
 
 
-def _own_by_order(ends: DataFrame, owners: DataFrame, chunk_ns: int) -> DataFrame:
-    """Give each pid-only end the instance that last started on its pid, by (ts_ns, seq)."""
-    rows = (
-        owners.select("host", "pid", F.col("valid_from").alias("ts_ns"), "seq", "start_key", F.lit(True).alias("is_start"))
-        .unionByName(ends.select("host", "pid", "ts_ns", "seq", F.lit(False).alias("is_start")), allowMissingColumns=True)
-    )
-    owned = fill(rows, ["host", "pid"], ["ts_ns", "seq"], {"owner": F.col("start_key")}, chunk_ns=chunk_ns)
-    return owned.filter(~F.col("is_start") & F.col("owner").isNotNull()).select(
-        "host", "ts_ns", "seq", F.col("owner").alias("start_key")
-    )
+def _followed(starts: DataFrame, ends: DataFrame | None, id_column: str, chunk_ns: int) -> DataFrame:
+    """Add to each start of an id: ``next_ns`` (its next start, or OPEN_END) and ``end_ns`` (its first end before that)."""
+    at = F.struct("ts_ns", "seq")
+    keys, order = ["host", id_column], ["ts_ns", "seq"]
+    if ends is None:
+        timed = neighbour_time(starts, keys, order, "next_ns", backward=True, chunk_ns=chunk_ns)
+        end = F.lit(None).cast("bigint")
+    else:
+        rows = starts.withColumn("_start", F.lit(True)).unionByName(
+            ends.select(*keys, *order, F.lit(False).alias("_start")), allowMissingColumns=True
+        )
+        values = {"_next": F.when(F.col("_start"), at), "_end": F.when(~F.col("_start"), at)}
+        timed = fill(rows, keys, order, values, backward=True, chunk_ns=chunk_ns).filter("_start")
+        timed = timed.withColumn("next_ns", F.col("_next.ts_ns"))
+        end = F.when(F.col("_next").isNull() | (F.col("_end") < F.col("_next")), F.col("_end.ts_ns"))
+    return timed.select(*starts.columns, F.coalesce("next_ns", F.lit(OPEN_END)).alias("next_ns"), end.alias("end_ns"))
 
 
 def thread_intervals(
@@ -108,20 +111,12 @@ def thread_intervals(
     until it starts again, ``grace_ns`` after the thread ended, or when its process expires.
     """
     tags = F.col("sub_process_tag") if "sub_process_tag" in starts.columns else F.lit(0)
-    rows = (
-        starts.select("host", "tid", "ts_ns", "seq", "pid", tags.cast("bigint").alias("sub_process_tag"), F.lit(True).alias("is_start"))
-        .unionByName(ends.select("host", "tid", "ts_ns", "seq", F.lit(False).alias("is_start")), allowMissingColumns=True)
+    rows = starts.select("host", "tid", "ts_ns", "seq", "pid", tags.cast("bigint").alias("sub_process_tag"))
+    timed = _followed(rows, ends, "tid", chunk_ns).withColumn("_probe", F.col("ts_ns") + F.lit(slack_ns - 1))
+    owned = asof_join(
+        timed, processes, ["host", "pid"], ["start_key", "expires_ns"], fact_time="_probe", chunk_ns=chunk_ns,
+        directory=starts.select("host", "pid", (F.col("ts_ns") + F.lit(slack_ns - 1)).alias("_probe")),
     )
-    started = F.when(F.col("is_start"), F.col("ts_ns"))
-    ended = F.when(~F.col("is_start"), F.col("ts_ns"))
-    timed = (
-        fill(rows, ["host", "tid"], ["ts_ns", "seq"], {"_next": started, "_end": ended}, backward=True, chunk_ns=chunk_ns)
-        .filter("is_start")
-        .withColumn("_probe", F.col("ts_ns") + F.lit(slack_ns - 1))
-    )
-    owned = asof_join(timed, processes, ["host", "pid"], ["start_key", "expires_ns"], fact_time="_probe", chunk_ns=chunk_ns)
-    # An end that follows the next start of the tid belongs to that start.
-    end = F.when(F.col("_next").isNull() | (F.col("_end") <= F.col("_next")), F.col("_end"))
     return owned.select(
         "host",
         "tid",
@@ -131,11 +126,11 @@ def thread_intervals(
         F.coalesce("start_key", F.lit(UNKNOWN_START_KEY).cast("bigint")).alias("start_key"),
         F.col("start_key").isNotNull().alias("owner_known"),
         F.col("ts_ns").alias("create_ns"),
-        end.alias("end_ns"),
+        "end_ns",
         F.col("ts_ns").alias("valid_from"),
         F.least(
-            F.coalesce("_next", F.lit(OPEN_END)),
-            F.coalesce(end + F.lit(grace_ns), F.lit(OPEN_END)),
+            "next_ns",
+            F.coalesce(F.col("end_ns") + F.lit(grace_ns), F.lit(OPEN_END)),
             F.coalesce("expires_ns", F.lit(OPEN_END)),
         ).alias("valid_to"),
     )

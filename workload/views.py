@@ -4,11 +4,14 @@ The tables hold no kernel events, so each event type stands for some classes. On
 stands for one microsecond; ``ts_ns`` is that in nanoseconds.
 """
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.units import whole
 from tracelake.operators.entities import process_intervals, thread_intervals
+from tracelake.operators.materialise import materialise
 
 HOST = "local"
 EPOCH_US = 1_704_067_200_000_000
@@ -127,14 +130,20 @@ class Trace:
     def thread_ends(self) -> DataFrame:
         return self._of("error").select("host", "seq", "ts_ns", "tid")
 
-    @property
-    def processes(self) -> DataFrame:
+    def process_plan(self) -> DataFrame:
         return process_intervals(self.process_starts, self.process_ends, GRACE_NS, CHUNK_NS)
 
-    @property
-    def threads(self) -> DataFrame:
+    def thread_plan(self) -> DataFrame:
         return thread_intervals(self.thread_starts, self.thread_ends, self.processes, GRACE_NS, chunk_ns=CHUNK_NS)
 
+    @cached_property
+    def processes(self) -> DataFrame:
+        return materialise(self.process_plan())
+
+    @cached_property
+    def threads(self) -> DataFrame:
+        return materialise(self.thread_plan())
+
     @property
     def image_loads(self) -> DataFrame:
         return self._of("signup").select(
