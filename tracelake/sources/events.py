@@ -88,14 +88,14 @@ def _little_endian(payload: Column, start: Column, width: int) -> Column:
     return F.conv(reverse, 16, -10 if width == 8 else 10).cast("bigint")
 
 
-def _read(field: Field, layout: Layout, payload: Column, pointer_bytes: Column) -> Column:
+def _read(field: Field, lenient: bool, payload: Column, pointer_bytes: Column) -> Column:
     start = F.lit(field.offset)
     if field.narrow is not None:
         start = F.when(pointer_bytes == 4, F.lit(field.narrow)).otherwise(start)
     value = _little_endian(payload, start, field.width)
-    if layout.lenient:
+    if lenient:
         value = F.when(F.length(payload) >= start + F.lit(field.width), value).otherwise(F.lit(0).cast("bigint"))
-    return value.alias(field.name)
+    return value
 
 
 def _pointer_bytes(raw: DataFrame) -> Column:
@@ -109,23 +109,37 @@ def _short(raw: DataFrame, cls: str) -> Column:
     return F.coalesce(F.length("payload"), F.lit(0)) < _last_byte(layout, _pointer_bytes(raw))
 
 
-def decode_events(raw: DataFrame, cls: str) -> DataFrame:
-    """Typed rows of one class. Payloads too short for the class are left out (see ``decode_errors``).
+def decode_events(raw: DataFrame, *classes: str) -> DataFrame:
+    """Typed rows of some classes, from one scan. Payloads too short for their class are left out (see ``decode_errors``).
 
-    Fields are independent expressions: those nobody uses are pruned from the plan.
+    Fields a class does not have are null. Fields are independent expressions: those nobody
+    uses are pruned from the plan.
     """
-    layout = LAYOUTS[cls]
-    rows = raw.filter((F.col("cls") == cls) & ~_short(raw, cls))
+    rows = raw.filter(F.col("cls").isin(*classes)).filter(~_undecodable(raw, classes))
     header = [c for c in raw.columns if c not in ("payload", "pointer_bytes")]
-    return rows.select(*header, *[_read(f, layout, F.col("payload"), _pointer_bytes(raw)) for f in layout.fields])
+    users: dict[tuple[str, Field, bool], list[str]] = {}
+    for cls in classes:
+        for field in LAYOUTS[cls].fields:
+            users.setdefault((field.name, field, LAYOUTS[cls].lenient), []).append(cls)
+    columns: dict[str, Column] = {}
+    for (name, field, lenient), having in users.items():
+        value = _read(field, lenient, F.col("payload"), _pointer_bytes(raw))
+        if len(having) < len(classes):
+            value = F.when(F.col("cls").isin(*having), value)
+        columns[name] = F.coalesce(columns[name], value) if name in columns else value
+    return rows.select(*header, *[value.alias(name) for name, value in columns.items()])
+
+
+def _undecodable(raw: DataFrame, classes: Sequence[str]) -> Column:
+    test = F.lit(False)
+    for cls in classes:
+        test = test | ((F.col("cls") == cls) & _short(raw, cls))
+    return test
 
 
 def short_payloads(raw: DataFrame) -> DataFrame:
     """Rows whose payload is too short for their class."""
-    test = F.lit(False)
-    for cls in LAYOUTS:
-        test = test | ((F.col("cls") == cls) & _short(raw, cls))
-    return raw.filter(test)
+    return raw.filter(_undecodable(raw, list(LAYOUTS)))
 
 
 def decode_errors(raw: DataFrame) -> DataFrame:

@@ -8,11 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions import micros
+from tracelake import functions as fn
+from tracelake.functions import micros, pseudo_start_key
 from tracelake.operators import attribute, entities, images, pairing, scrapes
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, LATENCY_BOUNDS_US, cumulative, histogram, merge_histograms
 from tracelake.plans import disk, interrupts, inventory, memory, network, registry_ops, threads
+from tracelake.plans.families import samples
 from tracelake.sources import dimensions
+from tracelake.sources.events import classify, decode_events
+from tracelake.sources.events import decode_errors as count_errors
+from tracelake.sources.samples import exposition, histogram_samples
 from workload import oracle as o
 from workload.views import CHUNK_NS, DAY_NS, GRACE_NS, HOST, Trace
 
@@ -544,3 +549,136 @@ def counter_snapshots_expiring(t: Trace) -> DataFrame:
     return scrapes.snapshot_counters(
         deltas, t.scrapes, ["disk"], processes=t.processes, retain_expired=False, every_scrape=True, **t.options
     )
+
+
+# Sources and samples --------------------------------------------------------------------------
+
+
+@query(o.with_(o.K, select=f"""SELECT '{HOST}' AS host, seq, pid AS header_pid, k % 4 AS disk, size, tid AS issuing_tid,
+    CASE WHEN seq % 2 = 1 THEN 'disk_write' ELSE 'disk_read' END AS cls FROM k WHERE event_type = 'purchase' AND seq % 97 <> 0"""))
+def decode_disk(t: Trace) -> DataFrame:
+    raw = classify(t.disk_payloads)
+    decoded = decode_events(raw, "disk_read", "disk_write")
+    return decoded.select("host", "seq", "header_pid", "disk", "size", "issuing_tid", "cls")
+
+
+@query(o.with_(o.K, select=f"""SELECT '{HOST}' AS host, CASE WHEN seq % 2 = 1 THEN 'disk_write' ELSE 'disk_read' END AS cls,
+    count(*) AS errors FROM k WHERE event_type = 'purchase' AND seq % 97 = 0 GROUP BY 2"""))
+def decode_errors(t: Trace) -> DataFrame:
+    return count_errors(classify(t.disk_payloads))
+
+
+ROUTED = """
+routed AS (SELECT seq, CASE event_type
+    WHEN 'click' THEN 'cswitch'
+    WHEN 'view' THEN CASE WHEN k % 20 + 10 IN (10, 26) THEN 'tcp_send' WHEN k % 20 + 10 IN (11, 27) THEN 'tcp_recv'
+        WHEN k % 20 + 10 IN (12, 28) THEN 'tcp_connect' WHEN k % 20 + 10 = 15 THEN 'tcp_accept'
+        WHEN k % 20 + 10 = 14 THEN 'tcp_retransmit' WHEN k % 20 + 10 = 17 THEN 'tcp_fail' END
+    WHEN 'purchase' THEN CASE k % 5 + 10 WHEN 10 THEN 'disk_read' WHEN 11 THEN 'disk_write' WHEN 14 THEN 'disk_flush' END
+    WHEN 'signup' THEN CASE k % 8 WHEN 1 THEN 'process_start' WHEN 2 THEN 'process_end' WHEN 3 THEN 'thread_start'
+        WHEN 4 THEN 'thread_end' WHEN 5 THEN 'image_load' WHEN 6 THEN 'image_unload' END
+    ELSE CASE WHEN k % 30 + 10 <= 33 THEN 'registry_op' END END AS cls, event_type FROM k),
+named AS (SELECT *, CASE WHEN cls LIKE 'thread%' OR event_type = 'click' THEN 'thread-kernel' WHEN cls LIKE 'image%' THEN 'image-kernel'
+    WHEN event_type = 'view' THEN 'microsoft-windows-kernel-network' WHEN event_type = 'purchase' THEN 'microsoft-windows-kernel-disk'
+    WHEN event_type = 'signup' THEN 'microsoft-windows-kernel-process' ELSE 'microsoft-windows-kernel-registry' END AS provider FROM routed)"""
+
+
+@query(o.with_(o.K, ROUTED, select=f"SELECT '{HOST}' AS host, cls, provider, count(*) AS n FROM named GROUP BY cls, provider"))
+def event_classes(t: Trace) -> DataFrame:
+    return classify(t.routed).groupBy("host", "cls", "provider").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PROVIDERS = ", ".join(f"('{p}')" for p in (
+    "microsoft-windows-kernel-disk", "microsoft-windows-kernel-process", "thread-kernel", "microsoft-windows-kernel-file",
+    "perfinfo-kernel", "system-config-kernel", "image-kernel", "pagefault-kernel", "microsoft-windows-kernel-network",
+    "microsoft-windows-kernel-registry", "microsoft-windows-kernel-eventtracing",
+))
+
+
+@query(o.with_(o.K, ROUTED, f"names(provider) AS (VALUES {_PROVIDERS})", select=f"""SELECT '{HOST}' AS host, names.provider,
+    count(named.seq) AS value FROM names LEFT JOIN named USING (provider) GROUP BY names.provider"""))
+def events_received(t: Trace) -> DataFrame:
+    return inventory.events_received(classify(t.routed))
+
+
+def _fold_sql() -> str:
+    """The 16 bytes hashed one after the other."""
+    steps = []
+    previous = "14695981039346656037::HUGEINT"
+    shifts = [("ptr", 8 * i) for i in range(8)] + [("pid", 8 * i) for i in range(4)] + [("tid", 8 * i) for i in range(4)]
+    for i, (name, shift) in enumerate(shifts):
+        steps.append(f"h{i} AS (SELECT *, (xor({previous}, (({name} >> {shift}) & 255)::HUGEINT) * 1099511628211) % 18446744073709551616 AS v{i} FROM "
+                     + ("src" if i == 0 else f"h{i - 1}") + ")")
+        previous = f"v{i}"
+    return ",".join(steps)
+
+
+@query(o.with_(o.K, "src AS (SELECT seq, pid, tid, seq % 1000 AS ptr FROM k)", _fold_sql(), select="""SELECT seq, lower(printf('%x', CAST(v15 AS UBIGINT))) AS start_key
+    FROM h15 WHERE ptr <> 0"""))
+def start_keys(t: Trace) -> DataFrame:
+    key = pseudo_start_key(F.col("pid"), F.col("tid"), F.col("seq") % 1000)
+    keyed = t.k.select("seq", key.alias("key")).filter(F.col("key").isNotNull())
+    return keyed.select("seq", F.lower(F.hex("key")).alias("start_key"))
+
+
+@query(o.with_(o.K, select="""SELECT seq, ((tid % 100) << 48) | seq AS sequence_key, ((k % 2) << 24) | ((k % 3) << 16) | (size & 65535) AS failure_key,
+    size & 65535 AS failure_code, '0x' || lower(to_hex(size)) AS label,
+    CASE WHEN k % 3 = 0 THEN 'a' || k || '.EXE' ELSE 'b' || k || '.sys' END AS base, k % 3 = 0 AS exe, k % 2 = 0 AS full_path,
+    ts_ns // 1000 AS us, ts_ns / 1000000.0::DOUBLE AS ms FROM k"""))
+def scalar_functions(t: Trace) -> DataFrame:
+    file_name = F.when(F.col("k") % 3 == 0, F.concat(F.lit("a"), F.col("k").cast("string"), F.lit(".EXE"))).otherwise(
+        F.concat(F.lit("b"), F.col("k").cast("string"), F.lit(".sys"))
+    )
+    path = F.concat(F.when(F.col("k") % 2 == 0, F.lit("C:\\x\\")).otherwise(F.lit("/y/")), file_name)
+    packed = fn.failure_key(F.col("k") % 2, F.col("k") % 3, F.col("size").bitwiseAND(F.lit(65535)))
+    return t.k.select(
+        "seq", fn.sequence_start_key(F.col("tid") % 100, F.col("seq")).alias("sequence_key"), packed.alias("failure_key"),
+        fn.unpack_failure_key(packed)["failure_code"].alias("failure_code"), fn.hex_label(F.col("size")).alias("label"),
+        fn.base_name(path).alias("base"), fn.is_exe(path).alias("exe"), fn.is_full_path(path).alias("full_path"),
+        fn.micros(F.col("ts_ns")).alias("us"), fn.millis(F.col("ts_ns")).alias("ms"),
+    )
+
+
+def _flat(samples: DataFrame) -> DataFrame:
+    """Samples with the label map as text, for comparison."""
+    pairs = F.array_sort(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return samples.select("host", "metric", F.array_join(pairs, ",").alias("labels"), F.col("value"), "kind")
+
+
+_FAULT_SAMPLES = o.with_(o.K, o.PROC, o.THREAD, o.PROGRAMS, """
+hf AS (SELECT coalesce(p.start_key, 1) AS start_key FROM k f LEFT JOIN thread p ON p.tid = f.tid AND p.valid_from <= f.ts_ns
+       AND f.ts_ns < p.valid_to WHERE f.event_type = 'error')""", select=f"""
+    SELECT '{HOST}' AS host, 'memory_hard_pagefaults_total' AS metric, '' AS labels, CAST(count(*) AS DOUBLE) AS value, 'counter' AS kind FROM hf
+    UNION ALL SELECT '{HOST}', 'memory_hard_pagefaults_per_process_total', 'pe_checksum=' || pe_checksum || ',process_name=' || process_name
+      || ',service_name=' || service_name || ',session_id=' || session_id, CAST(count(*) AS DOUBLE), 'counter'
+      FROM hf JOIN programs USING (start_key) GROUP BY pe_checksum, process_name, service_name, session_id
+    UNION ALL SELECT DISTINCT '{HOST}', 'process_info', 'pe_checksum=' || pe_checksum || ',process_name=' || process_name
+      || ',service_name=' || service_name || ',session_id=' || session_id, 1.0, 'gauge' FROM programs""")
+
+
+@query(_FAULT_SAMPLES)
+def family_samples(t: Trace) -> DataFrame:
+    """Two families through the registry."""
+    return _flat(samples(t.context(), ["memory", "process"]))
+
+
+@query()
+def all_family_samples(t: Trace) -> DataFrame:
+    """Every family that the views can feed, with all switches on except per-driver series."""
+    context = t.context(per_cpu=True, by_protocol=True, connection_stats=True, retransmissions=True)
+    names = ["disk_io", "system", "threads", "interrupts", "network", "memory", "registry", "process"]
+    return _flat(samples(context, names))
+
+
+@query(o.with_(o.K, GAPS, o.cumulative_sql("gaps", ["cpu"], o.BOUNDS_GAP_MS, "us", "log2", "gap_ns")[0], f"""
+c AS (SELECT cpu, le, count(*) FILTER (WHERE us < threshold OR is_last) AS n FROM gaps CROSS JOIN bounds GROUP BY cpu, le),
+h AS (SELECT 'gap_milliseconds' AS name)""", select=f"""
+    SELECT '# TYPE ' || name || ' histogram' AS line FROM h
+    UNION ALL SELECT 'gap_milliseconds_bucket{{host="{HOST}",cpu="' || cpu || '",le="' || le || '"}} ' || n FROM c
+    UNION ALL SELECT 'gap_milliseconds_bucket{{host="{HOST}",cpu="' || cpu || '",le="+Inf"}} ' || count(*) FROM gaps GROUP BY cpu
+    UNION ALL SELECT 'gap_milliseconds_count{{host="{HOST}",cpu="' || cpu || '"}} ' || count(*) FROM gaps GROUP BY cpu"""))
+def exposition_text(t: Trace) -> DataFrame:
+    """Text lines of a histogram, its sums left out."""
+    h = threads.cswitch_intervals(t.cswitch, chunk_ns=CHUNK_NS)
+    lines = histogram_samples(h, "gap_milliseconds", ["cpu"], GAP_BOUNDS_MS).filter("metric <> 'gap_milliseconds_sum'")
+    return exposition(lines)

@@ -6,12 +6,14 @@ stands for one microsecond; ``ts_ns`` is that in nanoseconds.
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.units import whole
 from tracelake.operators.entities import process_intervals, thread_intervals
 from tracelake.operators.materialise import materialise
+from tracelake.plans.families import Context, Switches
+from tracelake.sources import schema
 
 HOST = "local"
 EPOCH_US = 1_704_067_200_000_000
@@ -20,6 +22,9 @@ GRACE_NS = 30_000
 CHUNK_NS = 50_000_000
 DAY_NS = 86_400 * 1_000
 IMAGE_SPACING = 4096
+NETWORK_CLASSES = (
+    "tcp_send", "tcp_recv", "tcp_connect", "tcp_accept", "tcp_retransmit", "tcp_fail", "udp_send", "udp_recv", "udp_fail",
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,3 +215,50 @@ class Trace:
             F.concat(F.substring("n_name", 1, 1), F.lit(":")).alias("drive_letter"),
             F.when(F.col("n_nationkey") % 4 != 0, F.lit("NTFS")).alias("file_system"),
         )
+
+    def context(self, **switches: object) -> Context:
+        """All classes as a family context."""
+        moves = self.disk.drop("operation")
+        typed = {
+            "process_start": self.process_starts, "process_end": self.process_ends,
+            "thread_start": self.thread_starts, "thread_end": self.thread_ends,
+            "cswitch": self.cswitch, "ready_thread": self.ready, "isr": self.isr, "dpc": self.dpc,
+            "hard_fault": self.faults, "registry_op": self.registry,
+            "disk_physical": self.physical_disks, "disk_logical": self.logical_disks,
+            **{f"disk_{op}": self.disk.filter(F.col("operation") == op).select(moves.columns) for op in ("read", "write", "flush")},
+            **{c: self.network.filter(F.col("cls") == c) for c in NETWORK_CLASSES},
+        }
+        return Context(typed=typed, switches=Switches(**switches), grace_ns=GRACE_NS, chunk_ns=CHUNK_NS)
+
+    @property
+    def disk_payloads(self) -> DataFrame:
+        """Disk transfers as binary payloads; every 97th is cut short."""
+
+        def little_endian(value: Column, width: int) -> Column:
+            digits = F.lpad(F.hex(value), 2 * width, "0")
+            return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))])
+
+        d = self._of("purchase")
+        full = F.concat(
+            little_endian(d["k"] % 4, 4), F.lit("00" * 4), little_endian(d["size"], 4), F.lit("00" * 36), little_endian(d["tid"], 4)
+        )
+        text = F.when(F.col("seq") % 97 == 0, F.substring(full, 1, 40)).otherwise(full)
+        return d.select(
+            "host", "seq", F.col("ts_ns"), "cpu", F.col("pid").alias("header_pid"),
+            F.lit("{3D6FA8D4-FE05-11D0-9DDA-00C04FD7BA7C}").alias("provider"),
+            F.when(F.col("seq") % 2 == 1, F.lit(11)).otherwise(F.lit(10)).alias("opcode"), F.unhex(text).alias("payload"),
+        )
+
+    @property
+    def routed(self) -> DataFrame:
+        """Every event under a provider and event id that depend on its type and measure."""
+        ids = {
+            "click": (schema.SYSTEM_SCHEDULER, F.lit(36)), "view": (schema.TCP_IP, F.col("k") % 20 + 10),
+            "purchase": (schema.DISK_IO, F.col("k") % 5 + 10), "signup": (schema.KERNEL_PROCESS, F.col("k") % 8),
+            "error": (schema.REGISTRY, F.col("k") % 30 + 10),
+        }
+        provider, opcode = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+        for event_type, (guid, number) in ids.items():
+            provider = F.when(F.col("event_type") == event_type, F.lit(guid)).otherwise(provider)
+            opcode = F.when(F.col("event_type") == event_type, number).otherwise(opcode)
+        return self.k.select("host", "seq", "ts_ns", provider.alias("provider"), opcode.cast("int").alias("opcode"))
