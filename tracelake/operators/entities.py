@@ -32,13 +32,11 @@ def normalise_session(session_id: Column, pid: Column) -> Column:
 
 def merge_snapshots(starts: DataFrame) -> DataFrame:
     """One row per (host, start_key): the first sighting, with the time of the last one."""
-    fields = [c for c in starts.columns if c not in ("host", "start_key")]
+    fields = [c for c in starts.columns if c not in ("host", "start_key", "last_seen_ns")]
+    seen = F.coalesce("last_seen_ns", "ts_ns") if "last_seen_ns" in starts.columns else F.col("ts_ns")
     return (
         starts.groupBy("host", "start_key")
-        .agg(
-            F.min_by(F.struct(*fields), F.struct("ts_ns", "seq")).alias("first"),
-            F.max("ts_ns").alias("last_seen_ns"),
-        )
+        .agg(F.min_by(F.struct(*fields), F.struct("ts_ns", "seq")).alias("first"), F.max(seen).alias("last_seen_ns"))
         .select("host", "start_key", "first.*", "last_seen_ns")
     )
 
@@ -49,17 +47,20 @@ def process_intervals(
     """Process instances and the time in which each one owns its pid.
 
     ``starts``: host, seq, ts_ns, start_key, pid, process_name, session_id (parent_pid, service_name and
-    pe_checksum optional). ``ends``: host, seq, ts_ns and start_key, or pid alone if the ends carry no
-    key; they then end the instance that last started on the pid.
+    pe_checksum optional). ``ends``: host, seq, ts_ns and start_key or pid or both; an end without a key
+    ends the instance that last started on its pid.
     An instance owns its pid from its start until the pid starts again or ``grace_ns`` after its end.
     """
     first = merge_snapshots(starts.filter(F.col("start_key").isNotNull()))
-    if "start_key" in ends.columns:
-        timed = _followed(first, None, "pid", chunk_ns)
-        ended = ends.groupBy("host", "start_key").agg(F.min("ts_ns").alias("end_ns"))
-        timed = timed.drop("end_ns").join(ended, ["host", "start_key"], "left")
-    else:
-        timed = _followed(first, ends, "pid", chunk_ns)
+    keyed = ends.filter(F.col("start_key").isNotNull()) if "start_key" in ends.columns else None
+    by_pid = None
+    if "pid" in ends.columns:
+        by_pid = ends if keyed is None else ends.filter(F.col("start_key").isNull())
+    timed = _followed(first, by_pid, "pid", chunk_ns)
+    if keyed is not None:
+        ended = keyed.groupBy("host", "start_key").agg(F.min("ts_ns").alias("_keyed_end"))
+        timed = timed.join(ended, ["host", "start_key"], "left")
+        timed = timed.withColumn("end_ns", F.least("end_ns", "_keyed_end")).drop("_keyed_end")
     expires = F.coalesce(F.col("end_ns") + F.lit(grace_ns), F.lit(OPEN_END))
     return timed.select(
         "host",
@@ -72,6 +73,7 @@ def process_intervals(
         F.col("ts_ns").alias("create_ns"),
         "end_ns",
         "last_seen_ns",
+        "next_ns",
         expires.alias("expires_ns"),
         F.col("ts_ns").alias("valid_from"),
         F.least("next_ns", expires).alias("valid_to"),
@@ -93,7 +95,13 @@ def _followed(starts: DataFrame, ends: DataFrame | None, id_column: str, chunk_n
         timed = fill(rows, keys, order, values, backward=True, chunk_ns=chunk_ns).filter("_start")
         timed = timed.withColumn("next_ns", F.col("_next.ts_ns"))
         end = F.when(F.col("_next").isNull() | (F.col("_end") < F.col("_next")), F.col("_end.ts_ns"))
-    return timed.select(*starts.columns, F.coalesce("next_ns", F.lit(OPEN_END)).alias("next_ns"), end.alias("end_ns"))
+    next_ns = F.coalesce("next_ns", F.lit(OPEN_END))
+    if "known_next_ns" in starts.columns:
+        # What an earlier slice of a stream found out stays.
+        cut = F.coalesce("known_next_ns", F.lit(OPEN_END))
+        next_ns = F.least(next_ns, cut)
+        end = F.coalesce("known_end_ns", F.when(end < cut, end))
+    return timed.select(*starts.columns, next_ns.alias("next_ns"), end.alias("end_ns"))
 
 
 def thread_intervals(
@@ -111,12 +119,15 @@ def thread_intervals(
     until it starts again, ``grace_ns`` after the thread ended, or when its process expires.
     """
     tags = F.col("sub_process_tag") if "sub_process_tag" in starts.columns else F.lit(0)
-    rows = starts.select("host", "tid", "ts_ns", "seq", "pid", tags.cast("bigint").alias("sub_process_tag"))
+    known = [c for c in ("known_next_ns", "known_end_ns", "known_start_key") if c in starts.columns]
+    rows = starts.select("host", "tid", "ts_ns", "seq", "pid", tags.cast("bigint").alias("sub_process_tag"), *known)
     timed = _followed(rows, ends, "tid", chunk_ns).withColumn("_probe", F.col("ts_ns") + F.lit(slack_ns - 1))
     owned = asof_join(
         timed, processes, ["host", "pid"], ["start_key", "expires_ns"], fact_time="_probe", chunk_ns=chunk_ns,
         directory=starts.select("host", "pid", (F.col("ts_ns") + F.lit(slack_ns - 1)).alias("_probe")),
     )
+    if known:
+        owned = _keep_owners(owned, processes)
     return owned.select(
         "host",
         "tid",
@@ -127,6 +138,7 @@ def thread_intervals(
         F.col("start_key").isNotNull().alias("owner_known"),
         F.col("ts_ns").alias("create_ns"),
         "end_ns",
+        "next_ns",
         F.col("ts_ns").alias("valid_from"),
         F.least(
             "next_ns",
@@ -136,23 +148,49 @@ def thread_intervals(
     )
 
 
-def image_intervals(loads: DataFrame, unloads: DataFrame, chunk_ns: int = CHUNK_NS) -> DataFrame:
-    """Load epochs of images, by reference count per base address.
+def _keep_owners(owned: DataFrame, processes: DataFrame) -> DataFrame:
+    """Threads whose owner an earlier slice settled keep it, with the owner's present expiry."""
+    current = processes.select("host", F.col("start_key").alias("known_start_key"), F.col("expires_ns").alias("_known_expires"))
+    joined = owned.join(current, ["host", "known_start_key"], "left")
+    settled = F.col("known_start_key").isNotNull()
+    unknown = F.col("known_start_key") == UNKNOWN_START_KEY
+    return (
+        joined.withColumn("expires_ns", F.when(settled, F.col("_known_expires")).otherwise(F.col("expires_ns")))
+        .withColumn("start_key", F.when(unknown, F.lit(None)).otherwise(F.coalesce("known_start_key", "start_key")))
+        .drop("_known_expires")
+    )
+
+
+def image_references(loads: DataFrame, unloads: DataFrame, chunk_ns: int = CHUNK_NS) -> DataFrame:
+    """Loads (``step`` > 0) and unloads (-1) with the references to their base after each, ``refs``.
 
-    ``loads``: host, seq, ts_ns, base, size, file_name. ``unloads``: host, seq, ts_ns, base.
-    An epoch starts with the load that finds no reference and ends with the unload that drops the last
-    one; unloads without a reference are ignored. Loads with base or size 0 are skipped.
+    ``loads``: host, seq, ts_ns, base, size, file_name, and optionally ``weight``, the loads a row stands for.
+    Loads with base or size 0 are skipped. Unloads without a reference leave 0.
     """
+    weight = F.coalesce("weight", F.lit(1)) if "weight" in loads.columns else F.lit(1)
     rows = (
         loads.filter((F.col("base") != 0) & (F.col("size") != 0))
-        .select("host", "base", "ts_ns", "seq", "size", "file_name", F.lit(1).alias("step"))
-        .unionByName(unloads.select("host", "base", "ts_ns", "seq", F.lit(-1).alias("step")), allowMissingColumns=True)
+        .select("host", "base", "ts_ns", "seq", "size", "file_name", weight.cast("bigint").alias("step"))
+        .unionByName(
+            unloads.select("host", "base", "ts_ns", "seq", F.lit(-1).cast("bigint").alias("step")), allowMissingColumns=True
+        )
     )
-    counted = stack_depth(rows, ["host", "base"], ["ts_ns", "seq"], F.col("step"), "refs", chunk_ns=chunk_ns)
-    edges = counted.filter(((F.col("step") == 1) & (F.col("refs") == 1)) | ((F.col("step") == -1) & (F.col("refs") == 0)))
+    return stack_depth(rows, ["host", "base"], ["ts_ns", "seq"], F.col("step"), "refs", chunk_ns=chunk_ns)
+
+
+def image_intervals(loads: DataFrame, unloads: DataFrame, chunk_ns: int = CHUNK_NS) -> DataFrame:
+    """Load epochs of images, by reference count per base address.
+
+    An epoch starts with the load that finds no reference and ends with the unload that drops the last one.
+    """
+    return load_epochs(image_references(loads, unloads, chunk_ns), chunk_ns)
+
+
+def load_epochs(references: DataFrame, chunk_ns: int = CHUNK_NS) -> DataFrame:
+    edges = references.filter((F.col("refs") == F.col("step")) | ((F.col("step") == -1) & (F.col("refs") == 0)))
     dead = F.when(F.col("step") == -1, F.col("ts_ns"))
     timed = fill(edges, ["host", "base"], ["ts_ns", "seq"], {"unload_ns": dead}, backward=True, chunk_ns=chunk_ns)
-    return timed.filter(F.col("step") == 1).select(
+    return timed.filter(F.col("step") > 0).select(
         "host",
         "base",
         "size",

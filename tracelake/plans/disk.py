@@ -20,18 +20,22 @@ def disk_totals(events: DataFrame) -> DataFrame:
 
 def disk_operations(events: DataFrame) -> DataFrame:
     """Operations per (host, disk, operation); a disk once seen has all three, zeros included."""
+    return operations_of(disk_totals(events))
+
+
+def operations_of(totals: DataFrame) -> DataFrame:
     each = F.inline(F.array(*[F.struct(F.lit(op).alias("operation"), F.col(op).alias("value")) for op in DISK_OPS]))
-    return disk_totals(events).select("host", "disk", each)
+    return totals.select("host", "disk", each)
 
 
-def disk_by_program(events: DataFrame, threads: DataFrame, processes: DataFrame, **options) -> DataFrame:
+def disk_by_program(events: DataFrame, threads: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
     """Reads and writes per (host, program, disk, operation): operations and bytes. Flushes are not attributed."""
     columns = ["host", "ts_ns", "disk", "operation", "size", "header_pid"]
     columns += [c for c in ("issuing_tid",) if c in events.columns]
     moved = events.filter(F.col("operation") != "flush").select(*columns)
     attributed = known_only(attribute_disk(moved, threads, processes, **options))
     return rollup_programs(
-        attributed, processes, ["disk", "operation"], {"operations": F.count(F.lit(1)), "bytes": F.sum("size")}
+        attributed, processes, ["disk", "operation"], {"operations": F.count(F.lit(1)), "bytes": F.sum("size")}, level
     )
 
 

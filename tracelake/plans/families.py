@@ -44,10 +44,12 @@ class Switches:
 class Context:
     """Events by class, with the entity tables and dimensions derived from them.
 
-    ``typed`` maps class names to DataFrames of typed rows; classes it lacks are decoded from ``raw``.
+    ``typed`` maps class names to DataFrames of typed rows; ``wide`` holds typed rows of any classes
+    (``WIDE_EVENTS``); classes in neither are decoded from ``raw``.
     """
 
     raw: DataFrame | None = None
+    wide: DataFrame | None = None
     typed: Mapping[str, DataFrame] = field(default_factory=dict)
     switches: Switches = field(default_factory=Switches)
     grace_ns: int = entities.GRACE_NS
@@ -57,6 +59,9 @@ class Context:
         """Rows of the classes, with ``cls``; one scan of the raw events for all classes not given as typed tables."""
         given = [self.typed[c].withColumn("cls", F.lit(c)) for c in classes if c in self.typed]
         rest = [c for c in classes if c not in self.typed]
+        if self.wide is not None and rest:
+            given.append(self.wide.filter(F.col("cls").isin(*rest)))
+            rest = []
         unknown = [c for c in rest if c not in LAYOUTS or self.raw is None]
         if unknown:
             raise KeyError(f"no source for {', '.join(unknown)}")
@@ -64,7 +69,7 @@ class Context:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def has(self, cls: str) -> bool:
-        return cls in self.typed or (self.raw is not None and cls in LAYOUTS)
+        return cls in self.typed or self.wide is not None or (self.raw is not None and cls in LAYOUTS)
 
     @property
     def options(self) -> dict:
@@ -165,14 +170,15 @@ _THREADS = (*_LIFECYCLE, "thread_start", "thread_end")
 
 
 def _disk(c: Context) -> DataFrame:
-    totals = disk.disk_totals(c.disk_events)
+    # One pass over the facts per aggregate; the series below read its few rows.
+    totals = materialise(disk.disk_totals(c.disk_events))
     parts = [
-        to_samples(disk.disk_operations(c.disk_events), "disk_io_operations_total", ["disk", "operation"], "value"),
+        to_samples(disk.operations_of(totals), "disk_io_operations_total", ["disk", "operation"], "value"),
         to_samples(totals, "disk_read_bytes_total", ["disk"], "read_bytes"),
         to_samples(totals, "disk_written_bytes_total", ["disk"], "written_bytes"),
     ]
     if c.switches.per_process:
-        moved = c.programs(disk.disk_by_program(c.disk_events, c.threads, c.processes, **c.options))
+        moved = materialise(c.programs(disk.disk_by_program(c.disk_events, c.threads, c.processes, **c.options)))
         labels = [*LABELS, "disk"]
         parts.append(to_samples(moved, "disk_process_io_operations_total", [*labels, "operation"], "operations"))
         for operation, metric in (("read", "disk_process_read_bytes_total"), ("write", "disk_process_written_bytes_total")):
@@ -209,7 +215,8 @@ def _threads(c: Context) -> DataFrame:
 
 def _interrupts(c: Context) -> DataFrame:
     isr, dpc, switches = c.events("isr"), c.events("dpc"), c.events("cswitch")
-    counts = interrupts.dpc_counts(isr, dpc, switches, chunk_ns=c.chunk_ns)
+    per_cpu = materialise(interrupts.dpc_counts(isr, dpc, switches, per_cpu=True, chunk_ns=c.chunk_ns))
+    counts = per_cpu.groupBy("host").agg(F.sum("queued").alias("queued"), F.sum("executed").alias("executed"))
     latency = interrupts.isr_dpc_latency(isr, dpc, switches, c.switches.max_isr_age_ms, c.chunk_ns)
     parts = [
         to_samples(counts, "perfinfo_dpc_queued_total", [], "queued"),
@@ -217,7 +224,6 @@ def _interrupts(c: Context) -> DataFrame:
         histogram_samples(latency, "perfinfo_isr_to_dpc_latency_microseconds", [], LATENCY_BOUNDS_US),
     ]
     if c.switches.per_cpu:
-        per_cpu = interrupts.dpc_counts(isr, dpc, switches, per_cpu=True, chunk_ns=c.chunk_ns)
         parts.append(to_samples(per_cpu, "perfinfo_dpc_queued_cpu_total", ["cpu"], "queued"))
         parts.append(to_samples(per_cpu, "perfinfo_dpc_executed_cpu_total", ["cpu"], "executed"))
     if c.switches.per_driver:
@@ -229,27 +235,25 @@ def _interrupts(c: Context) -> DataFrame:
     return _all(parts)
 
 
-_NETWORK = (
-    "tcp_send", "tcp_recv", "tcp_connect", "tcp_accept", "tcp_retransmit", "tcp_fail", "udp_send", "udp_recv", "udp_fail",
-)
-
-
 def _network(c: Context) -> DataFrame:
-    events, s = c.events(*_NETWORK), c.switches
-    moved = c.programs(network.network_bytes(events, c.processes, **c.options))
+    events, s = c.events(*network.CLASSES), c.switches
+    all_moved = materialise(network.network_bytes(events, c.processes, **c.options))
+    moved = c.programs(all_moved)
     by_protocol = [*LABELS, "protocol"]
     parts = [
         to_samples(drop_zero(moved, "sent_bytes"), "network_process_sent_bytes_total", by_protocol, "sent_bytes"),
         to_samples(drop_zero(moved, "received_bytes"), "network_process_received_bytes_total", by_protocol, "received_bytes"),
     ]
     if s.by_protocol:
-        totals = network.network_totals(events, c.processes, **c.options)
+        totals = all_moved.groupBy("host", "protocol").agg(
+            F.sum("sent_bytes").alias("sent_bytes"), F.sum("received_bytes").alias("received_bytes")
+        )
         parts.append(to_samples(drop_zero(totals, "sent_bytes"), "network_sent_bytes_total", ["protocol"], "sent_bytes"))
         parts.append(
             to_samples(drop_zero(totals, "received_bytes"), "network_received_bytes_total", ["protocol"], "received_bytes")
         )
     if s.connection_stats:
-        made = c.programs(network.connections(events, c.processes, **c.options))
+        made = materialise(c.programs(network.connections(events, c.processes, **c.options)))
         failed = c.programs(network.connections_failed(events, c.processes, **c.options))
         parts += [
             to_samples(drop_zero(made, "attempted"), "network_process_connections_attempted_total", by_protocol, "attempted"),
@@ -277,12 +281,17 @@ def _memory(c: Context) -> DataFrame:
 def _registry(c: Context) -> DataFrame:
     last = FIRST_REGISTRY_OPCODE + len(REGISTRY_OPS) - 1
     events = c.events("registry_op").filter(F.col("opcode").between(FIRST_REGISTRY_OPCODE, last))
-    totals = registry_ops.registry_totals(events, c.processes, **c.options)
-    parts = [to_samples(totals, "registry_operations_total", ["operation", "result"], "value")]
-    if c.switches.per_process:
-        by_program = c.programs(registry_ops.registry_by_program(events, c.processes, **c.options))
-        parts.append(to_samples(by_program, "registry_operations_process_total", [*LABELS, "operation", "result"], "value"))
-    return _all(parts)
+    if not c.switches.per_process:
+        totals = registry_ops.registry_totals(events, c.processes, **c.options)
+        return to_samples(totals, "registry_operations_total", ["operation", "result"], "value")
+    by_program = materialise(registry_ops.registry_by_program(events, c.processes, **c.options))
+    totals = by_program.groupBy("host", "operation", "result").agg(F.sum("value").alias("value"))
+    return _all([
+        to_samples(totals, "registry_operations_total", ["operation", "result"], "value"),
+        to_samples(
+            c.programs(by_program), "registry_operations_process_total", [*LABELS, "operation", "result"], "value"
+        ),
+    ])
 
 
 def _process(c: Context) -> DataFrame:
@@ -297,7 +306,7 @@ register_family("disk_io", (*_THREADS, "disk_read", "disk_write", "disk_flush"),
 register_family("system", ("disk_physical", "disk_logical"), _system)
 register_family("threads", (*_THREADS, "cswitch", "ready_thread"), _threads)
 register_family("interrupts", ("isr", "dpc", "cswitch"), _interrupts)
-register_family("network", (*_LIFECYCLE, *_NETWORK), _network)
+register_family("network", (*_LIFECYCLE, *network.CLASSES), _network)
 register_family("memory", (*_THREADS, "hard_fault"), _memory, default=True)
 register_family("registry", (*_LIFECYCLE, "registry_op"), _registry)
 register_family("process", _LIFECYCLE, _process, default=True)

@@ -10,6 +10,9 @@ from tracelake.functions.names import address_family_name
 from tracelake.operators.attribute import attribute_by_pid, attribute_system, known_only
 from tracelake.plans.rollup import drop_zero, rollup_programs
 
+CLASSES = (
+    "tcp_send", "tcp_recv", "tcp_connect", "tcp_accept", "tcp_retransmit", "tcp_fail", "udp_send", "udp_recv", "udp_fail",
+)
 TRANSFERS = ("tcp_send", "udp_send", "tcp_recv", "udp_recv")
 
 
@@ -29,9 +32,9 @@ def _direction_sums() -> dict[str, Column]:
     return {"sent_bytes": moved("_send"), "received_bytes": moved("_recv")}
 
 
-def network_bytes(events: DataFrame, processes: DataFrame, **options) -> DataFrame:
+def network_bytes(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
     """Bytes per (host, program, protocol), sent and received."""
-    return rollup_programs(_known(events, processes, TRANSFERS, ["size"], options), processes, ["protocol"], _direction_sums())
+    return rollup_programs(_known(events, processes, TRANSFERS, ["size"], options), processes, ["protocol"], _direction_sums(), level)
 
 
 def network_totals(events: DataFrame, processes: DataFrame, **options) -> DataFrame:
@@ -40,16 +43,16 @@ def network_totals(events: DataFrame, processes: DataFrame, **options) -> DataFr
     return known.groupBy("host", "protocol").agg(*[c.alias(n) for n, c in _direction_sums().items()])
 
 
-def connections(events: DataFrame, processes: DataFrame, **options) -> DataFrame:
+def connections(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
     """Connections per (host, program, protocol), attempted and accepted."""
     known = _known(events, processes, ("tcp_connect", "tcp_accept"), [], options)
     return rollup_programs(
         known, processes, ["protocol"],
-        {"attempted": F.count_if(F.col("cls") == "tcp_connect"), "accepted": F.count_if(F.col("cls") == "tcp_accept")},
+        {"attempted": F.count_if(F.col("cls") == "tcp_connect"), "accepted": F.count_if(F.col("cls") == "tcp_accept")}, level
     )
 
 
-def connections_failed(events: DataFrame, processes: DataFrame, **options) -> DataFrame:
+def connections_failed(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
     """Failures per (host, program, protocol, address family, code). They carry no pid and belong to System.
 
     Failures repeat, so they are counted per instance before the instance table is joined.
@@ -59,10 +62,10 @@ def connections_failed(events: DataFrame, processes: DataFrame, **options) -> Da
         address_family_name(F.col("proto")).alias("address_family"), "failure_code",
     )
     owned = known_only(attribute_system(failed, processes, **options))
-    return rollup_programs(owned, processes, ["protocol", "address_family", "failure_code"], {"value": F.count(F.lit(1))})
+    return rollup_programs(owned, processes, ["protocol", "address_family", "failure_code"], {"value": F.count(F.lit(1))}, level)
 
 
-def retransmissions(events: DataFrame, processes: DataFrame, **options) -> DataFrame:
+def retransmissions(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
     """TCP retransmissions per (host, program)."""
     known = _known(events, processes, ("tcp_retransmit",), [], options)
-    return drop_zero(rollup_programs(known, processes, [], {"value": F.count(F.lit(1))}))
+    return drop_zero(rollup_programs(known, processes, [], {"value": F.count(F.lit(1))}, level))

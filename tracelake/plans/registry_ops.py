@@ -23,7 +23,7 @@ def registry_totals(events: DataFrame, processes: DataFrame, **options) -> DataF
     return known.groupBy("host", "operation", "result").agg(F.count(F.lit(1)).alias("value"))
 
 
-def registry_by_program(events: DataFrame, processes: DataFrame, **options) -> DataFrame:
+def registry_by_program(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
     """Operations per (host, program, operation, result)."""
     known = known_registry_ops(events, processes, **options)
-    return rollup_programs(known, processes, ["operation", "result"], {"value": F.count(F.lit(1))})
+    return rollup_programs(known, processes, ["operation", "result"], {"value": F.count(F.lit(1))}, level)

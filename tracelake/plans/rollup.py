@@ -30,19 +30,23 @@ def name_programs(per_instance: DataFrame, processes: DataFrame) -> DataFrame:
 
 
 def rollup_programs(
-    attributed: DataFrame, processes: DataFrame, dims: Sequence[str], aggs: Mapping[str, Column]
+    attributed: DataFrame, processes: DataFrame, dims: Sequence[str], aggs: Mapping[str, Column], level: str = "program"
 ) -> DataFrame:
-    """Sum ``aggs`` per (host, program, dims).
+    """Sum ``aggs`` per (host, program, dims), or per (host, start_key, dims) with ``level="instance"``.
 
     The first aggregation, per instance, shrinks the facts before they meet the instance table; all
     ``aggs`` must be sums or counts, so that the second one can add them.
     """
     per_instance = attributed.groupBy("host", "start_key", *dims).agg(*[c.alias(n) for n, c in aggs.items()])
-    return (
-        name_programs(per_instance, processes)
-        .groupBy("host", *LABELS, *dims)
-        .agg(*[F.sum(n).alias(n) for n in aggs])
-    )
+    if level == "instance":
+        return per_instance
+    return sum_programs(per_instance, processes, dims, list(aggs))
+
+
+def sum_programs(per_instance: DataFrame, processes: DataFrame, dims: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Per-instance sums to per-program sums."""
+    named = name_programs(per_instance, processes)
+    return named.groupBy("host", *LABELS, *dims).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def drop_zero(df: DataFrame, value: str = "value") -> DataFrame:

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelake.sources.schema import (
     LAYOUTS,
@@ -11,20 +12,26 @@ from tracelake.sources.schema import (
     PROVIDER_OF_ID,
     RAW_EVENTS,
     ROUTES,
+    WIDE_EVENTS,
     Field,
     Layout,
 )
 
 
 def read_events(
-    spark: SparkSession, path: str, streaming: bool = False, classes: Sequence[str] | None = None, **options: str
+    spark: SparkSession,
+    path: str,
+    streaming: bool = False,
+    classes: Sequence[str] | None = None,
+    schema: StructType = RAW_EVENTS,
+    **options: str,
 ) -> DataFrame:
-    """Raw events from Parquet, once or as a stream.
+    """Events from Parquet, once or as a stream: raw, or typed with ``schema=WIDE_EVENTS``.
 
     Write events partitioned by ``cls`` (see ``write_events``): then ``classes`` prunes directories.
     ``options`` go to the reader (``maxFilesPerTrigger`` and the like).
     """
-    reader = (spark.readStream if streaming else spark.read).schema(RAW_EVENTS).options(**options)
+    reader = (spark.readStream if streaming else spark.read).schema(schema).options(**options)
     events = reader.parquet(path)
     return events if classes is None else events.filter(F.col("cls").isin(*classes))
 
@@ -130,6 +137,16 @@ def decode_events(raw: DataFrame, *classes: str) -> DataFrame:
     return rows.select(*header, *[value.alias(name) for name, value in columns.items()])
 
 
+def wide_events(typed: DataFrame) -> DataFrame:
+    """Bring typed rows (with ``cls``) to the columns of ``WIDE_EVENTS``."""
+    return typed.select(
+        *[
+            (F.col(f.name) if f.name in typed.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in WIDE_EVENTS.fields
+        ]
+    )
+
+
 def _undecodable(raw: DataFrame, classes: Sequence[str]) -> Column:
     test = F.lit(False)
     for cls in classes:

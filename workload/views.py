@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.units import whole
 from tracelake.operators.entities import process_intervals, thread_intervals
 from tracelake.operators.materialise import materialise
+from tracelake.plans import network
 from tracelake.plans.families import Context, Switches
 from tracelake.sources import schema
 
@@ -22,9 +23,7 @@ GRACE_NS = 30_000
 CHUNK_NS = 50_000_000
 DAY_NS = 86_400 * 1_000
 IMAGE_SPACING = 4096
-NETWORK_CLASSES = (
-    "tcp_send", "tcp_recv", "tcp_connect", "tcp_accept", "tcp_retransmit", "tcp_fail", "udp_send", "udp_recv", "udp_fail",
-)
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -226,7 +225,7 @@ class Trace:
             "hard_fault": self.faults, "registry_op": self.registry,
             "disk_physical": self.physical_disks, "disk_logical": self.logical_disks,
             **{f"disk_{op}": self.disk.filter(F.col("operation") == op).select(moves.columns) for op in ("read", "write", "flush")},
-            **{c: self.network.filter(F.col("cls") == c) for c in NETWORK_CLASSES},
+            **{c: self.network.filter(F.col("cls") == c) for c in network.CLASSES},
         }
         return Context(typed=typed, switches=Switches(**switches), grace_ns=GRACE_NS, chunk_ns=CHUNK_NS)
 
