@@ -5,6 +5,7 @@ Epochs of one key do not overlap: each ends no later than the next starts. An ep
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,94 +45,97 @@ def asof_join(
     keys: Sequence[str],
     payload: Sequence[str],
     *,
+    fact_keys: Sequence[str] | None = None,
     fact_time: str = "ts_ns",
     strategy: str = "auto",
     directory: DataFrame | None = None,
     chunk_ns: int = CHUNK_NS,
 ) -> DataFrame:
-    """Left as-of join of ``facts`` to ``epochs`` on ``keys``; adds the ``payload`` columns.
+    """Left as-of join of ``facts`` to ``epochs`` on ``keys`` (``fact_keys`` on the fact side); adds the ``payload`` columns.
 
     ``epochs`` has the keys, ``valid_from``, ``valid_to``, ``seq`` and the payload. ``strategy`` is
     ``broadcast`` (interval join, facts stay in place), ``scan`` (facts and epochs are
     shuffled once by key and time chunk and merged in order), or ``auto``: broadcast if
-    measured small. ``directory`` may name a cheaper DataFrame that holds at least the (keys, time) of
+    measured small. ``directory`` may name a cheaper DataFrame that holds at least the (fact keys, time) of
     ``facts``, such as the source ``facts`` was derived from. A fact with a null key matches nothing.
     """
     if strategy == "auto":
         strategy = "broadcast" if broadcastable(epochs, keys) else "scan"
+    fact_keys = list(fact_keys or keys)
+    # The epoch side has the same columns whatever the facts call their keys, so joins to one table share its exchange.
+    points = epochs.select(
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        F.col("valid_from").alias("_from"),
+        F.col("valid_to").alias("_to"),
+        F.col("seq").alias("_seq"),
+        *[F.col(c).alias(f"_p_{c}") for c in payload],
+    ).filter(F.col("_from") < F.col("_to"))
     if strategy == "broadcast":
-        return _interval_join(facts, epochs, keys, payload, fact_time)
+        return _interval_join(facts, points, fact_keys, payload, fact_time)
     if strategy == "scan":
-        return _scan_join(facts, epochs, keys, payload, fact_time, facts if directory is None else directory, chunk_ns)
+        return _scan_join(facts, points, fact_keys, payload, fact_time, facts if directory is None else directory, chunk_ns)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
 def _interval_join(
-    facts: DataFrame, epochs: DataFrame, keys: Sequence[str], payload: Sequence[str], fact_time: str
+    facts: DataFrame, points: DataFrame, fact_keys: Sequence[str], payload: Sequence[str], fact_time: str
 ) -> DataFrame:
-    right = epochs.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("valid_from").alias("_from"),
-        F.col("valid_to").alias("_to"),
-        *[F.col(c).alias(f"_p_{c}") for c in payload],
-    )
     match = (F.col(fact_time) >= F.col("_from")) & (F.col(fact_time) < F.col("_to"))
-    for k in keys:
-        match = match & (F.col(k) == F.col(f"_k_{k}"))
-    joined = facts.join(F.broadcast(right), match, "left")
+    for i, k in enumerate(fact_keys):
+        match = match & (F.col(k) == F.col(f"_key{i}"))
+    joined = facts.join(F.broadcast(points.drop("_seq")), match, "left")
     return joined.select(*facts.columns, *[F.col(f"_p_{c}").alias(c) for c in payload])
 
 
 def _scan_join(
     facts: DataFrame,
-    epochs: DataFrame,
-    keys: Sequence[str],
+    points: DataFrame,
+    fact_keys: Sequence[str],
     payload: Sequence[str],
     fact_time: str,
     directory: DataFrame,
     chunk_ns: int,
 ) -> DataFrame:
-    def keyed(df: DataFrame) -> Column:
-        test = F.col(keys[0]).isNotNull()
-        for k in keys[1:]:
-            test = test & F.col(k).isNotNull()
-        return test
-
-    epoch = F.struct(F.col("valid_to").alias("to"), *[F.col(c) for c in payload])
-    # An empty epoch covers nothing; without it at most one epoch of a key starts at any time.
-    points = epochs.filter(keyed(epochs) & (F.col("valid_from") < F.col("valid_to"))).select(
+    keys = [f"_key{i}" for i in range(len(fact_keys))]
+
+    def keyed() -> Column:
+        return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+    def with_keys(df: DataFrame) -> DataFrame:
+        return df.select("*", *[F.col(c).alias(k) for c, k in zip(fact_keys, keys)])
+
+    # Empty epochs are gone, so at most one epoch of a key starts at any time.
+    starts = points.filter(keyed()).select(
         *keys,
-        F.col("valid_from").alias("_time"),
+        F.col("_from").alias("_time"),
         F.lit(0).cast("tinyint").alias("_kind"),
-        F.col("seq").alias("_seq"),
-        chunk_of(F.col("valid_from"), chunk_ns).alias(_CHUNK),
-        epoch.alias("_in__epoch"),
+        "_seq",
+        chunk_of(F.col("_from"), chunk_ns).alias(_CHUNK),
+        F.struct("_to", *[f"_p_{c}" for c in payload]).alias("_in__epoch"),
     )
     # What each chunk hands on: its last epoch. Chunks that hold only facts appear with none.
+    seen = with_keys(directory).filter(keyed()).select(*keys, chunk_of(F.col(fact_time), chunk_ns).alias(_CHUNK)).distinct()
     handed = (
-        points.groupBy(*keys, _CHUNK)
+        starts.groupBy(*keys, _CHUNK)
         .agg(F.max_by("_in__epoch", F.struct("_time", "_seq")).alias("_epoch"))
-        .unionByName(
-            directory.filter(keyed(directory)).select(*keys, chunk_of(F.col(fact_time), chunk_ns).alias(_CHUNK)).distinct(),
-            allowMissingColumns=True,
-        )
+        .unionByName(seen, allowMissingColumns=True)
         .groupBy(*keys, _CHUNK)
         .agg(F.first("_epoch", ignorenulls=True).alias("_epoch"))
     )
     # Facts without a key match nothing; spread them so that they do not share one window partition.
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns if not _is_map(facts, c)]), F.lit(_KEYLESS_CHUNKS))
-    probes = facts.select(
+    probes = with_keys(facts).select(
         "*",
         F.col(fact_time).alias("_time"),
         F.lit(1).cast("tinyint").alias("_kind"),
-        F.when(keyed(facts), chunk_of(F.col(fact_time), chunk_ns)).otherwise(spread).alias(_CHUNK),
+        F.when(keyed(), chunk_of(F.col(fact_time), chunk_ns)).otherwise(spread).alias(_CHUNK),
     )
-    rows = probes.unionByName(points, allowMissingColumns=True)
+    rows = probes.unionByName(starts, allowMissingColumns=True)
     received = _received(handed, keys, ["_epoch"], False)
     scanned = _finish(rows, received, keys, ["_time", "_kind", "_seq"], ["_epoch"], False, True)
-    live = F.col(fact_time) < F.col("_epoch.to")
+    live = F.col(fact_time) < F.col("_epoch._to")
     return scanned.filter(F.col("_kind") == 1).select(
-        *facts.columns, *[F.when(live, F.col(f"_epoch.{c}")).alias(c) for c in payload]
+        *facts.columns, *[F.when(live, F.col(f"_epoch._p_{c}")).alias(c) for c in payload]
     )
 
 

@@ -1,5 +1,7 @@
 """Attribution of facts to process instances."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,7 @@ def usable_id(column: Column) -> Column:
 
 def attribute_by_pid(facts: DataFrame, processes: DataFrame, pid: str = "pid", **options) -> DataFrame:
     """Add the start key of the instance that owns the pid at the time of the fact, else null."""
-    if pid == "pid":
-        return asof_join(facts, processes, ["host", "pid"], [OWNER], **options)
-    epochs = processes.select("host", F.col("pid").alias(pid), "seq", "valid_from", "valid_to", OWNER)
-    return asof_join(facts, epochs, ["host", pid], [OWNER], **options)
+    return asof_join(facts, processes, ["host", "pid"], [OWNER], fact_keys=["host", pid], **options)
 
 
 def attribute_by_tid(facts: DataFrame, threads: DataFrame, tid: str = "tid", **options) -> DataFrame:
@@ -27,14 +26,13 @@ def attribute_by_tid(facts: DataFrame, threads: DataFrame, tid: str = "tid", **o
 
     Threads of unknown owner carry the unknown process's key.
     """
-    epochs = threads.select("host", F.col("tid").alias(tid), "seq", "valid_from", "valid_to", OWNER)
-    return asof_join(facts, epochs, ["host", tid], [OWNER], **options)
+    return asof_join(facts, threads, ["host", "tid"], [OWNER], fact_keys=["host", tid], **options)
 
 
 def attribute_system(facts: DataFrame, processes: DataFrame, **options) -> DataFrame:
     """Add the start key of the System process at the time of the fact."""
-    system = processes.filter(F.col("pid") == SYSTEM_PID).select("host", "seq", "valid_from", "valid_to", OWNER)
-    return asof_join(facts, system, ["host"], [OWNER], **options)
+    system = facts.withColumn("_pid", F.lit(SYSTEM_PID).cast("bigint"))
+    return attribute_by_pid(system, processes, "_pid", **options).drop("_pid")
 
 
 def attribute_disk(facts: DataFrame, threads: DataFrame, processes: DataFrame, **options) -> DataFrame:
@@ -46,34 +44,27 @@ def attribute_disk(facts: DataFrame, threads: DataFrame, processes: DataFrame, *
     open: the others carry a null key, which an as-of join passes through.
     """
     columns = facts.columns
-    source = facts
+
+    def step(df: DataFrame, table: DataFrame, by: Callable, key: str, ident: Column, open_: Column, out: str) -> DataFrame:
+        # The directory lists the ids of all facts: it needs no result of an earlier step.
+        every = facts.select("host", "ts_ns", ident.alias(key))
+        probe = df.withColumn(key, F.when(open_, ident))
+        return by(probe, table, key, directory=every, **options).withColumnRenamed(OWNER, out)
+
+    owned = facts.withColumn("_thread", F.lit(None).cast("bigint"))
     if "issuing_tid" in columns:
-        by_thread = attribute_by_tid(
-            source.withColumn("_tid", usable_id(F.col("issuing_tid"))), threads, "_tid",
-            directory=source.select("host", "ts_ns", usable_id(F.col("issuing_tid")).alias("_tid")), **options,
-        ).withColumnRenamed(OWNER, "_thread")
-    else:
-        by_thread = source.withColumn("_thread", F.lit(None).cast("bigint"))
-    by_process = attribute_by_pid(
-        by_thread.withColumn("_pid", F.when(F.col("_thread").isNull(), usable_id(F.col("header_pid")))), processes, "_pid",
-        directory=source.select("host", "ts_ns", usable_id(F.col("header_pid")).alias("_pid")), **options,
-    ).withColumnRenamed(OWNER, "_process")
-    system = processes.filter(F.col("pid") == SYSTEM_PID).select(
-        F.col("host").alias("_host"), "seq", "valid_from", "valid_to", OWNER
-    )
-    open_host = F.when(F.col("_thread").isNull() & F.col("_process").isNull(), F.col("host"))
-    by_system = asof_join(
-        by_process.withColumn("_host", open_host), system, ["_host"], [OWNER],
-        directory=source.select(F.col("host").alias("_host"), "ts_ns"), **options,
-    ).withColumnRenamed(OWNER, "_system")
-    step = (
+        tid = usable_id(F.col("issuing_tid"))
+        owned = step(facts, threads, attribute_by_tid, "_tid", tid, F.lit(True), "_thread")
+    open_ = F.col("_thread").isNull()
+    owned = step(owned, processes, attribute_by_pid, "_pid", usable_id(F.col("header_pid")), open_, "_process")
+    open_ = open_ & F.col("_process").isNull()
+    owned = step(owned, processes, attribute_by_pid, "_sys", F.lit(SYSTEM_PID).cast("bigint"), open_, "_system")
+    found = (
         F.when(F.col("_thread").isNotNull(), F.lit("thread"))
         .when(F.col("_process").isNotNull(), F.lit("process"))
         .when(F.col("_system").isNotNull(), F.lit("system"))
     )
-    return by_system.select(
-        *columns, F.coalesce("_thread", "_process", "_system").alias(OWNER), step.alias("attribution")
-    )
+    return owned.select(*columns, F.coalesce("_thread", "_process", "_system").alias(OWNER), found.alias("attribution"))
 
 
 def or_unknown(attributed: DataFrame) -> DataFrame:

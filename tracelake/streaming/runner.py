@@ -9,7 +9,7 @@ CPU, and interrupts without a partner that are younger than one hour.
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +34,9 @@ FAMILIES = ("disk_io", "threads", "interrupts", "network", "memory", "registry")
 _CLOCK = StructType([StructField("watermark_ns", LongType())])
 _KNOWN = [StructField(n, LongType()) for n in ("known_next_ns", "known_end_ns", "known_start_key", "last_seen_ns")]
 _ENTITY = StructType([*WIDE_EVENTS.fields, *_KNOWN, StructField("weight", LongType())])
-_TABLES = ("clock", "pending", "entities", "cpu", "work_instances", "work_threads", "work_processes", "work_images")
+_TABLES = (
+    "clock", "pending", "entities", "cpu", "work_instances", "work_threads", "work_processes", "work_images", "work_calls", "work_ordered", "work_pairs",
+)
 
 
 @dataclass(frozen=True)
@@ -186,39 +188,41 @@ class Slice:
         last = _last_on_cpu(self.on_cpu("dpc", "cswitch"), [f.name for f in WIDE_EVENTS.fields])
         return last.filter(F.col("cls") == "dpc")
 
+    @cached_property
     def finalised(self) -> DataFrame:
         """Calls that ended in this slice."""
-        return finalised_dpcs(self.on_cpu("dpc"), self.on_cpu("cswitch"), self.options.chunk_ns)
+        ended = finalised_dpcs(self.on_cpu("dpc"), self.on_cpu("cswitch"), self.options.chunk_ns)
+        return self.carry.write(ended, "work_calls", self.batch_id)
 
-    def _ready(self) -> tuple[DataFrame, DataFrame]:
+    @cached_property
+    def ordered(self) -> DataFrame:
         """Interrupts and finalised calls with ``ready``: nothing still to come can precede them on their CPU."""
-        done = self.finalised().select("host", "cpu", "seq", "ts_ns", "initial_ns", F.lit("finalised_dpc").alias("cls"))
-        waiting = self.cpu_before.filter(F.col("cls") == "finalised_dpc").select(*done.columns)
-        calls = waiting.unionByName(done)
-        isr = self.on_cpu("isr").select(*done.columns)
+        columns = ["host", "cpu", "seq", "ts_ns", "initial_ns", "cls"]
+        done = self.finalised.withColumn("cls", F.lit("finalised_dpc")).select(*columns)
+        waiting = self.cpu_before.filter(F.col("cls") == "finalised_dpc").select(*columns)
+        rows = waiting.unionByName(done).unionByName(self.on_cpu("isr").select(*columns))
         if self.final:
-            return isr.withColumn("ready", F.lit(True)), calls.withColumn("ready", F.lit(True))
+            return self.carry.write(rows.withColumn("ready", F.lit(True)), "work_ordered", self.batch_id)
         open_ = self.open_calls().select("host", "cpu", F.col("initial_ns").alias("_open"))
         frontier = F.least(F.lit(_back(self.watermark, self.options.call_limit_ns)), F.coalesce("_open", F.lit(OPEN_END)))
+        marked = rows.join(open_, ["host", "cpu"], "left").withColumn("ready", F.col("initial_ns") < frontier).drop("_open")
+        return self.carry.write(marked, "work_ordered", self.batch_id)
 
-        def mark(df: DataFrame) -> DataFrame:
-            return df.join(open_, ["host", "cpu"], "left").withColumn("ready", F.col("initial_ns") < frontier).drop("_open")
-
-        return mark(isr), mark(calls)
-
+    @cached_property
     def pairs(self) -> DataFrame:
-        isr, calls = self._ready()
-        return pair_isr_dpc(isr.filter("ready"), calls.filter("ready"), None, self.options.chunk_ns)
+        ready = self.ordered.filter("ready")
+        found = pair_isr_dpc(
+            ready.filter("cls = 'isr'"), ready.filter("cls = 'finalised_dpc'"), None, self.options.chunk_ns
+        )
+        return self.carry.write(found, "work_pairs", self.batch_id)
 
     def waiting(self) -> DataFrame:
-        isr, calls = self._ready()
-        return isr.unionByName(calls).filter(~F.col("ready")).drop("ready")
+        return self.ordered.filter(~F.col("ready")).drop("ready")
 
     def unpaired(self) -> DataFrame:
-        isr, _ = self._ready()
         young = F.col("initial_ns") > F.lit(_back(self.watermark, MAX_PAIR_NS + self.options.call_limit_ns))
-        kept = isr.filter(F.col("ready") & young).drop("ready")
-        paired = self.pairs().select("host", "cpu", F.col("isr_seq").alias("seq"))
+        kept = self.ordered.filter(F.col("ready") & (F.col("cls") == "isr") & young).drop("ready")
+        paired = self.pairs.select("host", "cpu", F.col("isr_seq").alias("seq"))
         return kept.join(paired, ["host", "cpu", "seq"], "left_anti")
 
 
@@ -289,7 +293,7 @@ def _interrupts(s: Slice, how: dict) -> list[DataFrame]:
     one = F.count(F.lit(1)).alias("value")
     return [
         _delta(s.of("isr").groupBy("host", "cpu").agg(one), "perfinfo_dpc_queued_cpu_total", "value", "cpu"),
-        _delta(s.finalised().groupBy("host", "cpu").agg(one), "perfinfo_dpc_executed_cpu_total", "value", "cpu"),
+        _delta(s.finalised.groupBy("host", "cpu").agg(one), "perfinfo_dpc_executed_cpu_total", "value", "cpu"),
     ]
 
 
@@ -339,7 +343,7 @@ def _write_results(s: Slice, sink: Carry, batch_id: int) -> None:
         parts.append(gaps.withColumn("metric", F.lit("thread_context_switch_interval_milliseconds")))
     if "interrupts" in s.options.families:
         latency = micros(F.col("latency_ns"))
-        pairs = s.pairs()
+        pairs = s.pairs
         if s.options.max_isr_age_ms is not None:
             pairs = pairs.filter(F.col("latency_ns") <= s.options.max_isr_age_ms * 1_000_000)
         h = histogram(pairs, latency, ["host"], LATENCY_BOUNDS_US).withColumn("cpu", F.lit(None).cast("int"))
