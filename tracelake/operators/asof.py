@@ -7,10 +7,10 @@ Epochs of one key do not overlap: each ends no later than the next starts. An ep
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.carry import _CHUNK, CHUNK_NS, _finish, _received, chunk_of
+from tracelake.operators.carry import _CHUNK, CHUNK_NS, _finish, chunk_of
 
 OPEN_END = (1 << 63) - 1
 
@@ -113,17 +113,18 @@ def _scan_join(
         chunk_of(F.col("_from"), chunk_ns).alias(_CHUNK),
         F.struct("_to", *[f"_p_{c}" for c in payload]).alias("_in__epoch"),
     )
-    # What each chunk hands on: its last epoch. Chunks that hold only facts appear with none.
+    # A chunk of facts receives the last epoch of earlier chunks: its own row sorts ahead of the epochs of its chunk.
+    last = starts.groupBy(*keys, _CHUNK).agg(F.max_by("_in__epoch", F.struct("_time", "_seq")).alias("_epoch"))
     seen = with_keys(directory).filter(keyed()).select(*keys, chunk_of(F.col(fact_time), chunk_ns).alias(_CHUNK)).distinct()
-    handed = (
-        starts.groupBy(*keys, _CHUNK)
-        .agg(F.max_by("_in__epoch", F.struct("_time", "_seq")).alias("_epoch"))
-        .unionByName(seen, allowMissingColumns=True)
-        .groupBy(*keys, _CHUNK)
-        .agg(F.first("_epoch", ignorenulls=True).alias("_epoch"))
+    listed = last.withColumn("_kind", F.lit(1)).unionByName(seen.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy(_CHUNK, "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    received = (
+        listed.select(*keys, _CHUNK, "_kind", F.last("_epoch", ignorenulls=True).over(before).alias("_epoch"))
+        .filter((F.col("_kind") == 0) & F.col("_epoch").isNotNull())
+        .drop("_kind")
     )
     # Facts without a key match nothing; spread them so that they do not share one window partition.
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in facts.columns if not _is_map(facts, c)]), F.lit(_KEYLESS_CHUNKS))
+    spread = F.pmod(F.xxhash64(*[c for c in (fact_time, "seq") if c in facts.columns]), F.lit(_KEYLESS_CHUNKS))
     probes = with_keys(facts).select(
         "*",
         F.col(fact_time).alias("_time"),
@@ -131,13 +132,9 @@ def _scan_join(
         F.when(keyed(), chunk_of(F.col(fact_time), chunk_ns)).otherwise(spread).alias(_CHUNK),
     )
     rows = probes.unionByName(starts, allowMissingColumns=True)
-    received = _received(handed, keys, ["_epoch"], False)
     scanned = _finish(rows, received, keys, ["_time", "_kind", "_seq"], ["_epoch"], False, True)
     live = F.col(fact_time) < F.col("_epoch._to")
     return scanned.filter(F.col("_kind") == 1).select(
         *facts.columns, *[F.when(live, F.col(f"_epoch._p_{c}")).alias(c) for c in payload]
     )
 
-
-def _is_map(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() == "map"

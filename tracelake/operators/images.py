@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.asof import OPEN_END, asof_join, broadcastable
 from tracelake.operators.carry import CHUNK_NS, neighbour_time
+from tracelake.operators.materialise import materialise
 
 # Bucket widths as powers of two. An image is filed at the narrowest width that is at least its size, where it
 # touches two buckets at most; a distinct address looks once at every width.
@@ -41,18 +42,26 @@ def match_addresses(addresses: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def resolve_images(
-    events: DataFrame, images: DataFrame, payload: tuple[str, ...] = ("image_name",), chunk_ns: int = CHUNK_NS, **options
+    events: DataFrame,
+    images: DataFrame,
+    payload: tuple[str, ...] = ("image_name",),
+    addresses: DataFrame | None = None,
+    chunk_ns: int = CHUNK_NS,
+    strategy: str = "auto",
 ) -> DataFrame:
     """Add the image that holds ``address`` at ``ts_ns``; null if none does.
 
-    Routine addresses repeat, so the range join runs over distinct addresses. The answer is, per address,
-    a list of epochs, joined as of the event time. Where epochs overlap, the latest load (then the
-    highest base) takes the address over.
+    Routine addresses repeat, so the range join runs over distinct addresses, written once. The answer is, per
+    address, a list of epochs, joined as of the event time. Where epochs overlap, the latest load
+    (then the highest base) takes the address over. ``addresses`` may name a cheaper DataFrame that
+    holds at least the (host, address) of ``events``.
     """
-    distinct = events.select("host", "address").filter(F.col("address").isNotNull()).distinct()
-    epochs = match_addresses(distinct, images)
-    ordered = neighbour_time(
-        epochs, ["host", "address"], ["valid_from", "base", "seq"], "_next", backward=True, chunk_ns=chunk_ns
-    )
+    source = events if addresses is None else addresses
+    distinct = source.select("host", "address").filter(F.col("address").isNotNull()).distinct()
+    epochs = materialise(match_addresses(distinct, images))
+    keys = ["host", "address"]
+    if strategy == "auto":
+        strategy = "broadcast" if broadcastable(epochs, keys) else "scan"
+    ordered = neighbour_time(epochs, keys, ["valid_from", "base", "seq"], "_next", backward=True, chunk_ns=chunk_ns)
     cut = ordered.withColumn("valid_to", F.least("valid_to", F.coalesce("_next", F.lit(OPEN_END))))
-    return asof_join(events, cut, ["host", "address"], list(payload), chunk_ns=chunk_ns, **options)
+    return asof_join(events, cut, keys, list(payload), chunk_ns=chunk_ns, strategy=strategy)

@@ -1,6 +1,7 @@
 """Cut lineage where a small table feeds many plans."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,10 +22,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the checkpoint folder; later plans read it from there.
+    """Compute ``df`` once into a table in the checkpoint folder; later plans read that, pruned to their columns.
 
-    Entity tables are far smaller than the facts, but deriving one takes several shuffles, and each as-of
-    join refers to its epochs more than once. The copy survives the loss of executors.
+    Entity tables and aggregates are far smaller than the facts, but deriving one takes several shuffles, and
+    each as-of join refers to its epochs more than once. The table survives the loss of executors, and
+    its size is known to the planner.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tracelake/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.units import NS_PER_S
 from tracelake.operators.asof import OPEN_END, asof_join
 from tracelake.operators.carry import CHUNK_NS
+from tracelake.operators.materialise import materialise
 
 IDLE_LIMIT_NS = 3 * 3600 * NS_PER_S
 
@@ -84,18 +85,6 @@ def idle_cleanup_due(last_scrape_ns: int, now_ns: int, limit_ns: int = IDLE_LIMI
     return now_ns - last_scrape_ns > limit_ns
 
 
-def expiry_deltas(deltas: DataFrame, processes: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Deltas plus, for each expired instance, one row at its expiry that takes its sum back.
-
-    ``deltas``: host, start_key, ts_ns, the series columns, value.
-    """
-    sums = deltas.groupBy("host", "start_key", *series).agg(F.sum("value").alias("value"))
-    gone = processes.filter(F.col("expires_ns") < OPEN_END).select("host", "start_key", F.col("expires_ns").alias("ts_ns"))
-    back = sums.join(gone, ["host", "start_key"]).withColumn("value", -F.col("value"))
-    columns = ["host", *series, "ts_ns", "value"]
-    return deltas.select(*columns).unionByName(back.select(*columns))
-
-
 def snapshot_counters(
     deltas: DataFrame,
     scrapes: DataFrame,
@@ -113,8 +102,6 @@ def snapshot_counters(
     With ``retain_expired=False`` (deltas need start_key, and ``processes``) the counts of an
     instance leave the sums when it expires, so values can fall.
     """
-    if not retain_expired:
-        deltas = expiry_deltas(deltas, processes, series)
     by_time = Window.partitionBy("host").orderBy("scrape_id")
     ids = numbered(scrapes)
     spans = ids.select(
@@ -124,8 +111,21 @@ def snapshot_counters(
         (F.col("ts_ns") + 1).alias("valid_to"),
         "scrape_id",
     )
-    placed = asof_join(deltas, spans, ["host"], ["scrape_id"], chunk_ns=chunk_ns).filter(F.col("scrape_id").isNotNull())
-    steps = placed.groupBy("host", *series, "scrape_id").agg(F.sum("value").alias("step"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = asof_join(df, spans, ["host"], ["scrape_id"], chunk_ns=chunk_ns)
+        return at.filter(F.col("scrape_id").isNotNull()).drop("ts_ns")
+
+    if retain_expired:
+        increments = placed(deltas)
+    else:
+        # Sums per instance and scrape serve twice: as increments, and in total to be taken back at the expiry.
+        own = ["host", "start_key", *series]
+        sums = materialise(placed(deltas).groupBy(*own, "scrape_id").agg(F.sum("value").alias("value")))
+        gone = processes.filter(F.col("expires_ns") < OPEN_END).select("host", "start_key", F.col("expires_ns").alias("ts_ns"))
+        whole = sums.groupBy(*own).agg((-F.sum("value")).alias("value"))
+        increments = sums.unionByName(placed(whole.join(gone, ["host", "start_key"])))
+    steps = increments.groupBy("host", *series, "scrape_id").agg(F.sum("value").alias("step"))
     by_series = Window.partitionBy("host", *series).orderBy("scrape_id")
     levels = steps.select(
         "host", *series, "scrape_id",

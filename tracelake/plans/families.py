@@ -228,7 +228,7 @@ def _interrupts(c: Context) -> DataFrame:
         parts.append(to_samples(per_cpu, "perfinfo_dpc_executed_cpu_total", ["cpu"], "executed"))
     if c.switches.per_driver:
         durations = interrupts.dpc_durations(dpc, switches, c.chunk_ns)
-        by_image = interrupts.dpc_duration_by_image(durations, c.images, c.switches.prune_unloaded, **c.options)
+        by_image = interrupts.dpc_duration_by_image(durations, c.images, c.switches.prune_unloaded, dpc, **c.options)
         parts.append(
             histogram_samples(by_image, "perfinfo_dpc_execution_time_microseconds", ["image_name"], DURATION_BOUNDS_US)
         )

@@ -60,17 +60,24 @@ def dpc_durations(dpc: DataFrame, cswitch: DataFrame, chunk_ns: int = CHUNK_NS)
 
 
 def dpc_duration_by_image(
-    durations: DataFrame, images: DataFrame, prune_unloaded: bool = True, chunk_ns: int = CHUNK_NS, **options
+    durations: DataFrame,
+    images: DataFrame,
+    prune_unloaded: bool = True,
+    dpc: DataFrame | None = None,
+    chunk_ns: int = CHUNK_NS,
+    **options,
 ) -> DataFrame:
     """Histogram of call duration per (host, image). Calls at unknown addresses are left out.
 
     An image is looked up when the call is finalised. With ``prune_unloaded`` the series of a driver
-    restarts when an image of that name is unloaded: only calls after the last unload count.
+    restarts when an image of that name is unloaded: only calls after the last unload count. ``dpc``, the calls
+    the durations come from, gives the routine addresses without a second pass over the pairing.
     """
     calls = durations.select(
         "host", F.col("end_ns").alias("ts_ns"), F.col("routine").alias("address"), "duration_us"
     )
-    resolved = resolve_images(calls, images, chunk_ns=chunk_ns, **options).filter(F.col("image_name").isNotNull())
+    addresses = None if dpc is None else dpc.select("host", F.col("routine").alias("address"))
+    resolved = resolve_images(calls, images, addresses=addresses, chunk_ns=chunk_ns, **options).filter(F.col("image_name").isNotNull())
     if prune_unloaded:
         resolved = after_last_unload(resolved, images)
     return histogram(resolved, F.col("duration_us"), ["host", "image_name"], DURATION_BOUNDS_US)

@@ -423,7 +423,7 @@ _cte, _select = o.cumulative_sql("fresh", ["image_name"], o.BOUNDS_DURATION, "us
 @query(o.with_(o.K, o.DPC, o.IMAGES, ROUTINES, _cte, select=_select))
 def dpc_duration_by_image(t: Trace) -> DataFrame:
     durations = interrupts.dpc_durations(t.dpc, t.cswitch, CHUNK_NS)
-    return cumulative(interrupts.dpc_duration_by_image(durations, t.part_images, **t.options), DURATION_BOUNDS_US)
+    return cumulative(interrupts.dpc_duration_by_image(durations, t.part_images, dpc=t.dpc, **t.options), DURATION_BOUNDS_US)
 
 
 _cte, _select = o.cumulative_sql("hits", ["image_name"], o.BOUNDS_DURATION, "us", "first_ge", "us")
