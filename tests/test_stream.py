@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.util import rows
-from tracelake.operators.histogram import GAP_BOUNDS_MS, LATENCY_BOUNDS_US
+from tracelake.operators import entities
+from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, LATENCY_BOUNDS_US
 from tracelake.plans import disk, interrupts, memory, network, registry_ops, threads
+from tracelake.sources.dimensions import service_dim
 from tracelake.sources.events import read_events, wide_events
 from tracelake.sources.schema import WIDE_EVENTS
 from tracelake.streaming import native
@@ -17,11 +19,13 @@ from tracelake.streaming.totals import compact, late_rows, stream_counters, stre
 from workload.views import CHUNK_NS, GRACE_NS, Trace
 
 DELAY_NS = 3_000_000
-OPTIONS = StreamOptions(delay_ns=DELAY_NS, grace_ns=GRACE_NS, chunk_ns=CHUNK_NS, call_limit_ns=1_000_000)
+OPTIONS = StreamOptions(delay_ns=DELAY_NS, grace_ns=GRACE_NS, chunk_ns=CHUNK_NS, call_limit_ns=1_000_000, per_driver=True)
 
 
 def wide_table(t: Trace):
     context = t.context()
+    context.typed.update({"image_load": t.image_loads, "image_unload": t.image_unloads, "service_config": t.service_config.withColumn("ts_ns", F.lit(0))})
+    context.typed["dpc"] = t.dpc.withColumn("routine", F.col("seq") * 31 % 100 * 4096 + 4096 + F.col("seq") % 600)
     parts = [wide_events(df.withColumn("cls", F.lit(c))) for c, df in context.typed.items() if not c.startswith("disk_phys") and not c.startswith("disk_log")]
     table = functools.reduce(lambda a, b: a.unionByName(b), parts)
     return table.withColumn("ts", F.timestamp_micros(F.col("ts_ns").cast("bigint")))
@@ -51,6 +55,15 @@ def streamed(spark, trace, tmp_path_factory):
     return root
 
 
+def enriched(trace):
+    """The trace with its process table enriched, as the stream has it."""
+    t = Trace(trace.spark, trace.sf_dir)
+    t.threads = trace.threads
+    p = entities.enrich_programs(trace.processes, trace.image_loads, CHUNK_NS)
+    t.processes = entities.resolve_services(p, trace.threads, service_dim(trace.service_config))
+    return t
+
+
 PROGRAM = ["process_name", "service_name", "pe_checksum", "session_id"]
 
 
@@ -77,7 +90,7 @@ def test_instances(spark, streamed, trace):
     ],
 )
 def test_program_counters(spark, streamed, trace, metric, dims, batch):
-    want = batch(trace, trace.options)
+    want = batch(enriched(trace), trace.options)
     want = want.select(*PROGRAM, *[F.col(d).cast("string").alias(d) for d in dims], "value")
     got = stream_counters(spark, str(streamed / "out"), metric, dims, per_program=True)
     assert rows(got, *PROGRAM, *dims, "value") == rows(want)
@@ -104,6 +117,25 @@ def test_histograms(spark, streamed, trace):
     assert rows(got, "n", "total", "buckets") == rows(want, "n", "total", "buckets")
 
 
+def test_durations_by_driver(spark, streamed, trace):
+    calls = trace.dpc.withColumn("routine", F.col("seq") * 31 % 100 * 4096 + 4096 + F.col("seq") % 600)
+    durations = interrupts.dpc_durations(calls, trace.cswitch, CHUNK_NS)
+    images = entities.image_intervals(trace.image_loads, trace.image_unloads, CHUNK_NS)
+    want = interrupts.dpc_duration_by_image(durations, images, prune_unloaded=False, chunk_ns=CHUNK_NS)
+    got = stream_histograms(spark, str(streamed / "out"), "perfinfo_dpc_execution_time_microseconds", ["host", "image_name"], DURATION_BOUNDS_US)
+    assert rows(got, "image_name", "n", "total", "buckets") == rows(want, "image_name", "n", "total", "buckets")
+    assert want.count() > 10
+
+
+def test_enrichment(spark, streamed, trace):
+    want = entities.enrich_programs(trace.processes, trace.image_loads, CHUNK_NS)
+    want = entities.resolve_services(want, trace.threads, service_dim(trace.service_config))
+    got = stream_instances(spark, str(streamed / "out"))
+    columns = ["start_key", "process_name", "service_name", "pe_checksum", "session_id"]
+    assert rows(got, *columns) == rows(want, *columns)
+    assert want.filter("service_name <> ''").count() > 0
+
+
 def test_compaction_keeps_totals(spark, streamed, tmp_path):
     compact(spark, str(streamed / "out"), str(tmp_path))
     before = stream_counters(spark, str(streamed / "out"), "thread_states_total", ["state"], per_program=False)

@@ -11,6 +11,9 @@ from tracelake.operators.materialise import materialise
 # touches two buckets at most; a distinct address looks once at every width.
 BUCKET_BITS = (12, 16, 20, 24, 28, 32, 62)
 
+# Image rows hold a name of up to 255 characters, so fewer of them may be broadcast than bare keys.
+BROADCAST_IMAGES = 200_000
+
 
 def _width(size: Column) -> Column:
     width = F.lit(BUCKET_BITS[-1])
@@ -36,7 +39,7 @@ def match_addresses(addresses: DataFrame, images: DataFrame) -> DataFrame:
     probes = addresses.select("host", "address", F.explode(F.array(*[F.lit(b) for b in BUCKET_BITS])).alias("_bits"))
     probes = probes.withColumn("_bucket", F.call_function("shiftright", F.col("address"), F.col("_bits")))
     keys = ["host", "_bits", "_bucket"]
-    build = F.broadcast(filed) if broadcastable(filed, keys) else filed
+    build = F.broadcast(filed) if broadcastable(filed, keys, BROADCAST_IMAGES) else filed
     inside = (F.col("address") >= F.col("base")) & (F.col("address") < F.col("_end"))
     return probes.join(build, keys).filter(inside).drop("_bits", "_bucket", "_end")
 
@@ -61,7 +64,7 @@ def resolve_images(
     epochs = materialise(match_addresses(distinct, images))
     keys = ["host", "address"]
     if strategy == "auto":
-        strategy = "broadcast" if broadcastable(epochs, keys) else "scan"
+        strategy = "broadcast" if broadcastable(epochs, keys, BROADCAST_IMAGES) else "scan"
     ordered = neighbour_time(epochs, keys, ["valid_from", "base", "seq"], "_next", backward=True, chunk_ns=chunk_ns)
     cut = ordered.withColumn("valid_to", F.least("valid_to", F.coalesce("_next", F.lit(OPEN_END))))
     return asof_join(events, cut, keys, list(payload), chunk_ns=chunk_ns, strategy=strategy)

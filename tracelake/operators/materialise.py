@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. One is made up only for a local session that has none."""
@@ -31,4 +33,15 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tracelake/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process has materialised so far, once nothing reads them any more; returns how many."""
+    count = 0
+    while _written:
+        location = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        system = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        count += bool(system.delete(location, True))
+    return count

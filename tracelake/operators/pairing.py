@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.units import NS_PER_MS, NS_PER_S
 from tracelake.operators.carry import CHUNK_NS, fill, neighbour_time, stack_depth
+from tracelake.operators.materialise import materialise
 
 MAX_PAIR_NS = 3600 * NS_PER_S
 CPU = ["host", "cpu"]
@@ -42,6 +43,8 @@ def pair_isr_dpc(
     Interrupts stack up and a call takes the top one, so a row's partner is the previous row on its
     stack level. Adds nothing for calls without a partner. Output: host, cpu, dpc_seq, isr_seq,
     isr_ns, dpc_ns, latency_ns. ``max_isr_age_ms`` narrows the 1 h. Ordering is by initial time.
+
+    The rows with their stack level are written once: the last step looks at them twice, and behind them are two scans.
     """
     rows = isr.select("host", "cpu", F.col("initial_ns").alias("at_ns"), "seq", F.lit(0).alias("is_dpc")).unionByName(
         finalised.select("host", "cpu", F.col("initial_ns").alias("at_ns"), "seq", F.lit(1).alias("is_dpc"))
@@ -50,6 +53,7 @@ def pair_isr_dpc(
     levelled = stack_depth(
         rows, CPU, order, F.when(F.col("is_dpc") == 1, -1).otherwise(1), "depth", chunk_ns=chunk_ns
     ).withColumn("level", F.col("depth") + F.col("is_dpc"))
+    levelled = materialise(levelled.drop("depth"))
     here = F.struct("is_dpc", "at_ns", "seq")
     paired = fill(levelled, [*CPU, "level"], order, {"below": here}, chunk_ns=chunk_ns)
     limit = MAX_PAIR_NS if max_isr_age_ms is None else min(MAX_PAIR_NS, max_isr_age_ms * NS_PER_MS + 1)

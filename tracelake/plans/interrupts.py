@@ -7,6 +7,7 @@ from tracelake.functions.units import NS_PER_S, micros, whole
 from tracelake.operators.carry import CHUNK_NS
 from tracelake.operators.histogram import DURATION_BOUNDS_US, LATENCY_BOUNDS_US, histogram
 from tracelake.operators.images import resolve_images
+from tracelake.operators.materialise import materialise
 from tracelake.operators.pairing import finalised_dpcs, pair_isr_dpc
 from tracelake.plans.rollup import full_keys
 
@@ -46,7 +47,8 @@ def isr_dpc_latency(
 
     Hosts with interrupts or calls but no pair have an empty histogram, not none.
     """
-    finalised = finalised_dpcs(dpc, cswitch, chunk_ns)
+    # Pairing looks at the finalised calls more than once; switches, far more numerous, are read only for this.
+    finalised = materialise(finalised_dpcs(dpc, cswitch, chunk_ns))
     pairs = pair_isr_dpc(isr, finalised, max_isr_age_ms, chunk_ns).select("host", micros(F.col("latency_ns")).alias("us"))
     hosts = isr.select("host").distinct().unionByName(dpc.select("host").distinct()).distinct()
     padded = pairs.unionByName(hosts.withColumn("us", F.lit(None).cast("bigint")))

@@ -17,8 +17,9 @@ def _label_map(labels: Sequence[str], *extra: Column) -> Column:
 
 
 def to_samples(df: DataFrame, metric: str, labels: Sequence[str], value: str, kind: str = COUNTER) -> DataFrame:
-    """Rows of (host, metric, labels, value, kind)."""
+    """Rows of (host, metric, labels, value, kind), with ``scrape_id`` where ``df`` has it."""
     return df.select(
+        *[c for c in ("scrape_id",) if c in df.columns],
         "host",
         F.lit(metric).alias("metric"),
         _label_map(labels).alias("labels"),
@@ -57,6 +58,11 @@ def _number(bound: float) -> str:
     return f"{bound:.10g}"
 
 
+def at_scrape(samples: DataFrame, scrape_id: int) -> DataFrame:
+    """Stamp the samples of one evaluation."""
+    return samples.select(F.lit(scrape_id).cast("bigint").alias("scrape_id"), "*")
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Write samples partitioned by metric. Rows are ranged by (metric, host), so a large metric gets several files."""
     samples.repartitionByRange("metric", "host").write.mode(mode).partitionBy("metric").parquet(path)

@@ -24,7 +24,7 @@ from tracelake.operators.carry import CHUNK_NS
 from tracelake.operators.histogram import LATENCY_BOUNDS_US, histogram
 from tracelake.operators.pairing import MAX_PAIR_NS, finalised_dpcs, pair_isr_dpc
 from tracelake.operators.scrapes import IDLE_LIMIT_NS
-from tracelake.plans import disk, memory, network, registry_ops, threads
+from tracelake.plans import disk, interrupts, memory, network, registry_ops, threads
 from tracelake.plans.network import CLASSES as NETWORK_CLASSES
 from tracelake.sources.schema import WIDE_EVENTS
 from tracelake.streaming.state import Carry, latest_batch
@@ -34,6 +34,10 @@ FAMILIES = ("disk_io", "threads", "interrupts", "network", "memory", "registry")
 _CLOCK = StructType([StructField("watermark_ns", LongType())])
 _KNOWN = [StructField(n, LongType()) for n in ("known_next_ns", "known_end_ns", "known_start_key", "last_seen_ns")]
 _ENTITY = StructType([*WIDE_EVENTS.fields, *_KNOWN, StructField("weight", LongType())])
+# Columns that start rows may leave open.
+_DEFAULTS = {"session_id": 0, "service_name": "", "pe_checksum": 0}
+# Families that attribute events to processes.
+_ATTRIBUTED = {"disk_io", "threads", "network", "memory", "registry"}
 _TABLES = (
     "clock", "pending", "entities", "cpu", "work_instances", "work_threads", "work_processes", "work_images", "work_calls", "work_ordered", "work_pairs",
 )
@@ -48,6 +52,8 @@ class StreamOptions:
     call_limit_ns: int = NS_PER_S
     idle_limit_ns: int = IDLE_LIMIT_NS
     max_isr_age_ms: int | None = None
+    # Call durations by driver; on a stream a series covers the whole run, also past an unload of its driver.
+    per_driver: bool = False
     chunk_ns: int = CHUNK_NS
 
 
@@ -128,26 +134,44 @@ class Slice:
     def _known(self) -> None:
         """Entity tables as of the watermark, written once: the carry of this batch and the base of its joins."""
         o = self.options
-        starts, loads = self._with_carried("process_start"), self._with_carried("image_load")
-        starts = starts.withColumn("session_id", F.coalesce("session_id", F.lit(0))).withColumn(
-            "service_name", F.coalesce("service_name", F.lit(""))
-        ).withColumn("pe_checksum", F.coalesce("pe_checksum", F.lit(0)))
-        plan = entities.process_intervals(starts, self.of("process_end"), o.grace_ns, o.chunk_ns)
-        instances = self.carry.write(plan, "work_instances", self.batch_id)
-        plan = entities.thread_intervals(
-            self._with_carried("thread_start"), self.of("thread_end"), instances, o.grace_ns, chunk_ns=o.chunk_ns
-        )
-        self.threads = self.carry.write(plan, "work_threads", self.batch_id)
-        enriched = entities.enrich_programs(instances, self.of("image_load"), o.chunk_ns)
-        self.service_rows = self._with_carried("service_config")
-        services = self.service_rows.groupBy("host", "tag").agg(F.max_by("service_name", "seq").alias("service_name"))
-        enriched = entities.resolve_services(enriched, self.threads, services)
-        self.processes = self.carry.write(enriched, "work_processes", self.batch_id)
-        self.references = self.carry.write(
-            entities.image_references(loads, self.of("image_unload"), o.chunk_ns), "work_images", self.batch_id
-        )
+        if self.has_entities:
+            starts = self._with_carried("process_start").select(
+                *[c for c in _ENTITY.names if c not in _DEFAULTS],
+                *[F.coalesce(c, F.lit(default)).alias(c) for c, default in _DEFAULTS.items()],
+            )
+            plan = entities.process_intervals(starts, self.of("process_end"), o.grace_ns, o.chunk_ns)
+            instances = self.carry.write(plan, "work_instances", self.batch_id)
+            plan = entities.thread_intervals(
+                self._with_carried("thread_start"), self.of("thread_end"), instances, o.grace_ns, chunk_ns=o.chunk_ns
+            )
+            self.threads = self.carry.write(plan, "work_threads", self.batch_id)
+            enriched = entities.enrich_programs(instances, self.of("image_load"), o.chunk_ns)
+            self.service_rows = self._with_carried("service_config")
+            services = self.service_rows.groupBy("host", "tag").agg(F.max_by("service_name", "seq").alias("service_name"))
+            enriched = entities.resolve_services(enriched, self.threads, services)
+            self.processes = self.carry.write(enriched, "work_processes", self.batch_id)
+        if self.has_images:
+            plan = entities.image_references(self._with_carried("image_load"), self.of("image_unload"), o.chunk_ns)
+            self.references = self.carry.write(plan, "work_images", self.batch_id)
+            self.images = entities.load_epochs(self.references, o.chunk_ns)
+
+    @property
+    def has_entities(self) -> bool:
+        return bool(_ATTRIBUTED & set(self.options.families))
+
+    @property
+    def has_images(self) -> bool:
+        return self.options.per_driver and "interrupts" in self.options.families
 
     def write_carry(self) -> None:
+        parts = (self._entity_carry() if self.has_entities else []) + (self._image_carry() if self.has_images else [])
+        if parts:
+            self.carry.write(_union(_ENTITY, *parts), "entities", self.batch_id)
+        parts = self._cpu_carry()
+        if parts:
+            self.carry.write(_union(WIDE_EVENTS, *parts), "cpu", self.batch_id)
+
+    def _entity_carry(self) -> list[DataFrame]:
         mark = F.lit(self.watermark)
         # An entity that was cut but never ended goes after the idle limit.
         abandoned = F.col("valid_to") <= F.lit(_back(self.watermark, self.options.idle_limit_ns))
@@ -162,16 +186,18 @@ class Slice:
             "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("thread_start").alias("cls"), "pid", "tid", "sub_process_tag",
             known_next, known_end, F.col("start_key").alias("known_start_key"),
         )
+        tags = self.service_rows.groupBy("host", "tag").agg(
+            F.max("seq").alias("seq"), F.max_by("service_name", "seq").alias("service_name")
+        )
+        return [starts, tids, tags.withColumn("cls", F.lit("service_config"))]
+
+    def _image_carry(self) -> list[DataFrame]:
         refs = self.references.groupBy("host", "base").agg(F.max_by("refs", F.struct("ts_ns", "seq")).alias("weight"))
-        epochs = entities.load_epochs(self.references, self.options.chunk_ns).filter(F.col("unload_ns").isNull())
-        loads = epochs.join(refs, ["host", "base"]).select(
+        live = self.images.filter(F.col("unload_ns").isNull()).join(refs, ["host", "base"])
+        return [live.select(
             "host", "seq", F.col("valid_from").alias("ts_ns"), F.lit("image_load").alias("cls"), "base", "size",
             F.col("image_name").alias("file_name"), "weight",
-        )
-        tags = self.service_rows.groupBy("host", "tag").agg(F.max("seq").alias("seq"), F.max_by("service_name", "seq").alias("service_name"))
-        tags = tags.withColumn("cls", F.lit("service_config"))
-        self.carry.write(_union(_ENTITY, starts, tids, loads, tags), "entities", self.batch_id)
-        self.carry.write(_union(WIDE_EVENTS, *self._cpu_carry()), "cpu", self.batch_id)
+        )]
 
     def _cpu_carry(self) -> list[DataFrame]:
         wide = [f.name for f in WIDE_EVENTS.fields]
@@ -240,8 +266,6 @@ def _union(schema: StructType, *parts: DataFrame) -> DataFrame:
         p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
         for p in parts
     ]
-    if not shaped:
-        raise ValueError("nothing to carry")
     return reduce(lambda a, b: a.unionByName(b), shaped)
 
 
@@ -340,14 +364,25 @@ def _write_results(s: Slice, sink: Carry, batch_id: int) -> None:
     parts = []
     if "threads" in s.options.families:
         gaps = threads.cswitch_intervals(s.on_cpu("cswitch"), chunk_ns=s.options.chunk_ns)
-        parts.append(gaps.withColumn("metric", F.lit("thread_context_switch_interval_milliseconds")))
+        parts.append(_labelled(gaps, "thread_context_switch_interval_milliseconds"))
     if "interrupts" in s.options.families:
         latency = micros(F.col("latency_ns"))
         pairs = s.pairs
         if s.options.max_isr_age_ms is not None:
             pairs = pairs.filter(F.col("latency_ns") <= s.options.max_isr_age_ms * 1_000_000)
-        h = histogram(pairs, latency, ["host"], LATENCY_BOUNDS_US).withColumn("cpu", F.lit(None).cast("int"))
-        parts.append(h.withColumn("metric", F.lit("perfinfo_isr_to_dpc_latency_microseconds")))
+        h = histogram(pairs, latency, ["host"], LATENCY_BOUNDS_US)
+        parts.append(_labelled(h, "perfinfo_isr_to_dpc_latency_microseconds"))
+    if s.has_images:
+        durations = s.finalised.withColumn("duration_us", micros(F.col("duration_ns")))
+        h = interrupts.dpc_duration_by_image(durations, s.images, prune_unloaded=False, chunk_ns=s.options.chunk_ns)
+        parts.append(_labelled(h, "perfinfo_dpc_execution_time_microseconds"))
     if parts:
         sink.write(reduce(lambda a, b: a.unionByName(b), parts), "histograms", batch_id)
-    sink.write(s.processes.select("host", "start_key", *entities.PROGRAM), "instances", batch_id)
+    if s.has_entities:
+        sink.write(s.processes.select("host", "start_key", *entities.PROGRAM), "instances", batch_id)
+
+
+def _labelled(h: DataFrame, metric: str) -> DataFrame:
+    """Histograms of all metrics in one table."""
+    labels = [(F.col(c) if c in h.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("cpu", "int"), ("image_name", "string"))]
+    return h.select("host", *labels, F.lit(metric).alias("metric"), "n", "total", "buckets")

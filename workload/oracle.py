@@ -111,8 +111,8 @@ def with_(*ctes: str, select: str) -> str:
 
 
 def by_program(source: str, dims: str, values: str) -> str:
+    groups = ", ".join(str(i + 2) for i in range(4 + (dims.count(",") + 1 if dims else 0)))
     dims = f", {dims}" if dims else ""
-    groups = ", ".join(str(i + 2) for i in range(4 + (dims.count(","))))
     return (
         f"SELECT '{HOST}' AS host, {PROGRAM_COLUMNS}{dims}, {values} FROM {source} JOIN programs USING (start_key) "
         f"GROUP BY {groups}"

@@ -3,6 +3,7 @@
 ``QUERIES[name]`` is a function of (spark, sf_dir); ``ORACLE[name]`` the SQL.
 """
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tracelake import functions as fn
 from tracelake.functions import micros, pseudo_start_key
 from tracelake.operators import attribute, entities, images, pairing, scrapes
+from tracelake.operators.materialise import ensure_checkpoint_dir, materialise
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, LATENCY_BOUNDS_US, cumulative, histogram, merge_histograms
 from tracelake.plans import disk, interrupts, inventory, memory, network, registry_ops, threads
 from tracelake.plans.families import samples
@@ -18,8 +20,10 @@ from tracelake.sources import dimensions
 from tracelake.sources.events import classify, decode_events
 from tracelake.sources.events import decode_errors as count_errors
 from tracelake.sources.samples import exposition, histogram_samples
+from tracelake.streaming.runner import StreamOptions, drain, run_stream
+from tracelake.streaming.totals import stream_counters, stream_histograms
 from workload import oracle as o
-from workload.views import CHUNK_NS, DAY_NS, GRACE_NS, HOST, Trace
+from workload.views import CHUNK_NS, DAY_NS, GRACE_NS, HOST, StreamTrace, Trace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -394,12 +398,13 @@ def dpc_pressure(t: Trace) -> DataFrame:
 
 @query(o.with_(o.K, o.PAIRS, select=f"SELECT '{HOST}' AS host, * FROM pairs"))
 def isr_dpc_pairs(t: Trace) -> DataFrame:
-    return pairing.pair_isr_dpc(t.isr, pairing.finalised_dpcs(t.dpc, t.cswitch, CHUNK_NS), chunk_ns=CHUNK_NS)
+    finalised = materialise(pairing.finalised_dpcs(t.dpc, t.cswitch, CHUNK_NS))
+    return pairing.pair_isr_dpc(t.isr, finalised, chunk_ns=CHUNK_NS)
 
 
 @query(o.with_(o.K, o.PAIRS, select=f"SELECT '{HOST}' AS host, * FROM pairs WHERE latency_ns <= 10000000"))
 def isr_dpc_pairs_aged(t: Trace) -> DataFrame:
-    finalised = pairing.finalised_dpcs(t.dpc, t.cswitch, CHUNK_NS)
+    finalised = materialise(pairing.finalised_dpcs(t.dpc, t.cswitch, CHUNK_NS))
     return pairing.pair_isr_dpc(t.isr, finalised, max_isr_age_ms=10, chunk_ns=CHUNK_NS)
 
 
@@ -682,3 +687,37 @@ def exposition_text(t: Trace) -> DataFrame:
     h = threads.cswitch_intervals(t.cswitch, chunk_ns=CHUNK_NS)
     lines = histogram_samples(h, "gap_milliseconds", ["cpu"], GAP_BOUNDS_MS).filter("metric <> 'gap_milliseconds_sum'")
     return exposition(lines)
+
+
+# Streams --------------------------------------------------------------------------------------
+
+
+def _streamed(t: Trace, classes: list[str], families: list[str]) -> str:
+    """Run the families over the events as a stream to the end; returns where the results are."""
+    root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    options = StreamOptions(families=families, delay_ns=3 * DAY_NS, grace_ns=GRACE_NS, chunk_ns=CHUNK_NS)
+    run_stream(StreamTrace(t.spark, t.sf_dir).wide(classes), root, f"{root}/out", options).awaitTermination()
+    drain(t.spark, root, f"{root}/out", options)
+    return f"{root}/out"
+
+
+LIFECYCLE = ["process_start", "process_end", "thread_start", "thread_end"]
+
+
+@query(o.with_(o.K, o.PROC, o.THREAD, o.PROGRAMS, o.DISK, select=o.by_program(
+    "owned", "CAST(disk AS VARCHAR) AS disk, operation", "count(*) AS value")))
+def stream_disk_by_program(t: Trace) -> DataFrame:
+    """Attributed disk operations, summed over the slices of a stream."""
+    out = _streamed(t, [*LIFECYCLE, "disk_read", "disk_write", "disk_flush"], ["disk_io"])
+    return stream_counters(t.spark, out, "disk_process_io_operations_total", ["disk", "operation"], per_program=True)
+
+
+_cte, _select = o.cumulative_sql("lat", [], o.BOUNDS_LATENCY, "us", "first_ge", "us")
+
+
+@query(o.with_(o.K, o.PAIRS, "lat AS (SELECT latency_ns // 1000 AS us FROM pairs)", _cte, select=_select))
+def stream_isr_dpc_latency(t: Trace) -> DataFrame:
+    """Interrupt latency, paired across the slices of a stream."""
+    out = _streamed(t, ["isr", "dpc", "cswitch"], ["interrupts"])
+    h = stream_histograms(t.spark, out, "perfinfo_isr_to_dpc_latency_microseconds", ["host"], LATENCY_BOUNDS_US)
+    return cumulative(h, LATENCY_BOUNDS_US)

@@ -4,7 +4,7 @@ The tables hold no kernel events, so each event type stands for some classes. On
 stands for one microsecond; ``ts_ns`` is that in nanoseconds.
 """
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from tracelake.operators.materialise import materialise
 from tracelake.plans import network
 from tracelake.plans.families import Context, Switches
 from tracelake.sources import schema
+from tracelake.sources.events import wide_events
 
 HOST = "local"
 EPOCH_US = 1_704_067_200_000_000
@@ -30,9 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kernel(events: DataFrame) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_US)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.lit(HOST).alias("host"),
         F.col("event_id").alias("seq"),
         (whole(micros, 1_000_000) * 1000).alias("ts_ns"),
@@ -50,10 +51,13 @@ class Trace:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.k = kernel(spark, sf_dir)
+        self.k = kernel(self.read_events())
         # Where an operator shuffles in time chunks, chunks fit the time scale of these views.
         self.options = {"chunk_ns": CHUNK_NS}
 
+    def read_events(self) -> DataFrame:
+        return table(self.spark, self.sf_dir, "events")
+
     def _of(self, event_type: str) -> DataFrame:
         return self.k.filter(F.col("event_type") == event_type)
 
@@ -261,3 +265,16 @@ class Trace:
             provider = F.when(F.col("event_type") == event_type, F.lit(guid)).otherwise(provider)
             opcode = F.when(F.col("event_type") == event_type, number).otherwise(opcode)
         return self.k.select("host", "seq", "ts_ns", provider.alias("provider"), opcode.cast("int").alias("opcode"))
+
+
+class StreamTrace(Trace):
+    """The same classes over the events read as a stream."""
+
+    def read_events(self) -> DataFrame:
+        schema_ = table(self.spark, self.sf_dir, "events").schema
+        return self.spark.readStream.schema(schema_).parquet(f"{self.sf_dir}/events*.parquet")
+
+    def wide(self, classes: list[str]) -> DataFrame:
+        typed = self.context().typed
+        parts = [wide_events(typed[c].withColumn("cls", F.lit(c))) for c in classes]
+        return reduce(lambda a, b: a.unionByName(b), parts)
