@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.carry import _CHUNK, CHUNK_NS, _finish, chunk_of
+from tracelake.operators.carry import _CHUNK, CHUNK_NS, chunk_of
 
 OPEN_END = (1 << 63) - 1
 
@@ -101,9 +101,6 @@ def _scan_join(
     def keyed() -> Column:
         return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
-    def with_keys(df: DataFrame) -> DataFrame:
-        return df.select("*", *[F.col(c).alias(k) for c, k in zip(fact_keys, keys)])
-
     # Empty epochs are gone, so at most one epoch of a key starts at any time.
     starts = points.filter(keyed()).select(
         *keys,
@@ -111,11 +108,12 @@ def _scan_join(
         F.lit(0).cast("tinyint").alias("_kind"),
         "_seq",
         chunk_of(F.col("_from"), chunk_ns).alias(_CHUNK),
-        F.struct("_to", *[f"_p_{c}" for c in payload]).alias("_in__epoch"),
+        F.struct("_to", *[f"_p_{c}" for c in payload]).alias("_at"),
     )
     # A chunk of facts receives the last epoch of earlier chunks: its own row sorts ahead of the epochs of its chunk.
-    last = starts.groupBy(*keys, _CHUNK).agg(F.max_by("_in__epoch", F.struct("_time", "_seq")).alias("_epoch"))
-    seen = with_keys(directory).filter(keyed()).select(*keys, chunk_of(F.col(fact_time), chunk_ns).alias(_CHUNK)).distinct()
+    last = starts.groupBy(*keys, _CHUNK).agg(F.max_by("_at", F.struct("_time", "_seq")).alias("_epoch"))
+    at = [F.col(c).alias(k) for c, k in zip(fact_keys, keys)]
+    seen = directory.select(*at, chunk_of(F.col(fact_time), chunk_ns).alias(_CHUNK)).filter(keyed()).distinct()
     listed = last.withColumn("_kind", F.lit(1)).unionByName(seen.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     before = Window.partitionBy(*keys).orderBy(_CHUNK, "_kind").rowsBetween(Window.unboundedPreceding, -1)
     received = (
@@ -123,18 +121,26 @@ def _scan_join(
         .filter((F.col("_kind") == 0) & F.col("_epoch").isNotNull())
         .drop("_kind")
     )
+    carried = received.select(*keys, _CHUNK, F.lit(-1).cast("tinyint").alias("_kind"), F.col("_epoch").alias("_at"))
     # Facts without a key match nothing; spread them so that they do not share one window partition.
     spread = F.pmod(F.xxhash64(*[c for c in (fact_time, "seq") if c in facts.columns]), F.lit(_KEYLESS_CHUNKS))
-    probes = with_keys(facts).select(
-        "*",
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in fact_keys])
+    others = [c for c in facts.columns if c not in (*fact_keys, fact_time)]
+    probes = facts.select(
+        *others,
+        *[F.col(c).alias(k) for c, k in zip(fact_keys, keys)],
         F.col(fact_time).alias("_time"),
         F.lit(1).cast("tinyint").alias("_kind"),
-        F.when(keyed(), chunk_of(F.col(fact_time), chunk_ns)).otherwise(spread).alias(_CHUNK),
+        F.when(present, chunk_of(F.col(fact_time), chunk_ns)).otherwise(spread).alias(_CHUNK),
     )
-    rows = probes.unionByName(starts, allowMissingColumns=True)
-    scanned = _finish(rows, received, keys, ["_time", "_kind", "_seq"], ["_epoch"], False, True)
-    live = F.col(fact_time) < F.col("_epoch._to")
-    return scanned.filter(F.col("_kind") == 1).select(
-        *facts.columns, *[F.when(live, F.col(f"_epoch._p_{c}")).alias(c) for c in payload]
+    rows = probes.unionByName(starts, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    # The carried epoch has no time and comes first; at equal times an epoch precedes the facts.
+    upto = Window.partitionBy(*keys, _CHUNK).orderBy(F.col("_time").asc_nulls_first(), "_kind", "_seq")
+    upto = upto.rowsBetween(Window.unboundedPreceding, 0)
+    scanned = rows.select("*", F.last("_at", ignorenulls=True).over(upto).alias("_epoch")).filter(F.col("_kind") == 1)
+    back = {**{c: k for c, k in zip(fact_keys, keys)}, fact_time: "_time"}
+    live = F.col("_time") < F.col("_epoch._to")
+    return scanned.select(
+        *[F.col(back.get(c, c)).alias(c) for c in facts.columns],
+        *[F.when(live, F.col(f"_epoch._p_{c}")).alias(c) for c in payload],
     )
-

@@ -104,14 +104,19 @@ def neighbour_time(
 ) -> DataFrame:
     """Add the time of the previous row of the key (the next one, if backward); null at the end.
 
-    The special case of :func:`fill` whose value is the time itself, so a chunk is
-    summarised by a plain ``max`` / ``min`` (hash aggregated on the map side).
+    The case of :func:`fill` whose value is the time itself: a chunk is summarised by a plain ``max`` / ``min``
+    (hash aggregated on the map side) and the scan is a plain ``lag``.
     """
     time = order[0]
-    chunked = rows.select("*", chunk_of(F.col(time), chunk_ns).alias(_CHUNK), F.col(time).alias(f"_in_{out}"))
+    chunked = rows.select("*", chunk_of(F.col(time), chunk_ns).alias(_CHUNK))
     edge = F.min(time) if backward else F.max(time)
-    handed = chunked.groupBy(*keys, _CHUNK).agg(edge.alias(out))
-    return _finish(chunked, _received(handed, keys, [out], backward), keys, order, [out], backward, False)
+    handed = chunked.groupBy(*keys, _CHUNK).agg(edge.alias(time))
+    # The edge of an earlier chunk lies outside this one, so it sorts ahead of all its rows by its own time.
+    extra = _received(handed, keys, [time], backward).withColumn(_REAL, F.lit(False))
+    merged = chunked.withColumn(_REAL, F.lit(True)).unionByName(extra, allowMissingColumns=True)
+    positions = [F.col(c).desc() if backward else F.col(c).asc() for c in order]
+    beside = Window.partitionBy(*keys, _CHUNK).orderBy(*positions)
+    return merged.select("*", F.lag(time).over(beside).alias(out)).filter(F.col(_REAL)).drop(_REAL, _CHUNK)
 
 
 def stack_depth(
