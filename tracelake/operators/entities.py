@@ -322,7 +322,9 @@ def expire_mappings(mappings: DataFrame, cleaned: DataFrame, id_column: str) ->
     return mappings.join(cleaned.select(*keys).distinct(), keys, "left_anti")
 
 
-def entity_counts(processes: DataFrame, threads: DataFrame, images: DataFrame, services: DataFrame, at_ns: int) -> DataFrame:
+def entity_counts(
+    processes: DataFrame, threads: DataFrame, images: DataFrame, services: DataFrame, at_ns: int
+) -> DataFrame:
     """Live and terminated-but-kept entities at a time, per host and kind.
 
     Long form: host, entity, live, terminated.

@@ -65,8 +65,8 @@ def add_histograms(parts: DataFrame, labels: Sequence[str], bounds: Sequence[flo
 def cumulative(h: DataFrame, bounds: Sequence[float]) -> DataFrame:
     """One row per label set and bound: ``le`` and the running total ``bucket_count``; every bound is present."""
     labels = [c for c in h.columns if c != "buckets"]
-    running = [
-        F.struct(F.lit(float(b)).alias("le"), sum((F.get("buckets", F.lit(j)) for j in range(1, i + 1)), F.get("buckets", F.lit(0))).alias("bucket_count"))
-        for i, b in enumerate(bounds)
-    ]
-    return h.select(*labels, F.inline(F.array(*running)))
+    running, steps = F.lit(0).cast("bigint"), []
+    for i, bound in enumerate(bounds):
+        running = running + F.get("buckets", F.lit(i))
+        steps.append(F.struct(F.lit(float(bound)).alias("le"), running.alias("bucket_count")))
+    return h.select(*labels, F.inline(F.array(*steps)))

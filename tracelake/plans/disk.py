@@ -28,7 +28,9 @@ def operations_of(totals: DataFrame) -> DataFrame:
     return totals.select("host", "disk", each)
 
 
-def disk_by_program(events: DataFrame, threads: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
+def disk_by_program(
+    events: DataFrame, threads: DataFrame, processes: DataFrame, level: str = "program", **options
+) -> DataFrame:
     """Reads and writes per (host, program, disk, operation): operations and bytes. Flushes are not attributed."""
     columns = ["host", "ts_ns", "disk", "operation", "size", "header_pid"]
     columns += [c for c in ("issuing_tid",) if c in events.columns]

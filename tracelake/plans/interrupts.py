@@ -87,6 +87,7 @@ def dpc_duration_by_image(
 
 def after_last_unload(resolved: DataFrame, images: DataFrame) -> DataFrame:
     """Rows of (host, image_name, ts_ns) later than the last unload of the name."""
-    unloads = images.filter(F.col("unload_ns").isNotNull()).groupBy("host", "image_name").agg(F.max("unload_ns").alias("_gone"))
+    unloads = images.filter(F.col("unload_ns").isNotNull())
+    unloads = unloads.groupBy("host", "image_name").agg(F.max("unload_ns").alias("_gone"))
     joined = resolved.join(unloads, ["host", "image_name"], "left")
     return joined.filter(F.col("_gone").isNull() | (F.col("ts_ns") > F.col("_gone"))).drop("_gone")

@@ -34,7 +34,8 @@ def _direction_sums() -> dict[str, Column]:
 
 def network_bytes(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
     """Bytes per (host, program, protocol), sent and received."""
-    return rollup_programs(_known(events, processes, TRANSFERS, ["size"], options), processes, ["protocol"], _direction_sums(), level)
+    known = _known(events, processes, TRANSFERS, ["size"], options)
+    return rollup_programs(known, processes, ["protocol"], _direction_sums(), level)
 
 
 def network_totals(events: DataFrame, processes: DataFrame, **options) -> DataFrame:
@@ -53,16 +54,14 @@ def connections(events: DataFrame, processes: DataFrame, level: str = "program",
 
 
 def connections_failed(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
-    """Failures per (host, program, protocol, address family, code). They carry no pid and belong to System.
-
-    Failures repeat, so they are counted per instance before the instance table is joined.
-    """
+    """Failures per (host, program, protocol, address family, code). They carry no pid and belong to System."""
     failed = events.filter(F.col("cls").isin("tcp_fail", "udp_fail")).select(
         "host", "ts_ns", protocol_of(F.col("cls")).alias("protocol"),
         address_family_name(F.col("proto")).alias("address_family"), "failure_code",
     )
     owned = known_only(attribute_system(failed, processes, **options))
-    return rollup_programs(owned, processes, ["protocol", "address_family", "failure_code"], {"value": F.count(F.lit(1))}, level)
+    dims = ["protocol", "address_family", "failure_code"]
+    return rollup_programs(owned, processes, dims, {"value": F.count(F.lit(1))}, level)
 
 
 def retransmissions(events: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:

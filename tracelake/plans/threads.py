@@ -16,7 +16,9 @@ def cswitch_per_cpu(cswitch: DataFrame) -> DataFrame:
     return cswitch.groupBy("host", "cpu").agg(F.count(F.lit(1)).alias("value"))
 
 
-def cswitch_by_program(cswitch: DataFrame, threads: DataFrame, processes: DataFrame, level: str = "program", **options) -> DataFrame:
+def cswitch_by_program(
+    cswitch: DataFrame, threads: DataFrame, processes: DataFrame, level: str = "program", **options
+) -> DataFrame:
     """Switches per program of the incoming thread. Untracked threads do not count; those mapped to the unknown process do."""
     incoming = cswitch.select("host", "ts_ns", F.col("new_tid").alias("tid"))
     known = known_only(attribute_by_tid(incoming, threads, **options))

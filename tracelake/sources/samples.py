@@ -77,8 +77,9 @@ def exposition(samples: DataFrame) -> DataFrame:
     family = F.when(F.col("kind") == HISTOGRAM, F.regexp_replace("metric", "_(bucket|sum|count)$", "")).otherwise(F.col("metric"))
 
     def quoted(text: Column) -> Column:
-        escaped = F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-        return F.concat(F.lit('"'), escaped, F.lit('"'))
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        return F.concat(F.lit('"'), text, F.lit('"'))
 
     shown = F.map_entries(F.map_concat(F.create_map(F.lit("host"), F.col("host")), "labels"))
     ordered = F.concat(

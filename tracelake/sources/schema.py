@@ -24,12 +24,16 @@ RAW_EVENTS = T.StructType([
 
 # Typed rows of any class in one table; columns a class does not have are null.
 WIDE_EVENTS = T.StructType([
-    *[T.StructField(n, RAW_EVENTS[n].dataType) for n in ("host", "seq", "ts", "ts_ns", "cpu", "header_pid", "cls", "opcode", "provider")],
+    *[
+        T.StructField(n, RAW_EVENTS[n].dataType)
+        for n in ("host", "seq", "ts", "ts_ns", "cpu", "header_pid", "cls", "opcode", "provider")
+    ],
     *[
         T.StructField(n, T.LongType())
         for n in (
             "start_key", "pid", "parent_pid", "session_id", "pe_checksum", "tid", "sub_process_tag", "new_tid",
-            "old_wait_reason", "initial_ns", "routine", "disk", "size", "issuing_tid", "proto", "failure_code", "status", "base", "tag",
+            "old_wait_reason", "initial_ns", "routine", "disk", "size", "issuing_tid", "proto", "failure_code",
+            "status", "base", "tag",
         )
     ],
     *[

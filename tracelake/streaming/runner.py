@@ -39,7 +39,8 @@ _DEFAULTS = {"session_id": 0, "service_name": "", "pe_checksum": 0}
 # Families that attribute events to processes.
 _ATTRIBUTED = {"disk_io", "threads", "network", "memory", "registry"}
 _TABLES = (
-    "clock", "pending", "entities", "cpu", "work_instances", "work_threads", "work_processes", "work_images", "work_calls", "work_ordered", "work_pairs",
+    "clock", "pending", "entities", "cpu", "work_instances", "work_threads", "work_processes", "work_images",
+    "work_calls", "work_ordered", "work_pairs",
 )
 
 
@@ -100,7 +101,8 @@ def process_slice(
         watermark = reached if latest is None else max(reached, latest - options.delay_ns)
         if final:
             watermark = OPEN_END
-        sink.write(batch.filter(F.col("ts_ns") <= reached).groupBy("host", "cls").agg(F.count(F.lit(1)).alias("rows")), "late", batch_id)
+        late = batch.filter(F.col("ts_ns") <= reached).groupBy("host", "cls").agg(F.count(F.lit(1)).alias("rows"))
+        sink.write(late, "late", batch_id)
         carry.write(arrived.filter(F.col("ts_ns") > watermark), "pending", batch_id)
         current = Slice(carry, batch_id, arrived.filter(F.col("ts_ns") <= watermark), watermark, options, final)
         _write_results(current, sink, batch_id)
@@ -179,12 +181,12 @@ class Slice:
         known_next = F.when(F.col("next_ns") < OPEN_END, F.col("next_ns")).alias("known_next_ns")
         known_end = F.col("end_ns").alias("known_end_ns")
         starts = self.processes.filter(needed).select(
-            "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("process_start").alias("cls"), "start_key", "pid", "parent_pid",
-            "session_id", "process_name", "service_name", "pe_checksum", "last_seen_ns", known_next, known_end,
+            "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("process_start").alias("cls"), "start_key", "pid",
+            "parent_pid", "session_id", "process_name", "service_name", "pe_checksum", "last_seen_ns", known_next, known_end,
         )
         tids = self.threads.filter(F.col("valid_to") > mark).select(
-            "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("thread_start").alias("cls"), "pid", "tid", "sub_process_tag",
-            known_next, known_end, F.col("start_key").alias("known_start_key"),
+            "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("thread_start").alias("cls"), "pid", "tid",
+            "sub_process_tag", known_next, known_end, F.col("start_key").alias("known_start_key"),
         )
         tags = self.service_rows.groupBy("host", "tag").agg(
             F.max("seq").alias("seq"), F.max_by("service_name", "seq").alias("service_name")
@@ -263,7 +265,9 @@ def _last_on_cpu(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _union(schema: StructType, *parts: DataFrame) -> DataFrame:
     shaped = [
-        p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        p.select(*[
+            (F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+        ])
         for p in parts
     ]
     return reduce(lambda a, b: a.unionByName(b), shaped)
@@ -282,7 +286,11 @@ def _delta(df: DataFrame, metric: str, value: str, *dims: str) -> DataFrame:
     names = F.to_json(F.struct(*[F.col(d).cast("string").alias(d) for d in dims])) if dims else F.lit("{}")
     owner: Column = F.col("start_key") if "start_key" in df.columns else F.lit(None).cast("bigint")
     return df.select(
-        "host", owner.alias("start_key"), F.lit(metric).alias("metric"), names.alias("dims"), F.col(value).cast("bigint").alias("value")
+        "host",
+        owner.alias("start_key"),
+        F.lit(metric).alias("metric"),
+        names.alias("dims"),
+        F.col(value).cast("bigint").alias("value"),
     ).filter(F.col("value") > 0)
 
 
@@ -352,7 +360,8 @@ def _registry(s: Slice, how: dict) -> list[DataFrame]:
 
 
 _BUILD: dict[str, Callable[[Slice, dict], list[DataFrame]]] = {
-    "disk_io": _disk, "threads": _threads, "interrupts": _interrupts, "network": _network, "memory": _memory, "registry": _registry,
+    "disk_io": _disk, "threads": _threads, "interrupts": _interrupts, "network": _network, "memory": _memory,
+    "registry": _registry,
 }
 
 
@@ -384,5 +393,6 @@ def _write_results(s: Slice, sink: Carry, batch_id: int) -> None:
 
 def _labelled(h: DataFrame, metric: str) -> DataFrame:
     """Histograms of all metrics in one table."""
-    labels = [(F.col(c) if c in h.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("cpu", "int"), ("image_name", "string"))]
+    kinds = {"cpu": "int", "image_name": "string"}
+    labels = [(F.col(c) if c in h.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
     return h.select("host", *labels, F.lit(metric).alias("metric"), "n", "total", "buckets")

@@ -667,7 +667,67 @@ def family_samples(t: Trace) -> DataFrame:
     return _flat(samples(t.context(), ["memory", "process"]))
 
 
-@query()
+_PROGRAM = ["process_name", "service_name", "pe_checksum", "session_id"]
+
+
+def _sample_sql(name: str, metric: str, labels: list[str], value: str, kind: str = "counter", where: str = "true") -> str:
+    """Samples of a metric from the SQL of another query."""
+    text = " || ',' || ".join(f"'{c}=' || {c}" for c in sorted(labels)) or "''"
+    return (
+        f"SELECT host, '{metric}' AS metric, {text} AS labels, CAST({value} AS DOUBLE) AS value, '{kind}' AS kind "
+        f"FROM ({ORACLE[name]}) WHERE {where}"
+    )
+
+
+def _histogram_sql(name: str, metric: str, labels: list[str], bounds: tuple, scale: float) -> str:
+    names = ", ".join(f"({float(b)!r}::DOUBLE, 'le={b:.10g}')" for b in bounds)
+    text = " || ',' || ".join(f"'{c}=' || {c}" for c in labels)
+    with_le = f"{text} || ',' || text" if labels else "text"
+    inf = f"{text} || ',le=+Inf'" if labels else "'le=+Inf'"
+    plain = text or "''"
+    rows = f"({ORACLE[name]})"
+    return f"""SELECT host, '{metric}_bucket', {with_le}, CAST(bucket_count AS DOUBLE), 'histogram' FROM {rows} h
+      JOIN (VALUES {names}) b(bound, text) ON h.le = b.bound
+    UNION ALL SELECT DISTINCT host, '{metric}_bucket', {inf}, CAST(n AS DOUBLE), 'histogram' FROM {rows}
+    UNION ALL SELECT DISTINCT host, '{metric}_sum', {plain}, total / {scale}::DOUBLE, 'histogram' FROM {rows}
+    UNION ALL SELECT DISTINCT host, '{metric}_count', {plain}, CAST(n AS DOUBLE), 'histogram' FROM {rows}"""
+
+
+_ALL_SAMPLES = "\nUNION ALL ".join([
+    _sample_sql("disk_operations", "disk_io_operations_total", ["disk", "operation"], "value"),
+    _sample_sql("disk_bytes", "disk_read_bytes_total", ["disk"], "read_bytes"),
+    _sample_sql("disk_bytes", "disk_written_bytes_total", ["disk"], "written_bytes"),
+    _sample_sql("disk_by_program", "disk_process_io_operations_total", [*_PROGRAM, "disk", "operation"], "operations"),
+    _sample_sql("disk_by_program", "disk_process_read_bytes_total", [*_PROGRAM, "disk"], "bytes", where="operation = 'read' AND bytes > 0"),
+    _sample_sql("disk_by_program", "disk_process_written_bytes_total", [*_PROGRAM, "disk"], "bytes", where="operation = 'write' AND bytes > 0"),
+    _sample_sql("disk_physical_info", "system_disk_physical_info", ["disk", "manufacturer"], "value", "gauge"),
+    _sample_sql("disk_logical_info", "system_disk_logical_info", ["disk", "drive_letter", "file_system"], "value", "gauge"),
+    _sample_sql("cswitch_per_cpu", "thread_context_switches_cpu_total", ["cpu"], "value"),
+    _histogram_sql("cswitch_gap_histogram", "thread_context_switch_interval_milliseconds", ["cpu"], GAP_BOUNDS_MS, 1e6),
+    _sample_sql("thread_states", "thread_states_total", ["state", "wait_reason"], "value"),
+    _sample_sql("cswitch_by_program", "thread_context_switches_process_total", _PROGRAM, "value"),
+    _sample_sql("dpc_counts", "perfinfo_dpc_queued_total", [], "queued"),
+    _sample_sql("dpc_counts", "perfinfo_dpc_executed_total", [], "executed"),
+    _sample_sql("dpc_counts_cpu", "perfinfo_dpc_queued_cpu_total", ["cpu"], "queued"),
+    _sample_sql("dpc_counts_cpu", "perfinfo_dpc_executed_cpu_total", ["cpu"], "executed"),
+    _histogram_sql("isr_dpc_latency", "perfinfo_isr_to_dpc_latency_microseconds", [], LATENCY_BOUNDS_US, 1.0),
+    _sample_sql("network_bytes_by_program", "network_process_sent_bytes_total", [*_PROGRAM, "protocol"], "sent_bytes", where="sent_bytes > 0"),
+    _sample_sql("network_bytes_by_program", "network_process_received_bytes_total", [*_PROGRAM, "protocol"], "received_bytes", where="received_bytes > 0"),
+    _sample_sql("network_totals", "network_sent_bytes_total", ["protocol"], "sent_bytes", where="sent_bytes > 0"),
+    _sample_sql("network_totals", "network_received_bytes_total", ["protocol"], "received_bytes", where="received_bytes > 0"),
+    _sample_sql("connections", "network_process_connections_attempted_total", [*_PROGRAM, "protocol"], "attempted", where="attempted > 0"),
+    _sample_sql("connections", "network_process_connections_accepted_total", [*_PROGRAM, "protocol"], "accepted", where="accepted > 0"),
+    _sample_sql("connections_failed", "network_connections_failed_total", [*_PROGRAM, "protocol", "address_family", "failure_code"], "value"),
+    _sample_sql("retransmissions", "network_process_retransmissions_total", _PROGRAM, "value"),
+    _sample_sql("hard_faults", "memory_hard_pagefaults_total", [], "value"),
+    _sample_sql("hard_faults_by_program", "memory_hard_pagefaults_per_process_total", _PROGRAM, "value"),
+    _sample_sql("registry_totals", "registry_operations_total", ["operation", "result"], "value"),
+    _sample_sql("registry_by_program", "registry_operations_process_total", [*_PROGRAM, "operation", "result"], "value"),
+    _sample_sql("process_info", "process_info", _PROGRAM, "value", "gauge"),
+])
+
+
+@query(_ALL_SAMPLES)
 def all_family_samples(t: Trace) -> DataFrame:
     """Every family that the views can feed, with all switches on except per-driver series."""
     context = t.context(per_cpu=True, by_protocol=True, connection_stats=True, retransmissions=True)
