@@ -9,34 +9,41 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tracelake.operators.carry import _CHUNK, CHUNK_NS, chunk_of
 
 OPEN_END = (1 << 63) - 1
 
-# An epoch table is broadcast only up to this many rows, and only if no key has so many epochs
-# that trying them one by one for each fact would cost more than an ordered scan.
-BROADCAST_ROWS = 1_000_000
+# A table is broadcast only up to this size, measured, and only if no key has so many rows that trying them
+# one by one for each fact would cost more than an ordered scan.
+BROADCAST_BYTES = 128 << 20
 BROADCAST_ROWS_PER_KEY = 64
 
 _KEYLESS_CHUNKS = 4096
 
 
-def broadcastable(
-    table: DataFrame,
-    keys: Sequence[str],
-    max_rows: int = BROADCAST_ROWS,
-    max_rows_per_key: int = BROADCAST_ROWS_PER_KEY,
-) -> bool:
-    """Measure a table: may it be broadcast and probed by ``keys``? Runs one aggregate job, once per DataFrame."""
+def row_bytes(table: DataFrame, columns: Sequence[str]) -> Column:
+    """About how much memory a row takes: 8 bytes per column, and the length of its text."""
+    text = [c for c in columns if isinstance(table.schema[c].dataType, StringType)]
+    return reduce(lambda a, b: a + b, [F.coalesce(F.length(c), F.lit(0)) for c in text], F.lit(16 + 8 * len(columns)))
+
+
+def measured(table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> tuple[int, int]:
+    """Bytes of ``columns`` in memory, and the largest number of rows of a key. One aggregate job per DataFrame."""
     known = table.__dict__.setdefault("_tracelake_measured", {})
-    name = tuple(keys)
+    name = (tuple(keys), tuple(columns))
     if name not in known:
-        per_key = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        total, top = per_key.agg(F.sum("n"), F.max("n")).first()
+        per_key = table.groupBy(*keys).agg(F.sum(row_bytes(table, columns)).alias("bytes"), F.count(F.lit(1)).alias("n"))
+        total, top = per_key.agg(F.sum("bytes"), F.max("n")).first()
         known[name] = (total or 0, top or 0)
-    total, top = known[name]
-    return total <= max_rows and top <= max_rows_per_key
+    return known[name]
+
+
+def broadcastable(table: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> bool:
+    """May ``columns`` of the table be broadcast and probed by ``keys``?"""
+    total, top = measured(table, keys, columns)
+    return total <= BROADCAST_BYTES and top <= BROADCAST_ROWS_PER_KEY
 
 
 def asof_join(
@@ -60,7 +67,8 @@ def asof_join(
     ``facts``, such as the source ``facts`` was derived from. A fact with a null key matches nothing.
     """
     if strategy == "auto":
-        strategy = "broadcast" if broadcastable(epochs, keys) else "scan"
+        used = dict.fromkeys([*keys, "seq", "valid_from", "valid_to", *payload])
+        strategy = "broadcast" if broadcastable(epochs, keys, list(used)) else "scan"
     fact_keys = list(fact_keys or keys)
     # The epoch side has the same columns whatever the facts call their keys, so joins to one table share its exchange.
     points = epochs.select(

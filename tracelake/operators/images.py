@@ -3,17 +3,22 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.asof import OPEN_END, asof_join, broadcastable
+from tracelake.operators.asof import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS_PER_KEY,
+    OPEN_END,
+    asof_join,
+    broadcastable,
+    measured,
+    row_bytes,
+)
 from tracelake.operators.carry import CHUNK_NS, neighbour_time
 from tracelake.operators.materialise import materialise
 
 # Bucket widths as powers of two. An image is filed at the narrowest width that is at least its size, where it
-# touches two buckets at most; a distinct address looks once at every width.
+# touches two buckets at most; a distinct address looks once at every width in use.
 BUCKET_BITS = (12, 16, 20, 24, 28, 32, 62)
 
-# Image rows hold a name of up to 255 characters, so fewer of them may be broadcast than bare keys.
-BROADCAST_IMAGES = 200_000
-
 
 def _width(size: Column) -> Column:
     width = F.lit(BUCKET_BITS[-1])
@@ -36,10 +41,16 @@ def match_addresses(addresses: DataFrame, images: DataFrame) -> DataFrame:
         .withColumn("_bucket", F.explode(F.sequence("_low", "_high")))
         .drop("_low", "_high")
     )
-    probes = addresses.select("host", "address", F.explode(F.array(*[F.lit(b) for b in BUCKET_BITS])).alias("_bits"))
-    probes = probes.withColumn("_bucket", F.call_function("shiftright", F.col("address"), F.col("_bits")))
     keys = ["host", "_bits", "_bucket"]
-    build = F.broadcast(filed) if broadcastable(filed, keys, BROADCAST_IMAGES) else filed
+    # One job measures the filed images and lists the widths in use, at most as many as there are.
+    size = F.sum(row_bytes(filed, filed.columns))
+    per_bucket = filed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), size.alias("bytes"))
+    total, top, used = per_bucket.agg(F.sum("bytes"), F.max("n"), F.collect_set("_bits")).first()
+    widths = F.array(*[F.lit(b) for b in sorted(used) or BUCKET_BITS[:1]])
+    probes = addresses.select("host", "address", F.explode(widths).alias("_bits"))
+    probes = probes.withColumn("_bucket", F.call_function("shiftright", F.col("address"), F.col("_bits")))
+    small = (total or 0) <= BROADCAST_BYTES and (top or 0) <= BROADCAST_ROWS_PER_KEY
+    build = F.broadcast(filed) if small else filed
     inside = (F.col("address") >= F.col("base")) & (F.col("address") < F.col("_end"))
     return probes.join(build, keys).filter(inside).drop("_bits", "_bucket", "_end")
 
@@ -64,7 +75,10 @@ def resolve_images(
     epochs = materialise(match_addresses(distinct, images))
     keys = ["host", "address"]
     if strategy == "auto":
-        strategy = "broadcast" if broadcastable(epochs, keys, BROADCAST_IMAGES) else "scan"
-    ordered = neighbour_time(epochs, keys, ["valid_from", "base", "seq"], "_next", backward=True, chunk_ns=chunk_ns)
-    cut = ordered.withColumn("valid_to", F.least("valid_to", F.coalesce("_next", F.lit(OPEN_END))))
+        strategy = "broadcast" if broadcastable(epochs, keys, epochs.columns) else "scan"
+    cut = epochs
+    if measured(epochs, keys, epochs.columns)[1] > 1:
+        order = ["valid_from", "base", "seq"]
+        ordered = neighbour_time(epochs, keys, order, "_next", backward=True, chunk_ns=chunk_ns)
+        cut = ordered.withColumn("valid_to", F.least("valid_to", F.coalesce("_next", F.lit(OPEN_END))))
     return asof_join(events, cut, keys, list(payload), chunk_ns=chunk_ns, strategy=strategy)

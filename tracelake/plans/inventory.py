@@ -74,3 +74,17 @@ def interval_diagnostics(
     latest = both.groupBy("host").agg(F.max("interval").alias("_latest"))
     recent = (F.col("_latest") - F.col("interval")) * F.lit(every_ns) < F.lit(keep_ns)
     return both.join(latest, "host").filter(recent).drop("_latest")
+
+
+def cleaned_processes(cleaned: DataFrame) -> DataFrame:
+    """Per (host, scrape): how many instances were cleaned, and the sorted ``start_key-pid-basename`` list.
+
+    ``cleaned``: instances with ``cleaned_scrape`` (see ``cleaned_at``); those not cleaned yet are left out.
+    """
+    label = F.concat_ws(
+        "-", F.col("start_key").cast("string"), F.col("pid").cast("string"), base_name(F.col("process_name"))
+    )
+    gone = cleaned.filter(F.col("cleaned_scrape").isNotNull())
+    return gone.groupBy("host", "cleaned_scrape").agg(
+        F.count(F.lit(1)).alias("cleaned"), F.array_join(F.sort_array(F.collect_list(label)), ",").alias("processes")
+    )

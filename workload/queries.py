@@ -20,6 +20,7 @@ from tracelake.sources import dimensions
 from tracelake.sources.events import classify, decode_events
 from tracelake.sources.events import decode_errors as count_errors
 from tracelake.sources.samples import exposition, histogram_samples
+from tracelake.streaming import native
 from tracelake.streaming.runner import StreamOptions, drain, run_stream
 from tracelake.streaming.totals import stream_counters, stream_histograms
 from workload import oracle as o
@@ -523,6 +524,16 @@ def cleaned_at(t: Trace) -> DataFrame:
     return scrapes.cleaned_at(t.processes, t.scrapes, min_grace_s=0.2).select("host", "start_key", "generation", "cleaned_scrape")
 
 
+@query(o.with_(o.K, o.PROC, o.SCRAPES, THRESHOLDS, """
+aged AS (SELECT *, CASE WHEN end_ns IS NOT NULL THEN (SELECT count(*) FROM scrapes WHERE scrapes.ts_ns <= end_ns) END AS generation FROM proc),
+gone AS (SELECT *, (SELECT min(scrape_id) FROM limits WHERE limits.threshold > aged.generation AND limits.scrape_id > aged.generation) AS cleaned_scrape FROM aged)""",
+    select=f"""SELECT '{HOST}' AS host, cleaned_scrape, count(*) AS cleaned,
+    string_agg(start_key || '-' || pid || '-' || process_name, ',' ORDER BY start_key || '-' || pid || '-' || process_name) AS processes
+    FROM gone WHERE cleaned_scrape IS NOT NULL GROUP BY cleaned_scrape"""))
+def cleaned_processes(t: Trace) -> DataFrame:
+    return inventory.cleaned_processes(scrapes.cleaned_at(t.processes, t.scrapes, min_grace_s=0.2))
+
+
 def _levels(deltas: str) -> str:
     return f"""
 steps AS (SELECT d.disk, (SELECT min(scrape_id) FROM scrapes WHERE scrapes.ts_ns >= d.ts_ns) AS scrape_id, d.value FROM {deltas} d),
@@ -781,3 +792,34 @@ def stream_isr_dpc_latency(t: Trace) -> DataFrame:
     out = _streamed(t, ["isr", "dpc", "cswitch"], ["interrupts"])
     h = stream_histograms(t.spark, out, "perfinfo_isr_to_dpc_latency_microseconds", ["host"], LATENCY_BOUNDS_US)
     return cumulative(h, LATENCY_BOUNDS_US)
+
+
+def _completed(t: Trace, aggregated: DataFrame) -> DataFrame:
+    """Run a streaming aggregation to its end; its final table."""
+    root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/table")
+
+    writer = aggregated.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{root}/ck")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{root}/table")
+
+
+@query(o.with_(o.K, f"""
+started AS (SELECT ts_ns // {DAY_NS} AS interval, pid || '-app' || (tid % 7) || '.exe' AS label FROM k WHERE event_type = 'signup')""",
+    select=f"""SELECT '{HOST}' AS host, interval, count(*) AS new_processes, count(*) AS new_threads,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS processes FROM started GROUP BY interval"""))
+def stream_interval_counts(t: Trace) -> DataFrame:
+    """Per-interval diagnostics as a watermarked streaming aggregation. Here intervals are days of table time."""
+    lifecycle = StreamTrace(t.spark, t.sf_dir).wide(["process_start", "thread_start"])
+    timed = lifecycle.withColumn("ts", F.timestamp_seconds(fn.micros(F.col("ts_ns"))))
+    counts = _completed(t, native.interval_counts(timed, "1 day", "3 days"))
+    interval = F.unix_seconds("interval_start") / 86_400
+    return counts.select("host", interval.cast("bigint").alias("interval"), "new_processes", "new_threads", "processes")
+
+
+@query(o.with_(o.K, o.DPC, select=f"SELECT '{HOST}' AS host, cpu, count(*) AS value FROM k WHERE event_type = 'click' GROUP BY cpu"))
+def stream_cswitch_per_cpu(t: Trace) -> DataFrame:
+    """A stateless family function applied to a stream as it is."""
+    return _completed(t, threads.cswitch_per_cpu(StreamTrace(t.spark, t.sf_dir).cswitch))
