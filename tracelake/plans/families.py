@@ -299,7 +299,10 @@ def _process(c: Context) -> DataFrame:
 
 
 def _health(c: Context) -> DataFrame:
-    return to_samples(inventory.events_received(c.raw), "handler_events_received_total", ["provider"], "value")
+    received = c.raw if c.raw is not None else c.wide
+    if received is None:
+        raise KeyError("family 'health' needs the events as one table")
+    return to_samples(inventory.events_received(received), "handler_events_received_total", ["provider"], "value")
 
 
 register_family("disk_io", (*_THREADS, "disk_read", "disk_write", "disk_flush"), _disk, default=True)

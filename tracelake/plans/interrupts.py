@@ -79,15 +79,16 @@ def dpc_duration_by_image(
         "host", F.col("end_ns").alias("ts_ns"), F.col("routine").alias("address"), "duration_us"
     )
     addresses = None if dpc is None else dpc.select("host", F.col("routine").alias("address"))
-    resolved = resolve_images(calls, images, addresses=addresses, chunk_ns=chunk_ns, **options).filter(F.col("image_name").isNotNull())
-    if prune_unloaded:
-        resolved = after_last_unload(resolved, images)
-    return histogram(resolved, F.col("duration_us"), ["host", "image_name"], DURATION_BOUNDS_US)
+    named = with_last_unload(images) if prune_unloaded else images.withColumn("gone_ns", F.lit(None).cast("bigint"))
+    resolved = resolve_images(calls, named, ("image_name", "gone_ns"), addresses, chunk_ns, **options)
+    current = F.col("gone_ns").isNull() | (F.col("ts_ns") > F.col("gone_ns"))
+    counted = resolved.filter(F.col("image_name").isNotNull() & current)
+    return histogram(counted, F.col("duration_us"), ["host", "image_name"], DURATION_BOUNDS_US)
 
 
-def after_last_unload(resolved: DataFrame, images: DataFrame) -> DataFrame:
-    """Rows of (host, image_name, ts_ns) later than the last unload of the name."""
+def with_last_unload(images: DataFrame) -> DataFrame:
+    """Add to each image epoch when an image of its name was last unloaded. Joined here, to the images, and not to the calls:
+    one driver may own a large part of them."""
     unloads = images.filter(F.col("unload_ns").isNotNull())
-    unloads = unloads.groupBy("host", "image_name").agg(F.max("unload_ns").alias("_gone"))
-    joined = resolved.join(unloads, ["host", "image_name"], "left")
-    return joined.filter(F.col("_gone").isNull() | (F.col("ts_ns") > F.col("_gone"))).drop("_gone")
+    unloads = unloads.groupBy("host", "image_name").agg(F.max("unload_ns").alias("gone_ns"))
+    return images.join(unloads, ["host", "image_name"], "left")

@@ -14,10 +14,10 @@ K = f"""k AS (
   FROM events)"""
 
 PROC = f"""
-ps AS (SELECT seq, ts_ns, pid, seq AS start_key, 'app' || (tid % 7) || '.exe' AS process_name,
+ps AS (SELECT seq, ts_ns, pid, seq + 2 AS start_key, 'app' || (tid % 7) || '.exe' AS process_name,
               CASE WHEN pid = 4 THEN 0 ELSE tid % 3 END AS session_id, tid * 2654435761 % 4294967296 AS pe_checksum
        FROM k WHERE event_type = 'signup'),
-pe AS (SELECT ts_ns, last_value(CASE WHEN event_type = 'signup' THEN seq END IGNORE NULLS)
+pe AS (SELECT ts_ns, last_value(CASE WHEN event_type = 'signup' THEN seq + 2 END IGNORE NULLS)
                 OVER (PARTITION BY pid ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS start_key, event_type
        FROM k WHERE event_type IN ('signup', 'error')),
 pend AS (SELECT start_key, min(ts_ns) AS end_ns FROM pe WHERE event_type = 'error' AND start_key IS NOT NULL GROUP BY 1),

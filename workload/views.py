@@ -120,7 +120,7 @@ class Trace:
     @property
     def process_starts(self) -> DataFrame:
         return self._of("signup").select(
-            "host", "seq", "ts_ns", F.col("seq").alias("start_key"), "pid",
+            "host", "seq", "ts_ns", (F.col("seq") + 2).alias("start_key"), "pid",  # 1 is the unknown process
             F.concat(F.lit("app"), (F.col("tid") % 7).cast("string"), F.lit(".exe")).alias("process_name"),
             (F.col("tid") % 3).alias("session_id"),
             (F.col("tid") * 2654435761 % 4294967296).alias("pe_checksum"),
