@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, lines, mixing, simhash
-from tracelake.llm.common import table
+from tracelake.llm import bpe, chat, lines, mixing, quality, simhash
+from tracelake.llm.common import store, table
 from tracelake.llm.sql import ORACLE  # noqa: F401  (the entry point takes both)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,19 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    measured = store(measured.select("doc_id", "lang", *quality.MEASURES))
+    verdict = quality.judge(measured, quality.calibrate(measured, table(spark, sf_dir, "labels"), risk=0.02, level=0.05))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op7_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), cap=3, seed=0)

@@ -47,3 +47,65 @@ def mix_plan(documents: str, cap: int = 3, seed: int = 0) -> str:
 ORACLE["op8_source_mix"] = (
     f"SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken FROM ({mix_plan('documents')})"
 )
+
+
+def measures(documents: str) -> str:
+    """Rows of a relation with unique doc_ids and the six measures."""
+    return f"""
+    SELECT d.*, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_text_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+           coalesce(r.n_repeat_words, 0) AS n_repeat_words
+    FROM (SELECT *, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM {documents}) d
+    LEFT JOIN (
+      WITH word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+                    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM {documents})),
+      win AS (SELECT doc_id, pos, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+      twice AS (SELECT doc_id, pos FROM win WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1)
+      SELECT doc_id, count(DISTINCT pos + i) AS n_repeat_words FROM twice, (VALUES (0), (1), (2)) s(i) GROUP BY doc_id
+    ) r ON d.doc_id = r.doc_id"""
+
+
+#: Value and cutoffs of each rule, from the most lenient to the strictest.
+RULES = {
+    "n_symbols::DOUBLE / greatest(n_words, 1)": [3.0, 2.5, 2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05],
+    "n_dup_lines::DOUBLE / greatest(n_text_lines, 1)": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2],
+    "n_repeat_words::DOUBLE / greatest(n_words, 1)": [0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
+    "word_chars::DOUBLE / greatest(n_words, 1)": [20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.5, 8.0, 7.5, 7.0],
+}
+
+
+def judged(documents: str, labels: str, risk: float = 0.02, level: float = 0.05) -> str:
+    """Rows with measures, base_failed and kept. The binomial tail is summed from closed-form terms."""
+    share = risk / len(RULES)
+    values = ", ".join(f"[{v}, {i}]" for i, v in enumerate(RULES))
+    tests = ", ".join(f"({i}, {j}, {c})" for i, cs in enumerate(RULES.values()) for j, c in enumerate(cs))
+    return f"""
+    WITH m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM ({measures(documents)})),
+    good AS (SELECT doc_id FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+    value AS (SELECT doc_id, lang, base_failed, x[2]::INT AS rule, x[1] AS v FROM (SELECT *, unnest([{values}]) AS x FROM m)),
+    test(rule, place, cut) AS (VALUES {tests}),
+    counted AS (SELECT lang, rule, place, cut, count(*) AS n, count(*) FILTER (v > cut) AS k
+                FROM value JOIN test USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
+    tested AS (SELECT *, k < n * {share} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+                 + j * ln({share}) + (n - j) * ln(1 - {share})))) <= {level} / ((SELECT count(*) FROM (SELECT DISTINCT coalesce(lang, '') , lang IS NULL FROM counted)) * {len(RULES)}) AS safe
+               FROM counted),
+    cut AS (SELECT lang, rule, min(cut) AS cut FROM (SELECT *, bool_and(safe) OVER (PARTITION BY lang, rule ORDER BY place) AS up FROM tested) WHERE up GROUP BY ALL),
+    above AS (SELECT DISTINCT doc_id FROM value v JOIN cut c ON v.rule = c.rule AND v.lang IS NOT DISTINCT FROM c.lang WHERE v.v > c.cut)
+    SELECT m.*, NOT base_failed AND a.doc_id IS NULL AS kept FROM m LEFT JOIN above a ON m.doc_id = a.doc_id"""
+
+
+ORACLE["op6_quality_rules"] = (
+    "SELECT doc_id, n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, kept "
+    f"FROM ({judged('documents', 'labels')})"
+)
+
+ORACLE["op7_chat_snapshots"] = """
+    WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM t),
+    p AS (SELECT conv_id, place, list([role, text]) OVER (PARTITION BY conv_id ORDER BY place) AS prefix, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM r),
+    whole AS (SELECT min(conv_id) AS conv_id, n_turns, count(*) AS n_copies, prefix FROM p WHERE place = n_turns GROUP BY n_turns, prefix),
+    kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = w.n_turns AND p.n_turns > p.place AND p.prefix = w.prefix))
+    SELECT k.conv_id, (r.place - 1) // 1024 AS part, k.n_turns, k.n_copies,
+           string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
+    FROM kept k JOIN r ON r.conv_id = k.conv_id GROUP BY ALL"""
