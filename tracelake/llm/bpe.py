@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import text_or_empty
+from tracelake.llm.common import bounded_batches, text_or_empty
 
 #: Pieces the encoder of a task remembers before it starts afresh.
 CACHE = 200_000
@@ -106,6 +106,7 @@ class Codec:
 
 def load_model(spark: SparkSession, ranks: str | Path) -> Broadcast:
     """The model, built once on the driver; its size depends on the vocabulary alone (about 1 MB for 50,000 tokens)."""
+    bounded_batches(spark)
     return spark.sparkContext.broadcast(build_model(read_ranks(ranks)))
 
 

@@ -30,3 +30,11 @@ def row_keys(*columns: Column) -> list[Column]:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lower the session's Arrow batch size to ``rows`` texts, so that a Python worker holds few of them at a time."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    current = int(spark.conf.get(setting))
+    if current <= 0 or current > rows:
+        spark.conf.set(setting, str(rows))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import shuffle_partitions, text_or_empty
+from tracelake.llm.common import bounded_batches, shuffle_partitions, text_or_empty
 
 # Common words of English, French, German and Spanish that start a chain, and those that only are no content words.
 ANCHORS = frozenset("the a an is was that it le la une est qui der die das ist ein el los una es que".split())
@@ -92,6 +92,7 @@ def with_next(docs: DataFrame, work: Callable[[Iterator[tuple[object, str, str]]
     range); each range also gets the first rows of the next non-empty one, so texts are shuffled once and no range is read whole.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = shuffle_partitions(spark)
     keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("order"), text_or_empty("text").alias("text"))
     steps = 4 * parts
@@ -168,6 +169,8 @@ def compare_edits(docs: DataFrame, chain: int = 2) -> DataFrame:
 def fingerprints(docs: DataFrame, chain: int = 2) -> DataFrame:
     """(doc_id, fingerprint) of every row, without a shuffle. Null text has the empty fingerprint."""
 
+    bounded_batches(docs.sparkSession)
+
     @F.pandas_udf(T.StringType())
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: encode(spots(t, chain)))

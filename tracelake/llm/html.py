@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import store
+from tracelake.llm.common import bounded_batches, store
 
 # Names of HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -281,6 +281,7 @@ def extract_pages(pages: DataFrame, min_pages: int = 10, share: float = 0.5) ->
 
     Null html is empty; null urls and urls without a host get no template removal. Repeated rows and page ids are extracted alike. Each page is one row of one task.
     """
+    bounded_batches(pages.sparkSession)
     read = pages.select(F.struct("*").alias("row"), host("url").alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     known = store(templates(pages.select(host("url").alias("host"), "html"), min_pages, share))
     text = read.join(known, F.col("host") == F.col("of"), "left").select("row", _extract("html", "template").alias("text"))

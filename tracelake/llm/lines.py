@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import BLANKS, row_keys, store, text_or_empty
+from tracelake.llm.common import BLANKS, bounded_batches, row_keys, store, text_or_empty
 
 _BLANKS = BLANKS.encode()
 _CODE_POINT = b"".join(bytes([b]) for b in range(0x80, 0xC0))  # continuation bytes, which start no code point
@@ -73,6 +73,7 @@ def _reassemble(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 def frequent_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(h1, h2, keep): 128-bit hashes of the keys found in at least ``min_docs`` documents, and the largest doc_id holding each."""
+    bounded_batches(docs.sparkSession)
     lines = docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_hashes(min_chars, False), "h1 long, h2 long, doc_id long")
     counted = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep"))
     return counted.filter(F.col("n") >= min_docs).select("h1", "h2", "keep")
@@ -88,8 +89,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     it. A null doc_id ranks lowest; a key held by null ids alone is kept. Null text is empty: one empty line. Other columns
     pass through. One row of hashes per line is shuffled with map-side counts; text is shuffled once, by row key.
     """
-    spark_docs = docs.select(F.struct("*").alias("row"), "doc_id", text_or_empty("text").alias("text"))
-    keyed = spark_docs.select("row", "doc_id", "text", *row_keys(F.col("text"), F.col("doc_id")))
+    bounded_batches(docs.sparkSession)
+    whole = docs.select(F.struct("*").alias("row"), "doc_id", text_or_empty("text").alias("text"))
+    keyed = whole.select("row", "doc_id", "text", *row_keys(F.col("text"), F.col("doc_id")))
     frequent = store(frequent_lines(docs, min_chars, min_docs))
     lines = keyed.select("doc_id", "text", "k1", "k2").mapInArrow(_hashes(min_chars, True), "h1 long, h2 long, doc_id long, k1 long, k2 long, pos int")
     dropped = (
@@ -98,8 +100,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         .groupBy("k1", "k2")
         .agg(F.collect_set("pos").alias("drops"))
     )
-    whole = keyed.join(dropped, ["k1", "k2"], "left").select("row", _reassemble("text", "drops").alias("out"))
+    joined = keyed.join(dropped, ["k1", "k2"], "left").select("row", _reassemble("text", "drops").alias("out"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return whole.select(
+    return joined.select(
         *[F.col("out.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], "out.n_lines", "out.n_dropped"
     )

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import row_keys, store, text_or_empty
+from tracelake.llm.common import bounded_batches, row_keys, store, text_or_empty
 from tracelake.llm.components import components
 
 #: Fingerprints one bucket may hold before it is dealt out by more bits.
@@ -46,6 +46,7 @@ def _fingerprints(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def fingerprints(docs: DataFrame, width: int = 4, keys: bool = False) -> DataFrame:
     """(doc_id, fp long), with ``keys`` (doc_id, k1, k2, fp). Null or blank text: fingerprint zero; under ``width`` + 1 words: one shingle of all."""
+    bounded_batches(docs.sparkSession)
     text = text_or_empty("text")
     extra = row_keys(text, F.col("doc_id")) if keys else []
     return docs.select("doc_id", *extra, text.alias("text")).mapInArrow(_fingerprints(width), "doc_id long, " + "k1 long, k2 long, " * keys + "fp long")
