@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.util import S, make, rows
 from tracelake.operators import attribute, entities, scrapes
-from tracelake.operators.asof import OPEN_END
+from tracelake.operators.asof import OPEN_END, asof_join
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, cumulative, histogram
 from tracelake.operators.images import resolve_images
 from tracelake.operators.pairing import finalised_dpcs, pair_isr_dpc, switch_gaps
@@ -82,6 +82,34 @@ def test_thread_older_than_its_process(spark):
     assert sorted(rows(got, "tid", "start_key")) == [(6, 1), (7, 100), (8, 1), (9, 1)]
 
 
+def test_thread_belongs_to_the_owner_of_its_pid_at_its_start(spark):
+    h = S // 2000
+    p = procs(spark, [(1, S, 100, 10, "a", 1), (5, 10 * S, 101, 10, "b", 1), (2, S, 200, 11, "c", 1)], [(9, 5 * S, 200)])
+    t = make(
+        spark, THREAD, (11, 10 * S - h, 10, 7, 0),  # the pid starts again half a millisecond later
+        (12, 35 * S - h, 11, 8, 0),  # its process expires half a millisecond later
+        (13, 10 * S, 10, 9, 0), (14, S - h, 10, 6, 0), (15, S - 4 * h, 10, 5, 0),
+    )
+    got = entities.thread_intervals(t, no_thread_ends(spark), p)
+    assert sorted(rows(got, "tid", "start_key")) == [(5, 1), (6, 100), (7, 100), (8, 200), (9, 101)]
+
+
+def test_null_names_and_checksums_are_unset(spark):
+    starts = make(
+        spark, "seq bigint, ts_ns bigint, start_key bigint, pid bigint, process_name string, session_id bigint, service_name string, pe_checksum bigint",
+        (1, 0, 100, 10, "a.exe", 1, None, None),
+    )
+    p = entities.process_intervals(starts, make(spark, "seq bigint, ts_ns bigint, pid bigint"))
+    assert rows(p, "service_name", "pe_checksum") == [("", 0)]
+
+
+def test_entities_without_a_time_match_no_epoch(spark):
+    facts = make(spark, "seq bigint, ts_ns bigint", (1, None), (2, 5))
+    epochs = make(spark, "seq bigint, valid_from bigint, valid_to bigint, name string", (1, 0, 10, "x"))
+    for strategy in ("broadcast", "scan"):
+        assert rows(asof_join(facts, epochs, ["host"], ["name"], strategy=strategy), "seq", "name") == [(1, None), (2, "x")]
+
+
 def test_thread_ends_with_grace_reuse_and_process_expiry(spark):
     p = procs(spark, [(1, 0, 100, 10, "a", 1), (2, 0, 200, 11, "b", 1)], [(9, 50 * S, 200)])
     t = make(spark, THREAD, (3, S, 10, 7, 0), (5, 20 * S, 11, 7, 0), (6, S, 11, 8, 0), (7, S, 10, 9, 0))

@@ -20,8 +20,6 @@ OPEN_END = (1 << 63) - 1
 BROADCAST_BYTES = 128 << 20
 BROADCAST_ROWS_PER_KEY = 64
 
-_KEYLESS_CHUNKS = 4096
-
 
 def row_bytes(table: DataFrame, columns: Sequence[str]) -> Column:
     """About how much memory a row takes: 8 bytes per column, and the length of its text."""
@@ -130,9 +128,9 @@ def _scan_join(
         .drop("_kind")
     )
     carried = received.select(*keys, _CHUNK, F.lit(-1).cast("tinyint").alias("_kind"), F.col("_epoch").alias("_at"))
-    # Facts without a key match nothing; spread them so that they do not share one window partition.
-    spread = F.pmod(F.xxhash64(*[c for c in (fact_time, "seq") if c in facts.columns]), F.lit(_KEYLESS_CHUNKS))
-    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in fact_keys])
+    # Facts without a key or a time match nothing; their rows spread over as many window partitions as they have hashes.
+    spread = F.xxhash64(*[c for c in dict.fromkeys((*fact_keys, fact_time, "seq", "start_key")) if c in facts.columns])
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*fact_keys, fact_time)])
     others = [c for c in facts.columns if c not in (*fact_keys, fact_time)]
     probes = facts.select(
         *others,

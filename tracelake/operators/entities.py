@@ -6,7 +6,8 @@ lifecycle logic: id reuse, the grace after an end, unknown owners, reference cou
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.names import INVALID_ID, SYSTEM_PID, TAGLESS_PROCESSES, UNKNOWN_PROCESS, UNKNOWN_START_KEY
@@ -19,7 +20,7 @@ GRACE_NS = 30 * NS_PER_S
 # A thread may look older than its process by less than this.
 THREAD_SLACK_NS = NS_PER_MS
 
-# Columns the start rows may lack, with what they then hold until enrichment.
+# Columns the start rows may lack or leave null, with what they then hold until enrichment.
 _UNSET = {"parent_pid": "cast(null as bigint)", "service_name": "''", "pe_checksum": "0L"}
 
 PROGRAM = ("process_name", "service_name", "pe_checksum", "session_id")
@@ -67,7 +68,7 @@ def process_intervals(
         "pid",
         "start_key",
         "seq",
-        *[F.col(c) if c in first.columns else F.expr(default).alias(c) for c, default in _UNSET.items()],
+        *[(F.coalesce(c, F.expr(default)) if c in first.columns else F.expr(default)).alias(c) for c, default in _UNSET.items()],
         "process_name",
         normalise_session(F.col("session_id"), F.col("pid")).alias("session_id"),
         F.col("ts_ns").alias("create_ns"),
@@ -115,16 +116,16 @@ def thread_intervals(
     """Which process instance each tid belongs to, over time.
 
     ``starts``: host, seq, ts_ns, pid, tid, sub_process_tag. ``ends``: host, seq, ts_ns, tid.
-    A thread whose process is not known at its start belongs to the unknown process. A tid stays mapped
+    A thread belongs to the process that owns its pid at its start; if there is none, to the one that starts
+    on the pid less than ``slack_ns`` later, else to the unknown process. A tid stays mapped
     until it starts again, ``grace_ns`` after the thread ended, or when its process expires.
     """
     tags = F.col("sub_process_tag") if "sub_process_tag" in starts.columns else F.lit(0)
     known = [c for c in ("known_next_ns", "known_end_ns", "known_start_key") if c in starts.columns]
     rows = starts.select("host", "tid", "ts_ns", "seq", "pid", tags.cast("bigint").alias("sub_process_tag"), *known)
-    timed = _followed(rows, ends, "tid", chunk_ns).withColumn("_probe", F.col("ts_ns") + F.lit(slack_ns - 1))
     owned = asof_join(
-        timed, processes, ["host", "pid"], ["start_key", "expires_ns"], fact_time="_probe", chunk_ns=chunk_ns,
-        directory=starts.select("host", "pid", (F.col("ts_ns") + F.lit(slack_ns - 1)).alias("_probe")),
+        _followed(rows, ends, "tid", chunk_ns), _owners(processes, slack_ns, chunk_ns), ["host", "pid"], ["start_key", "expires_ns"],
+        chunk_ns=chunk_ns, directory=starts.select("host", "pid", "ts_ns"),
     )
     if known:
         owned = _keep_owners(owned, processes)
@@ -148,6 +149,16 @@ def thread_intervals(
     )
 
 
+def _owners(processes: DataFrame, slack_ns: int, chunk_ns: int) -> DataFrame:
+    """Process epochs that begin up to ``slack_ns`` early where nobody owns the pid just before."""
+    columns = ["host", "pid", "start_key", "seq", "valid_from", "valid_to", "expires_ns"]
+    followed = fill(
+        processes.select(*columns), ["host", "pid"], ["valid_from", "seq"], {"_before": F.col("valid_to")}, chunk_ns=chunk_ns
+    )
+    early = F.greatest(F.col("valid_from") - F.lit(slack_ns - 1), F.coalesce("_before", F.lit(-OPEN_END)))
+    return followed.select(*[F.least("valid_from", early).alias(c) if c == "valid_from" else F.col(c) for c in columns])
+
+
 def _keep_owners(owned: DataFrame, processes: DataFrame) -> DataFrame:
     """Threads whose owner an earlier slice settled keep it, with the owner's present expiry."""
     current = processes.select("host", F.col("start_key").alias("known_start_key"), F.col("expires_ns").alias("_known_expires"))
@@ -296,17 +307,17 @@ def filter_programs(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """
     if not patterns:
         return df
-    valid = [p for p in patterns if _compiles(df, p)]
+    valid = [p for p in patterns if _compiles(df.sparkSession, p)]
     if not valid:
         return df.filter(F.lit(False))
     return df.filter(F.col("process_name").rlike("|".join(f"(?:{p})" for p in valid)))
 
 
-def _compiles(df: DataFrame, pattern: str) -> bool:
-    """Ask the engine that will run the pattern, not Python's."""
+def _compiles(spark: SparkSession, pattern: str) -> bool:
+    """Ask the regular expressions that will run the pattern, not Python's. Only a syntax error is an answer."""
     try:
-        df.sparkSession.range(1).select(F.lit("").rlike(pattern)).first()
-    except Exception:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:  # what a syntax error arrives as
         return False
     return True
 

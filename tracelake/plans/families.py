@@ -270,7 +270,7 @@ def _memory(c: Context) -> DataFrame:
     # Faults whose payload is too short still count in the total.
     all_faults = c.typed.get("hard_fault")
     if all_faults is None:
-        all_faults = c.raw.filter(F.col("cls") == "hard_fault")
+        all_faults = c.events("hard_fault") if c.raw is None else c.raw.filter(F.col("cls") == "hard_fault")
     parts = [to_samples(memory.hard_faults(all_faults), "memory_hard_pagefaults_total", [], "value")]
     if c.switches.per_process:
         by_program = c.programs(memory.hard_faults_by_program(c.events("hard_fault"), c.threads, c.processes, **c.options))

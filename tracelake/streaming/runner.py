@@ -26,6 +26,7 @@ from tracelake.operators.pairing import MAX_PAIR_NS, finalised_dpcs, pair_isr_dp
 from tracelake.operators.scrapes import IDLE_LIMIT_NS
 from tracelake.plans import disk, interrupts, memory, network, registry_ops, threads
 from tracelake.plans.network import CLASSES as NETWORK_CLASSES
+from tracelake.sources.dimensions import service_dim
 from tracelake.sources.schema import WIDE_EVENTS
 from tracelake.streaming.state import Carry, latest_batch
 
@@ -149,8 +150,7 @@ class Slice:
             self.threads = self.carry.write(plan, "work_threads", self.batch_id)
             enriched = entities.enrich_programs(instances, self.of("image_load"), o.chunk_ns)
             self.service_rows = self._with_carried("service_config")
-            services = self.service_rows.groupBy("host", "tag").agg(F.max_by("service_name", "seq").alias("service_name"))
-            enriched = entities.resolve_services(enriched, self.threads, services)
+            enriched = entities.resolve_services(enriched, self.threads, service_dim(self.service_rows))
             self.processes = self.carry.write(enriched, "work_processes", self.batch_id)
         if self.has_images:
             plan = entities.image_references(self._with_carried("image_load"), self.of("image_unload"), o.chunk_ns)
@@ -188,9 +188,8 @@ class Slice:
             "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("thread_start").alias("cls"), "pid", "tid",
             "sub_process_tag", known_next, known_end, F.col("start_key").alias("known_start_key"),
         )
-        tags = self.service_rows.groupBy("host", "tag").agg(
-            F.max("seq").alias("seq"), F.max_by("service_name", "seq").alias("service_name")
-        )
+        named = self.service_rows.filter((F.col("tag") > 0) & (F.col("service_name") != ""))
+        tags = named.groupBy("host", "tag").agg(F.max("seq").alias("seq"), F.max_by("service_name", "seq").alias("service_name"))
         return [starts, tids, tags.withColumn("cls", F.lit("service_config"))]
 
     def _image_carry(self) -> list[DataFrame]:
@@ -281,8 +280,8 @@ DELTAS = StructType([
 ])
 
 
-def _delta(df: DataFrame, metric: str, value: str, *dims: str) -> DataFrame:
-    """Counter increments; dimensions as a JSON text, which groups and sorts."""
+def _delta(df: DataFrame, metric: str, value: str, *dims: str, zeros: bool = False) -> DataFrame:
+    """Counter increments; dimensions as a JSON text, which groups and sorts. ``zeros``: an increment of 0 makes the series known."""
     names = F.to_json(F.struct(*[F.col(d).cast("string").alias(d) for d in dims])) if dims else F.lit("{}")
     owner: Column = F.col("start_key") if "start_key" in df.columns else F.lit(None).cast("bigint")
     return df.select(
@@ -291,7 +290,7 @@ def _delta(df: DataFrame, metric: str, value: str, *dims: str) -> DataFrame:
         F.lit(metric).alias("metric"),
         names.alias("dims"),
         F.col(value).cast("bigint").alias("value"),
-    ).filter(F.col("value") > 0)
+    ).filter(F.col("value") >= (0 if zeros else 1))
 
 
 def _disk(s: Slice, how: dict) -> list[DataFrame]:
@@ -299,9 +298,9 @@ def _disk(s: Slice, how: dict) -> list[DataFrame]:
     totals = disk.disk_totals(events)
     moved = disk.disk_by_program(events, s.threads, s.processes, level="instance", **how)
     return [
-        _delta(disk.operations_of(totals), "disk_io_operations_total", "value", "disk", "operation"),
-        _delta(totals, "disk_read_bytes_total", "read_bytes", "disk"),
-        _delta(totals, "disk_written_bytes_total", "written_bytes", "disk"),
+        _delta(disk.operations_of(totals), "disk_io_operations_total", "value", "disk", "operation", zeros=True),
+        _delta(totals, "disk_read_bytes_total", "read_bytes", "disk", zeros=True),
+        _delta(totals, "disk_written_bytes_total", "written_bytes", "disk", zeros=True),
         _delta(moved, "disk_process_io_operations_total", "operations", "disk", "operation"),
         _delta(moved.filter("operation = 'read'"), "disk_process_read_bytes_total", "bytes", "disk"),
         _delta(moved.filter("operation = 'write'"), "disk_process_written_bytes_total", "bytes", "disk"),

@@ -36,12 +36,15 @@ tr AS (SELECT seq, ts_ns, tid, pid, event_type, k % 30 AS tag,
        FROM k WHERE event_type IN ('signup', 'error')),
 ts AS (SELECT *, CASE WHEN next_ns IS NULL OR first_end <= next_ns THEN first_end END AS end_ns
        FROM tr WHERE event_type = 'signup'),
+owner AS (SELECT ts.seq, coalesce(arg_max(p.start_key, p.valid_from) FILTER (p.valid_from <= ts.ts_ns),
+                                 arg_min(p.start_key, p.valid_from) FILTER (p.valid_from > ts.ts_ns)) AS start_key
+          FROM ts JOIN proc p ON p.pid = ts.pid AND p.valid_from < ts.ts_ns + 1000000 AND ts.ts_ns < p.valid_to AND p.valid_from < p.valid_to
+          GROUP BY ts.seq),
 thread AS (SELECT ts.seq, ts.tid, ts.pid, ts.tag, ts.ts_ns AS valid_from, ts.end_ns,
                   coalesce(proc.start_key, 1) AS start_key, proc.start_key IS NOT NULL AS owner_known,
                   least(coalesce(ts.next_ns, {OPEN}), coalesce(ts.end_ns + {GRACE_NS}, {OPEN}),
                         coalesce(proc.expires_ns, {OPEN})) AS valid_to
-           FROM ts LEFT JOIN proc ON proc.pid = ts.pid AND proc.valid_from <= ts.ts_ns + 999999
-                                 AND ts.ts_ns + 999999 < proc.valid_to)"""
+           FROM ts LEFT JOIN owner ON owner.seq = ts.seq LEFT JOIN proc ON proc.start_key = owner.start_key)"""
 
 PROGRAMS = """
 programs AS (SELECT start_key, process_name, '' AS service_name, checksum AS pe_checksum, session_id FROM proc

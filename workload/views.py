@@ -199,7 +199,7 @@ class Trace:
     @property
     def running_snapshot(self) -> DataFrame:
         nation = self.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("service_name"))
-        return self.table("supplier").join(F.broadcast(nation), "s_nationkey").select(
+        return self.table("supplier").join(nation, "s_nationkey").select(
             F.lit(HOST).alias("host"), F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") % 40 + 4).alias("pid"), "service_name"
         )
 
