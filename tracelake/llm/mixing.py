@@ -70,9 +70,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 0) -> DataFrame:
-    """The mix itself: each row of ``docs`` as many times as its plan says, with the columns of ``docs``."""
-    plan = mix_plan(docs, weights, cap, seed).filter(F.col("copies") > 0)
-    names = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    return plan.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_")).select(
-        *[F.col(f"`{c}`") for c in names]
-    )
+    """The mix itself: each row of ``docs`` as many times as its plan says, with the columns of ``docs`` whatever their names."""
+    packed = docs.select(F.struct("*").alias("own_"), "doc_id", "source", "text")
+    plan = mix_plan(packed, weights, cap, seed).filter(F.col("copies") > 0)
+    copies = plan.select("own_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_"))
+    return copies.select(*[F.col(f"own_.`{c}`").alias(c) for c in docs.columns])

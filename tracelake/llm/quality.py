@@ -144,6 +144,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules:
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
     """The documents that the base rules and the calibrated cutoffs keep, with their own columns. Rows are judged alike however often they repeat."""
-    measured = store(measure(docs.withColumn("own_", F.struct("*"))).select("own_", "doc_id", "lang", *MEASURES))
+    packed = docs.select(F.struct("*").alias("own_"), "doc_id", "lang", "text")
+    measured = store(measure(packed).select("own_", "doc_id", "lang", *MEASURES))
     verdict = judge(measured, calibrate(measured, labels, risk, level))
     return verdict.filter("kept").select(*[F.col(f"own_.`{c}`").alias(c) for c in docs.columns])
