@@ -111,7 +111,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level:
     Counts are combined before the shuffle, and what comes out is a row per stratum.
     """
     good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    held = measured.filter(~base_failed()).join(good.select("doc_id"), "doc_id", "left_semi").withColumn("of", F.col(f"`{stratum}`"))
+    held = measured.filter(~base_failed()).join(good.select("doc_id"), "doc_id", "left_semi").select(F.col(f"`{stratum}`").alias("of"), *MEASURES)
+    held = store(held)  # else every count below would measure the texts anew
     tests = [(r, c) for r in rules for c in r.cutoffs]
     counts = held.groupBy("of").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(r.value) > c).alias(f"k{i}") for i, (r, c) in enumerate(tests)])
     counts = store(counts)
