@@ -123,14 +123,13 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level:
     def safe(k: Column) -> Column:  # at k >= n * share the tail is about a half or more
         return F.when(k < F.col("n") * share, log_binomial_tail(F.col("n"), k, share) <= log_level).otherwise(F.lit(False))
 
-    cuts, at = [], 0
-    for rule in rules:
-        verdicts = F.array(*[safe(F.col(f"k{at + i}")) for i in range(len(rule.cutoffs))])
-        passed = F.coalesce(F.array_position(verdicts, False) - 1, F.lit(0))
-        passed = F.when(F.array_contains(verdicts, False), passed).otherwise(F.lit(len(rule.cutoffs)))
-        cuts.append(F.get(F.array(*[F.lit(c) for c in rule.cutoffs]), (passed - 1).cast("int")).alias(f"cut_{rule.name}"))
-        at += len(rule.cutoffs)
-    return store(counts.select("of", *cuts))
+    places = [i for r in rules for i in range(len(r.cutoffs))]
+    rows = [F.struct(F.lit(r.name).alias("rule"), F.lit(p).alias("place"), F.col(f"k{i}").alias("k")) for i, ((r, _), p) in enumerate(zip(tests, places, strict=True))]
+    judged = counts.select("of", "n", F.inline(F.array(*rows))).select("of", "rule", "place", safe(F.col("k")).alias("safe"))
+    failed = judged.groupBy("of").agg(*[F.min(F.when((F.col("rule") == r.name) & ~F.col("safe"), F.col("place"))).alias(r.name) for r in rules])
+    passed = {r: F.coalesce(F.col(r.name), F.lit(len(r.cutoffs))) for r in rules}
+    cuts = [F.get(F.array(*[F.lit(c) for c in r.cutoffs]), passed[r] - 1).alias(f"cut_{r.name}") for r in rules]
+    return store(failed.select("of", *cuts))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
