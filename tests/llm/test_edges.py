@@ -194,7 +194,7 @@ def test_safe_cutoffs(spark):
     few = [(i, prose(i, 60) + " #$%" * 60, "fr") for i in range(3000, 3010)]
     docs = frame(spark, *good, *bad, *few)
     labels = spark.createDataFrame([(i, 1) for i in range(1500)] + [(i, 0) for i in range(2000, 2040)] + [(i, 1) for i in range(3000, 3002)], "doc_id long, quality int")
-    measured = quality.measure(docs)
+    measured = quality.store(quality.measure(docs))
     cuts = {r.of: r for r in quality.calibrate(measured, labels).collect()}
     assert cuts["en"].cut_symbols is not None and cuts["en"].cut_symbols < 1.0 and cuts["fr"].cut_symbols is None
     kept = {r[0] for r in quality.keep_good(docs, labels).select("doc_id").collect()}

@@ -99,7 +99,7 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(stratum, cut_<rule>...): the strictest cutoff of each rule that is safe in each stratum; null where none is.
+    """(of, cut_<rule>...): the strictest cutoff of each rule that is safe in each stratum; null where none is. Store ``measured`` first: a filter on it would pull its expressions apart.
 
     The holdout is every document all of whose labels say quality 1 and that the base rules keep. A cutoff is safe if the exact (Clopper-Pearson) upper
     bound of its false rejection rate, at its share of ``level``, is at most its share of ``risk``; that holds if P(Binomial(n, risk) <= k) does not
