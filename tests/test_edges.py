@@ -8,6 +8,7 @@ from tracelake.operators import attribute, entities, scrapes
 from tracelake.operators.asof import OPEN_END, asof_join
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, cumulative, histogram
 from tracelake.operators.images import resolve_images
+from tracelake.operators.materialise import materialise, temporary_tables
 from tracelake.operators.pairing import finalised_dpcs, pair_isr_dpc, switch_gaps
 from tracelake.plans import disk, interrupts, memory, network, threads
 from tracelake.plans.rollup import full_keys
@@ -318,6 +319,27 @@ def test_overlapping_images_latest_load_then_highest_base(spark):
     assert rows(resolve_images(events, images), "seq", "image_name") == [(1, "old"), (2, "new"), (3, "high"), (4, "old")]
 
 
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_an_older_image_holds_the_address_again(spark, strategy):
+    images = make(
+        spark, "seq bigint, base bigint, size bigint, image_name string, valid_from bigint, valid_to bigint",
+        (1, 1000, 500, "a", 0, OPEN_END), (2, 1100, 500, "b", 10, 20), (3, 1200, 500, "c", 15, 40), (4, 1100, 500, "d", 18, 18), (5, 1100, 500, "e", 50, 60),
+        (6, 5000, 500, "x", 0, 10), (7, 5100, 500, "y", 10, 30),
+    )
+    times = [5, 10, 14, 15, 20, 39, 40, 49, 55, 60]
+    events = make(spark, "seq bigint, ts_ns bigint, address bigint", *[(t, t, 1300) for t in times], (109, 9, 5200), (110, 10, 5200), (130, 30, 5200))
+    got = rows(resolve_images(events, images, strategy=strategy), "seq", "image_name")
+    assert sorted(got) == sorted([*zip(times, "abb" "ccca" "aea"), (109, "x"), (110, "y"), (130, None)])
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_of_overlapping_epochs_the_latest_counts(spark, strategy):
+    epochs = make(spark, "seq bigint, valid_from bigint, valid_to bigint, name string", (1, 0, 100, "x"), (2, 10, 20, "y"), (3, 10, 30, "z"))
+    facts = make(spark, "seq bigint, ts_ns bigint", (1, 5), (2, 10), (3, 25), (4, 30), (5, 99))
+    got = asof_join(facts, epochs, ["host"], ["name"], strategy=strategy)
+    assert rows(got, "seq", "name") == [(1, "x"), (2, "z"), (3, "z"), (4, None), (5, None)]
+
+
 def test_driver_series_restart_after_unload(spark):
     loads = make(spark, IMAGE, (1, 0, 4096, 4096, "a.sys"), (3, 60, 4096, 4096, "a.sys"))
     images = entities.image_intervals(loads, make(spark, UNLOAD, (2, 50, 4096)))
@@ -391,3 +413,26 @@ def test_hosts_do_not_mix(spark):
     for strategy in STRATEGIES:
         got = attribute.attribute_by_pid(facts, p, strategy=strategy).join(p.select("host", "start_key", "process_name"), ["host", "start_key"], "left")
         assert rows(got, "host", "seq", "process_name") == [("h1", 1, "a"), ("h2", 2, "b"), ("h2", 3, None)]
+
+
+def test_idle_failsafe_cleans_up_without_scrapes(spark):
+    h = 3600 * S
+    times = make(spark, "ts_ns bigint", (0,), (10 * h,), (13 * h,))
+    every = scrapes.with_idle_cleanups(times, 3 * h, 20 * h)
+    assert sorted(r[0] // h for r in rows(every, "ts_ns")) == [0, 3, 6, 9, 10, 13, 16, 19]
+    gone = make(spark, "seq bigint, end_ns bigint", (1, h), (2, 10 * h + 1), (3, None), (4, 19 * h + 1))
+    got = scrapes.cleaned_at(gone, times, idle_limit_ns=3 * h, until_ns=20 * h)
+    assert sorted(rows(got, "seq", "cleaned_ns")) == [(1, 3 * h), (2, 13 * h), (3, None), (4, None)]
+    plain = scrapes.cleaned_at(gone, times)
+    assert sorted(rows(plain, "seq", "cleaned_ns"))[0] == (1, 10 * h)
+
+
+def test_temporary_tables_are_deleted_by_their_owner(spark):
+    import os
+
+    kept = materialise(spark.range(3))
+    with temporary_tables(spark):
+        inner = materialise(spark.range(5))
+        assert inner.count() == 5
+        path = inner.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert not os.path.exists(os.path.dirname(path)) and kept.count() == 3

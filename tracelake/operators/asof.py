@@ -1,7 +1,7 @@
 """As-of join: give each fact the epoch of its key that was current at the fact's time.
 
-Epochs of one key do not overlap: each ends no later than the next starts. An epoch covers
-``valid_from <= ts < valid_to``; at equal times the epoch precedes the fact.
+An epoch covers ``valid_from <= ts < valid_to``; at equal times the epoch precedes the fact. Of epochs of one key that overlap the latest to start
+(then the highest ``seq``) counts, from its start on: an older one does not come back when it ends.
 """
 
 from collections.abc import Sequence
@@ -89,7 +89,10 @@ def _interval_join(
     match = (F.col(fact_time) >= F.col("_from")) & (F.col(fact_time) < F.col("_to"))
     for i, k in enumerate(fact_keys):
         match = match & (F.col(k) == F.col(f"_key{i}"))
-    joined = facts.join(F.broadcast(points.drop("_seq")), match, "left")
+    # The table is known to be small; cutting it at the next start gives what the scan gives where epochs overlap.
+    by_key = Window.partitionBy(*[f"_key{i}" for i in range(len(fact_keys))]).orderBy("_from", "_seq")
+    cut = points.withColumn("_to", F.least("_to", F.coalesce(F.lead("_from").over(by_key), F.lit(OPEN_END)))).filter(F.col("_from") < F.col("_to"))
+    joined = facts.join(F.broadcast(cut.drop("_seq")), match, "left")
     return joined.select(*facts.columns, *[F.col(f"_p_{c}").alias(c) for c in payload])
 
 

@@ -1,6 +1,6 @@
 """Address to image resolution: a range join over addresses, as-of over time."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.asof import (
@@ -12,7 +12,7 @@ from tracelake.operators.asof import (
     measured,
     row_bytes,
 )
-from tracelake.operators.carry import CHUNK_NS, neighbour_time
+from tracelake.operators.carry import CHUNK_NS
 from tracelake.operators.materialise import materialise
 
 # Bucket widths as powers of two. An image is filed at the narrowest width that is at least its size, where it
@@ -55,6 +55,33 @@ def match_addresses(addresses: DataFrame, images: DataFrame) -> DataFrame:
     return probes.join(build, keys).filter(inside).drop("_bits", "_bucket", "_end")
 
 
+def holding_epochs(epochs: DataFrame) -> DataFrame:
+    """Cut the epochs of each (host, address) so that one holds it at a time: of those live, the latest load, then the highest base and seq.
+
+    When the holder ends, an older one that still lives holds the address again. Only epochs that overlap in a chain are compared: at each start and end in the
+    chain the epochs live at it, which are as many as images lie over one address at once.
+    """
+    keys = ["host", "address"]
+    rank = F.struct("valid_from", "base", "seq")
+    in_order = Window.partitionBy(*keys).orderBy("valid_from", "base", "seq")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max("valid_to").over(before)
+    alone = F.when(reach.isNull() | (F.col("valid_from") >= reach), 1).otherwise(0)
+    chained = epochs.filter(F.col("valid_from") < F.col("valid_to")).withColumn("_new", alone)
+    chained = chained.withColumn("_chain", F.sum("_new").over(in_order))
+    sized = chained.withColumn("_links", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_chain"))).drop("_new")
+    several = sized.filter("_links > 1").drop("_links")
+    points = several.select(*keys, "_chain", F.explode(F.array("valid_from", "valid_to")).alias("_from")).distinct()
+    stretch = Window.partitionBy(*keys, "_chain").orderBy("_from")
+    points = points.withColumn("_to", F.lead("_from").over(stretch)).filter(F.col("_to").isNotNull())
+    live = (F.col("valid_from") <= F.col("_from")) & (F.col("_from") < F.col("valid_to"))
+    held = points.join(several, [*keys, "_chain"]).filter(live).groupBy(*keys, "_from", "_to")
+    held = held.agg(F.max_by(F.struct(*epochs.columns), rank).alias("_epoch"))
+    bounds = {"valid_from": "_from", "valid_to": "_to"}
+    held = held.select(*[F.col(bounds.get(c, f"_epoch.{c}")).alias(c) for c in epochs.columns])
+    return sized.filter("_links = 1").select(*epochs.columns).unionByName(held)
+
+
 def resolve_images(
     events: DataFrame,
     images: DataFrame,
@@ -67,7 +94,7 @@ def resolve_images(
 
     Routine addresses repeat, so the range join runs over distinct addresses, written once. The answer is, per
     address, a list of epochs, joined as of the event time. Where epochs overlap, the latest load
-    (then the highest base) takes the address over. ``addresses`` may name a cheaper DataFrame that
+    (then the highest base) holds the address while it lives (see ``holding_epochs``). ``addresses`` may name a cheaper DataFrame that
     holds at least the (host, address) of ``events``.
     """
     source = events if addresses is None else addresses
@@ -78,7 +105,5 @@ def resolve_images(
         strategy = "broadcast" if broadcastable(epochs, keys, epochs.columns) else "scan"
     cut = epochs
     if measured(epochs, keys, epochs.columns)[1] > 1:
-        order = ["valid_from", "base", "seq"]
-        ordered = neighbour_time(epochs, keys, order, "_next", backward=True, chunk_ns=chunk_ns)
-        cut = ordered.withColumn("valid_to", F.least("valid_to", F.coalesce("_next", F.lit(OPEN_END))))
+        cut = holding_epochs(epochs)
     return asof_join(events, cut, keys, list(payload), chunk_ns=chunk_ns, strategy=strategy)

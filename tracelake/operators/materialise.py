@@ -2,10 +2,13 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
+# Tables by application, in the order written.
+_written: dict[str, list[str]] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -33,15 +36,30 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/tracelake/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables this process has materialised so far, once nothing reads them any more; returns how many."""
+    """Delete the tables this application has materialised so far, once nothing reads them any more; returns how many."""
+    return _delete(spark, 0)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables materialised inside it. Results must have been read or written by then."""
+    before = len(_written.get(spark.sparkContext.applicationId, ()))
+    try:
+        yield
+    finally:
+        _delete(spark, before)
+
+
+def _delete(spark: SparkSession, keep: int) -> int:
+    paths = _written.get(spark.sparkContext.applicationId, [])
     count = 0
-    while _written:
-        location = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while len(paths) > keep:
+        location = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         system = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
         count += bool(system.delete(location, True))
     return count

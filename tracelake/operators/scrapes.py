@@ -50,12 +50,27 @@ def cleanup_thresholds(
     )
 
 
-def cleaned_at(entities: DataFrame, scrapes: DataFrame, end: str = "end_ns", **thresholds) -> DataFrame:
+def with_idle_cleanups(scrapes: DataFrame, limit_ns: int = IDLE_LIMIT_NS, until_ns: int | None = None) -> DataFrame:
+    """``scrapes`` and the failsafe's clean-ups: one whenever none of either has come for ``limit_ns``, up to ``until_ns``.
+
+    They count as scrapes (generations) of their own. A pause of exactly the limit has none.
+    """
+    following = F.lead("ts_ns", 1, until_ns).over(Window.partitionBy("host").orderBy("ts_ns"))
+    idle = scrapes.select("host", "ts_ns", following.alias("_next")).filter(F.col("_next") - F.col("ts_ns") > limit_ns)
+    forced = idle.select("host", F.explode(F.sequence(F.col("ts_ns") + limit_ns, F.col("_next") - 1, F.lit(limit_ns).cast("bigint"))).alias("ts_ns"))
+    return scrapes.select("host", "ts_ns").unionByName(forced)
+
+
+def cleaned_at(
+    entities: DataFrame, scrapes: DataFrame, end: str = "end_ns", idle_limit_ns: int | None = None, until_ns: int | None = None, **thresholds
+) -> DataFrame:
     """Generation-based expiry: add the scrape that removes each ended entity (null if none does yet).
 
     An entity that ends after g scrapes has generation g and goes with the first scrape whose threshold
-    exceeds g.
+    exceeds g. With ``idle_limit_ns`` the failsafe cleans up where scrapes stay away for longer (``with_idle_cleanups``).
     """
+    if idle_limit_ns is not None:
+        scrapes = with_idle_cleanups(scrapes, idle_limit_ns, until_ns)
     limits = cleanup_thresholds(scrapes, **thresholds)
     by_time = Window.partitionBy("host").orderBy("scrape_id")
     upto = by_time.rowsBetween(Window.unboundedPreceding, 0)

@@ -17,6 +17,7 @@ from tracelake.operators import entities
 from tracelake.operators.carry import CHUNK_NS
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, LATENCY_BOUNDS_US
 from tracelake.operators.materialise import materialise
+from tracelake.operators.pairing import finalised_dpcs
 from tracelake.plans import disk, interrupts, inventory, memory, network, registry_ops, threads
 from tracelake.plans.rollup import LABELS, drop_zero
 from tracelake.sources import dimensions
@@ -215,9 +216,11 @@ def _threads(c: Context) -> DataFrame:
 
 def _interrupts(c: Context) -> DataFrame:
     isr, dpc, switches = c.events("isr"), c.events("dpc"), c.events("cswitch")
-    per_cpu = materialise(interrupts.dpc_counts(isr, dpc, switches, per_cpu=True, chunk_ns=c.chunk_ns))
+    # The switches are read once, for the ends of the calls.
+    finalised = materialise(finalised_dpcs(dpc, switches, c.chunk_ns))
+    per_cpu = materialise(interrupts.dpc_counts(isr, dpc, switches, per_cpu=True, finalised=finalised))
     counts = per_cpu.groupBy("host").agg(F.sum("queued").alias("queued"), F.sum("executed").alias("executed"))
-    latency = interrupts.isr_dpc_latency(isr, dpc, switches, c.switches.max_isr_age_ms, c.chunk_ns)
+    latency = interrupts.isr_dpc_latency(isr, dpc, switches, c.switches.max_isr_age_ms, c.chunk_ns, finalised)
     parts = [
         to_samples(counts, "perfinfo_dpc_queued_total", [], "queued"),
         to_samples(counts, "perfinfo_dpc_executed_total", [], "executed"),
@@ -227,7 +230,7 @@ def _interrupts(c: Context) -> DataFrame:
         parts.append(to_samples(per_cpu, "perfinfo_dpc_queued_cpu_total", ["cpu"], "queued"))
         parts.append(to_samples(per_cpu, "perfinfo_dpc_executed_cpu_total", ["cpu"], "executed"))
     if c.switches.per_driver:
-        durations = interrupts.dpc_durations(dpc, switches, c.chunk_ns)
+        durations = interrupts.dpc_durations(dpc, switches, finalised=finalised)
         by_image = interrupts.dpc_duration_by_image(durations, c.images, c.switches.prune_unloaded, dpc, **c.options)
         parts.append(
             histogram_samples(by_image, "perfinfo_dpc_execution_time_microseconds", ["image_name"], DURATION_BOUNDS_US)

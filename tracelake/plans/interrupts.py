@@ -12,11 +12,17 @@ from tracelake.operators.pairing import finalised_dpcs, pair_isr_dpc
 from tracelake.plans.rollup import full_keys
 
 
-def dpc_counts(isr: DataFrame, dpc: DataFrame, cswitch: DataFrame, per_cpu: bool = False, chunk_ns: int = CHUNK_NS) -> DataFrame:
-    """Calls queued (interrupts) and executed (finalised calls), per host or per (host, cpu), zeros filled."""
+def dpc_counts(
+    isr: DataFrame, dpc: DataFrame, cswitch: DataFrame, per_cpu: bool = False, chunk_ns: int = CHUNK_NS, finalised: DataFrame | None = None
+) -> DataFrame:
+    """Calls queued (interrupts) and executed (finalised calls), per host or per (host, cpu), zeros filled.
+
+    ``finalised``: the finalised calls, where the caller has them.
+    """
+    done = finalised_dpcs(dpc, cswitch, chunk_ns) if finalised is None else finalised
     keys = ["host", "cpu"] if per_cpu else ["host"]
     queued = isr.groupBy(*keys).agg(F.count(F.lit(1)).alias("queued"))
-    executed = finalised_dpcs(dpc, cswitch, chunk_ns).groupBy(*keys).agg(F.count(F.lit(1)).alias("executed"))
+    executed = done.groupBy(*keys).agg(F.count(F.lit(1)).alias("executed"))
     return full_keys(queued, executed, keys, ["queued", "executed"])
 
 
@@ -41,14 +47,16 @@ def dpc_pressure(
 
 
 def isr_dpc_latency(
-    isr: DataFrame, dpc: DataFrame, cswitch: DataFrame, max_isr_age_ms: int | None = None, chunk_ns: int = CHUNK_NS
+    isr: DataFrame, dpc: DataFrame, cswitch: DataFrame, max_isr_age_ms: int | None = None, chunk_ns: int = CHUNK_NS,
+    finalised: DataFrame | None = None,
 ) -> DataFrame:
     """Histogram of whole-microsecond latency from interrupt to deferred call, per host.
 
-    Hosts with interrupts or calls but no pair have an empty histogram, not none.
+    Hosts with interrupts or calls but no pair have an empty histogram, not none. ``finalised``: the finalised calls, where the caller has them.
     """
-    # Pairing looks at the finalised calls more than once; switches, far more numerous, are read only for this.
-    finalised = materialise(finalised_dpcs(dpc, cswitch, chunk_ns))
+    if finalised is None:
+        # Pairing looks at the finalised calls more than once; switches, far more numerous, are read only for this.
+        finalised = materialise(finalised_dpcs(dpc, cswitch, chunk_ns))
     pairs = pair_isr_dpc(isr, finalised, max_isr_age_ms, chunk_ns).select("host", micros(F.col("latency_ns")).alias("us"))
     hosts = isr.select("host").distinct().unionByName(dpc.select("host").distinct()).distinct()
     padded = pairs.unionByName(hosts.withColumn("us", F.lit(None).cast("bigint")))
@@ -56,9 +64,10 @@ def isr_dpc_latency(
     return h.withColumn("total", F.coalesce("total", F.lit(0).cast("bigint")))
 
 
-def dpc_durations(dpc: DataFrame, cswitch: DataFrame, chunk_ns: int = CHUNK_NS) -> DataFrame:
+def dpc_durations(dpc: DataFrame, cswitch: DataFrame, chunk_ns: int = CHUNK_NS, finalised: DataFrame | None = None) -> DataFrame:
     """Finalised calls with ``duration_us``, whole microseconds."""
-    return finalised_dpcs(dpc, cswitch, chunk_ns).withColumn("duration_us", micros(F.col("duration_ns")))
+    done = finalised_dpcs(dpc, cswitch, chunk_ns) if finalised is None else finalised
+    return done.withColumn("duration_us", micros(F.col("duration_ns")))
 
 
 def dpc_duration_by_image(
