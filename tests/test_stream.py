@@ -105,6 +105,13 @@ def test_system_counters(spark, streamed, trace):
     got = stream_counters(spark, out, "perfinfo_dpc_executed_cpu_total", ["cpu"], per_program=False)
     want = interrupts.dpc_counts(trace.isr, trace.dpc, trace.cswitch, per_cpu=True, chunk_ns=CHUNK_NS).filter("executed > 0")
     assert rows(got, "cpu", "value") == rows(want.select(F.col("cpu").cast("string"), "executed"))
+    got = stream_counters(spark, out, "perfinfo_dpc_executed_total", [], per_program=False)
+    assert rows(got, "value") == rows(want.agg(F.sum("executed")))
+    got = stream_counters(spark, out, "network_sent_bytes_total", ["protocol"], per_program=False)
+    assert rows(got, "protocol", "value") == rows(network.network_totals(trace.network, trace.processes, **trace.options).filter("sent_bytes > 0"), "protocol", "sent_bytes")
+    got = stream_counters(spark, out, "registry_operations_total", ["operation", "result"], per_program=False)
+    want = registry_ops.registry_totals(trace.registry, trace.processes, **trace.options)
+    assert rows(got, "operation", "result", "value") == rows(want.select("operation", F.col("result").cast("string").alias("result"), "value"))
 
 
 def test_histograms(spark, streamed, trace):
@@ -158,3 +165,22 @@ def test_native_forms(spark, streamed, trace):
     counts = native.interval_counts(events, "1 second")
     got = _run(counts, "update", spark, "counts").groupBy("interval_start").agg(F.max("new_processes").alias("n")).agg(F.sum("n")).first()[0]
     assert got == trace.process_starts.count()
+
+
+def test_a_host_ahead_makes_no_other_late(spark, tmp_path):
+    """Host b runs three hours ahead and comes first; a's disk only flushes."""
+    hour = 3600 * 10**9
+    schema = "host string, seq bigint, ts_ns bigint, cls string, disk int"
+    slices = [[("b", 1, 3 * hour, "hard_fault", None)], [("a", 1, 1, "hard_fault", None), ("a", 2, 10**9, "disk_flush", 0)], [("a", 3, 40 * 10**9, "hard_fault", None)], [("a", 4, 41 * 10**9, "hard_fault", None), ("b", 2, 1, "hard_fault", None)]]
+    for i, part in enumerate(slices):
+        wide_events(spark.createDataFrame(part, schema)).withColumn("ts", F.timestamp_micros(F.lit(i))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = read_events(spark, str(tmp_path / "in"), streaming=True, schema=WIDE_EVENTS, maxFilesPerTrigger="1")
+    options = StreamOptions(families=("disk_io", "memory"))
+    run_stream(events, str(tmp_path / "ck"), str(tmp_path / "out"), options).awaitTermination()
+    drain(spark, str(tmp_path / "ck"), str(tmp_path / "out"), options)
+    out = str(tmp_path / "out")
+    assert rows(stream_counters(spark, out, "memory_hard_pagefaults_total", [], per_program=False), "host", "value") == [("a", 3), ("b", 1)]
+    assert rows(late_rows(spark, out), "host", "rows") == [("b", 1)]
+    got = stream_counters(spark, out, "disk_io_operations_total", ["disk", "operation"], per_program=False)
+    assert rows(got, "operation", "value") == [("flush", 1), ("read", 0), ("write", 0)]
+    assert rows(stream_counters(spark, out, "disk_read_bytes_total", ["disk"], per_program=False), "value") == [(0,)]

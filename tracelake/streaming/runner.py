@@ -1,8 +1,9 @@
 """Continuous metric families: the batch operators over ``carry + micro-batch``.
 
-Each micro-batch advances a watermark (latest event time minus ``delay_ns``). Rows up to it form a slice in time order;
-later rows wait in the carry, and rows older than the previous watermark are set aside as late. A slice is attributed with
-the entity intervals known so far, so the totals over all slices equal one batch run over the same
+Each micro-batch advances the watermark of every host it has rows of (its latest event time minus ``delay_ns``). Rows up to their
+host's watermark form a slice in time order; later rows wait in the carry, and rows older than the previous watermark of their host are set aside
+as late. A host whose clock runs ahead thus makes no other host late, and the last rows of a host that falls silent wait for ``drain``. A slice
+is attributed with the entity intervals known so far, so the totals over all slices equal one batch run over the same
 rows. The carry holds what later slices can still need: waiting rows, live entities, the last switch and the open call per
 CPU, and interrupts without a partner that are younger than one hour.
 """
@@ -32,7 +33,7 @@ from tracelake.streaming.state import Carry, latest_batch
 
 FAMILIES = ("disk_io", "threads", "interrupts", "network", "memory", "registry")
 
-_CLOCK = StructType([StructField("watermark_ns", LongType())])
+_CLOCK = StructType([StructField("host", StringType()), StructField("watermark_ns", LongType())])
 _KNOWN = [StructField(n, LongType()) for n in ("known_next_ns", "known_end_ns", "known_start_key", "last_seen_ns")]
 _ENTITY = StructType([*WIDE_EVENTS.fields, *_KNOWN, StructField("weight", LongType())])
 # Columns that start rows may leave open.
@@ -40,8 +41,8 @@ _DEFAULTS = {"session_id": 0, "service_name": "", "pe_checksum": 0}
 # Families that attribute events to processes.
 _ATTRIBUTED = {"disk_io", "threads", "network", "memory", "registry"}
 _TABLES = (
-    "clock", "pending", "entities", "cpu", "work_instances", "work_threads", "work_processes", "work_images",
-    "work_calls", "work_ordered", "work_pairs",
+    "clock", "pending", "entities", "cpu", "work_clock", "work_instances", "work_threads", "work_processes", "work_images",
+    "work_calls", "work_ordered", "work_pairs", "work_network", "work_registry",
 )
 
 
@@ -91,34 +92,39 @@ def process_slice(
     spark = batch.sparkSession
     carry, sink = Carry(spark, carry_root), Carry(spark, out)
     previous = batch_id - 1
-    clock = carry.read("clock", previous, _CLOCK).first()
-    reached = clock["watermark_ns"] if clock else -OPEN_END
-    arrived = carry.read("pending", previous, WIDE_EVENTS).unionByName(
-        batch.select(*[f.name for f in WIDE_EVENTS.fields]).filter(F.col("ts_ns") > reached)
-    )
+    reached = carry.read("clock", previous, _CLOCK)
+    marked = _marked(batch.select(*[f.name for f in WIDE_EVENTS.fields]), reached)
+    arrived = carry.read("pending", previous, WIDE_EVENTS).unionByName(marked.filter(F.col("ts_ns") > F.col("_mark")).drop("_mark"))
     arrived = arrived.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        latest = arrived.agg(F.max("ts_ns")).first()[0]
-        watermark = reached if latest is None else max(reached, latest - options.delay_ns)
-        if final:
-            watermark = OPEN_END
-        late = batch.filter(F.col("ts_ns") <= reached).groupBy("host", "cls").agg(F.count(F.lit(1)).alias("rows"))
+        seen = arrived.groupBy("host").agg((F.max("ts_ns") - F.lit(options.delay_ns)).alias("watermark_ns"))
+        clock = seen.unionByName(reached).groupBy("host").agg(F.lit(OPEN_END) if final else F.max("watermark_ns")).toDF(*_CLOCK.names)
+        clock = carry.write(clock, "work_clock", batch_id)
+        late = marked.filter(F.col("ts_ns") <= F.col("_mark")).groupBy("host", "cls").agg(F.count(F.lit(1)).alias("rows"))
         sink.write(late, "late", batch_id)
-        carry.write(arrived.filter(F.col("ts_ns") > watermark), "pending", batch_id)
-        current = Slice(carry, batch_id, arrived.filter(F.col("ts_ns") <= watermark), watermark, options, final)
+        timed = _marked(arrived, clock)
+        carry.write(timed.filter(F.col("ts_ns") > F.col("_mark")).drop("_mark"), "pending", batch_id)
+        current = Slice(carry, batch_id, timed.filter(F.col("ts_ns") <= F.col("_mark")).drop("_mark"), clock, options, final)
         _write_results(current, sink, batch_id)
         current.write_carry()
-        carry.write(spark.createDataFrame([(watermark,)], _CLOCK), "clock", batch_id)
+        carry.write(clock, "clock", batch_id)
         carry.forget(_TABLES, batch_id)
     finally:
         arrived.unpersist()
 
 
+def _marked(rows: DataFrame, clock: DataFrame) -> DataFrame:
+    """Add ``_mark``, the watermark of the row's host; a host without one is at the beginning of time."""
+    of = clock.select(F.col("host").alias("_of"), F.col("watermark_ns").alias("_at"))
+    joined = rows.join(of, F.col("host").eqNullSafe(F.col("_of")), "left")
+    return joined.select(*rows.columns, F.coalesce("_at", F.lit(-OPEN_END)).alias("_mark"))
+
+
 class Slice:
-    """Rows of one watermark step, with the carried state before it."""
+    """Rows of one watermark step of every host, with the carried state before it."""
 
-    def __init__(self, carry: Carry, batch_id: int, rows: DataFrame, watermark: int, options: StreamOptions, final: bool):
-        self.carry, self.batch_id, self.rows, self.watermark = carry, batch_id, rows, watermark
+    def __init__(self, carry: Carry, batch_id: int, rows: DataFrame, clock: DataFrame, options: StreamOptions, final: bool):
+        self.carry, self.batch_id, self.rows, self.clock = carry, batch_id, rows, clock
         self.options, self.final = options, final
         self.before = carry.read("entities", batch_id - 1, _ENTITY)
         self.cpu_before = carry.read("cpu", batch_id - 1, WIDE_EVENTS)
@@ -174,17 +180,17 @@ class Slice:
             self.carry.write(_union(WIDE_EVENTS, *parts), "cpu", self.batch_id)
 
     def _entity_carry(self) -> list[DataFrame]:
-        mark = F.lit(self.watermark)
+        mark = F.col("_mark")
         # An entity that was cut but never ended goes after the idle limit.
-        abandoned = F.col("valid_to") <= F.lit(_back(self.watermark, self.options.idle_limit_ns))
+        abandoned = F.col("valid_to") <= _back(mark, self.options.idle_limit_ns)
         needed = (F.greatest("valid_to", "expires_ns") > mark) & ~abandoned
         known_next = F.when(F.col("next_ns") < OPEN_END, F.col("next_ns")).alias("known_next_ns")
         known_end = F.col("end_ns").alias("known_end_ns")
-        starts = self.processes.filter(needed).select(
+        starts = _marked(self.processes, self.clock).filter(needed).select(
             "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("process_start").alias("cls"), "start_key", "pid",
             "parent_pid", "session_id", "process_name", "service_name", "pe_checksum", "last_seen_ns", known_next, known_end,
         )
-        tids = self.threads.filter(F.col("valid_to") > mark).select(
+        tids = _marked(self.threads, self.clock).filter(F.col("valid_to") > mark).select(
             "host", "seq", F.col("create_ns").alias("ts_ns"), F.lit("thread_start").alias("cls"), "pid", "tid",
             "sub_process_tag", known_next, known_end, F.col("start_key").alias("known_start_key"),
         )
@@ -231,8 +237,9 @@ class Slice:
         if self.final:
             return self.carry.write(rows.withColumn("ready", F.lit(True)), "work_ordered", self.batch_id)
         open_ = self.open_calls().select("host", "cpu", F.col("initial_ns").alias("_open"))
-        frontier = F.least(F.lit(_back(self.watermark, self.options.call_limit_ns)), F.coalesce("_open", F.lit(OPEN_END)))
-        marked = rows.join(open_, ["host", "cpu"], "left").withColumn("ready", F.col("initial_ns") < frontier).drop("_open")
+        frontier = F.least(_back(F.col("_mark"), self.options.call_limit_ns), F.coalesce("_open", F.lit(OPEN_END)))
+        marked = _marked(rows.join(open_, ["host", "cpu"], "left"), self.clock)
+        marked = marked.withColumn("ready", F.col("initial_ns") < frontier).drop("_open", "_mark")
         return self.carry.write(marked, "work_ordered", self.batch_id)
 
     @cached_property
@@ -247,14 +254,15 @@ class Slice:
         return self.ordered.filter(~F.col("ready")).drop("ready")
 
     def unpaired(self) -> DataFrame:
-        young = F.col("initial_ns") > F.lit(_back(self.watermark, MAX_PAIR_NS + self.options.call_limit_ns))
-        kept = self.ordered.filter(F.col("ready") & (F.col("cls") == "isr") & young).drop("ready")
+        young = F.col("initial_ns") > _back(F.col("_mark"), MAX_PAIR_NS + self.options.call_limit_ns)
+        isrs = _marked(self.ordered.filter(F.col("ready") & (F.col("cls") == "isr")), self.clock)
+        kept = isrs.filter(young).drop("ready", "_mark")
         paired = self.pairs.select("host", "cpu", F.col("isr_seq").alias("seq"))
         return kept.join(paired, ["host", "cpu", "seq"], "left_anti")
 
 
-def _back(time_ns: int, by_ns: int) -> int:
-    return max(time_ns - by_ns, -OPEN_END)
+def _back(time_ns: Column, by_ns: int) -> Column:
+    return F.greatest(time_ns, F.lit(by_ns - OPEN_END)) - F.lit(by_ns)
 
 
 def _last_on_cpu(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -322,19 +330,25 @@ def _threads(s: Slice, how: dict) -> list[DataFrame]:
 
 def _interrupts(s: Slice, how: dict) -> list[DataFrame]:
     one = F.count(F.lit(1)).alias("value")
+    queued, executed = s.of("isr"), s.finalised
     return [
-        _delta(s.of("isr").groupBy("host", "cpu").agg(one), "perfinfo_dpc_queued_cpu_total", "value", "cpu"),
-        _delta(s.finalised.groupBy("host", "cpu").agg(one), "perfinfo_dpc_executed_cpu_total", "value", "cpu"),
+        _delta(queued.groupBy("host").agg(one), "perfinfo_dpc_queued_total", "value"),
+        _delta(executed.groupBy("host").agg(one), "perfinfo_dpc_executed_total", "value"),
+        _delta(queued.groupBy("host", "cpu").agg(one), "perfinfo_dpc_queued_cpu_total", "value", "cpu"),
+        _delta(executed.groupBy("host", "cpu").agg(one), "perfinfo_dpc_executed_cpu_total", "value", "cpu"),
     ]
 
 
 def _network(s: Slice, how: dict) -> list[DataFrame]:
     events = s.of(*NETWORK_CLASSES)
-    moved = network.network_bytes(events, s.processes, level="instance", **how)
+    moved = s.carry.write(network.network_bytes(events, s.processes, level="instance", **how), "work_network", s.batch_id)
+    totals = moved.groupBy("host", "protocol").agg(*[F.sum(c).alias(c) for c in ("sent_bytes", "received_bytes")])
     made = network.connections(events, s.processes, level="instance", **how)
     failed = network.connections_failed(events, s.processes, level="instance", **how)
     again = network.retransmissions(events, s.processes, level="instance", **how)
     return [
+        _delta(totals, "network_sent_bytes_total", "sent_bytes", "protocol"),
+        _delta(totals, "network_received_bytes_total", "received_bytes", "protocol"),
         _delta(moved, "network_process_sent_bytes_total", "sent_bytes", "protocol"),
         _delta(moved, "network_process_received_bytes_total", "received_bytes", "protocol"),
         _delta(made, "network_process_connections_attempted_total", "attempted", "protocol"),
@@ -355,7 +369,12 @@ def _memory(s: Slice, how: dict) -> list[DataFrame]:
 
 def _registry(s: Slice, how: dict) -> list[DataFrame]:
     by_program = registry_ops.registry_by_program(s.of("registry_op"), s.processes, level="instance", **how)
-    return [_delta(by_program, "registry_operations_process_total", "value", "operation", "result")]
+    by_program = s.carry.write(by_program, "work_registry", s.batch_id)
+    totals = by_program.groupBy("host", "operation", "result").agg(F.sum("value").alias("value"))
+    return [
+        _delta(totals, "registry_operations_total", "value", "operation", "result"),
+        _delta(by_program, "registry_operations_process_total", "value", "operation", "result"),
+    ]
 
 
 _BUILD: dict[str, Callable[[Slice, dict], list[DataFrame]]] = {
