@@ -22,6 +22,10 @@ class Carry:
     def exists(self, table: str, batch: int) -> bool:
         return self._file_system(self.path(table, batch))[0]
 
+    def has(self, table: str) -> bool:
+        """Has any batch written the table?"""
+        return self._file_system(f"{self.root}/{table}")[0]
+
     def read(self, table: str, batch: int, schema: StructType) -> DataFrame:
         """The table as batch ``batch`` left it; empty before the first batch."""
         path = self.path(table, batch)

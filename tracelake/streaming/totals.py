@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.operators.histogram import add_histograms
 from tracelake.plans.rollup import LABELS, name_programs
+from tracelake.streaming.state import Carry
 
 
 def _sink(spark: SparkSession, out: str, table: str) -> DataFrame:
@@ -44,7 +45,28 @@ def late_rows(spark: SparkSession, out: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, out: str, target: str) -> None:
-    """Write the counter deltas summed up into ``target``, for long runs with many small batches."""
-    deltas = _sink(spark, out, "deltas")
-    summed = deltas.groupBy("host", "start_key", "metric", "dims").agg(F.sum("value").alias("value"))
-    summed.withColumn("batch", F.lit(0)).write.mode("overwrite").partitionBy("batch").parquet(f"{target.rstrip('/')}/deltas")
+    """Write a whole sink into ``target`` with what its batches add up to: counters and histograms summed, the latest row of each instance, late rows.
+
+    For long runs with many small batches. ``target`` reads like the sink itself.
+    """
+    root = target.rstrip("/")
+
+    def put(df: DataFrame, table: str) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/{table}/batch=0")
+
+    sink = Carry(spark, out)
+    if sink.has("deltas"):
+        put(_sink(spark, out, "deltas").groupBy("host", "start_key", "metric", "dims").agg(F.sum("value").alias("value")), "deltas")
+    if sink.has("histograms"):
+        # Metrics have different bounds: buckets are summed by place and put in order again.
+        labels = ["host", "cpu", "image_name", "metric"]
+        parts = _sink(spark, out, "histograms").select(*labels, "n", "total", "buckets")
+        totals = parts.groupBy(*labels).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        counts = parts.select(*labels, F.posexplode("buckets").alias("place", "bucket")).groupBy(*labels, "place").agg(F.sum("bucket").alias("bucket"))
+        buckets = counts.groupBy(*labels).agg(F.sort_array(F.collect_list(F.struct("place", "bucket")))["bucket"].alias("buckets"))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in labels]
+        put(totals.alias("a").join(buckets.alias("b"), same).select("a.*", "b.buckets"), "histograms")
+    if sink.has("instances"):
+        put(stream_instances(spark, out), "instances")
+    if sink.has("late"):
+        put(late_rows(spark, out), "late")

@@ -655,7 +655,7 @@ def scalar_functions(t: Trace) -> DataFrame:
     )
 
 
-def _flat(samples: DataFrame) -> DataFrame:
+def flat(samples: DataFrame) -> DataFrame:
     """Samples with the label map as text, for comparison."""
     pairs = F.array_sort(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return samples.select("host", "metric", F.array_join(pairs, ",").alias("labels"), F.col("value"), "kind")
@@ -675,13 +675,13 @@ hf AS (SELECT coalesce(p.start_key, 1) AS start_key FROM k f LEFT JOIN thread p
 @query(_FAULT_SAMPLES)
 def family_samples(t: Trace) -> DataFrame:
     """Two families through the registry."""
-    return _flat(samples(t.context(), ["memory", "process"]))
+    return flat(samples(t.context(), ["memory", "process"]))
 
 
 _PROGRAM = ["process_name", "service_name", "pe_checksum", "session_id"]
 
 
-def _sample_sql(name: str, metric: str, labels: list[str], value: str, kind: str = "counter", where: str = "true") -> str:
+def sample_sql(name: str, metric: str, labels: list[str], value: str, kind: str = "counter", where: str = "true") -> str:
     """Samples of a metric from the SQL of another query."""
     text = " || ',' || ".join(f"'{c}=' || {c}" for c in sorted(labels)) or "''"
     return (
@@ -690,7 +690,7 @@ def _sample_sql(name: str, metric: str, labels: list[str], value: str, kind: str
     )
 
 
-def _histogram_sql(name: str, metric: str, labels: list[str], bounds: tuple, scale: float) -> str:
+def histogram_sql(name: str, metric: str, labels: list[str], bounds: tuple, scale: float) -> str:
     names = ", ".join(f"({float(b)!r}::DOUBLE, 'le={b:.10g}')" for b in bounds)
     text = " || ',' || ".join(f"'{c}=' || {c}" for c in labels)
     with_le = f"{text} || ',' || text" if labels else "text"
@@ -704,46 +704,46 @@ def _histogram_sql(name: str, metric: str, labels: list[str], bounds: tuple, sca
     UNION ALL SELECT DISTINCT host, '{metric}_count', {plain}, CAST(n AS DOUBLE), 'histogram' FROM {rows}"""
 
 
-_ALL_SAMPLES = "\nUNION ALL ".join([
-    _sample_sql("disk_operations", "disk_io_operations_total", ["disk", "operation"], "value"),
-    _sample_sql("disk_bytes", "disk_read_bytes_total", ["disk"], "read_bytes"),
-    _sample_sql("disk_bytes", "disk_written_bytes_total", ["disk"], "written_bytes"),
-    _sample_sql("disk_by_program", "disk_process_io_operations_total", [*_PROGRAM, "disk", "operation"], "operations"),
-    _sample_sql("disk_by_program", "disk_process_read_bytes_total", [*_PROGRAM, "disk"], "bytes", where="operation = 'read' AND bytes > 0"),
-    _sample_sql("disk_by_program", "disk_process_written_bytes_total", [*_PROGRAM, "disk"], "bytes", where="operation = 'write' AND bytes > 0"),
-    _sample_sql("disk_physical_info", "system_disk_physical_info", ["disk", "manufacturer"], "value", "gauge"),
-    _sample_sql("disk_logical_info", "system_disk_logical_info", ["disk", "drive_letter", "file_system"], "value", "gauge"),
-    _sample_sql("cswitch_per_cpu", "thread_context_switches_cpu_total", ["cpu"], "value"),
-    _histogram_sql("cswitch_gap_histogram", "thread_context_switch_interval_milliseconds", ["cpu"], GAP_BOUNDS_MS, 1e6),
-    _sample_sql("thread_states", "thread_states_total", ["state", "wait_reason"], "value"),
-    _sample_sql("cswitch_by_program", "thread_context_switches_process_total", _PROGRAM, "value"),
-    _sample_sql("dpc_counts", "perfinfo_dpc_queued_total", [], "queued"),
-    _sample_sql("dpc_counts", "perfinfo_dpc_executed_total", [], "executed"),
-    _sample_sql("dpc_counts_cpu", "perfinfo_dpc_queued_cpu_total", ["cpu"], "queued"),
-    _sample_sql("dpc_counts_cpu", "perfinfo_dpc_executed_cpu_total", ["cpu"], "executed"),
-    _histogram_sql("isr_dpc_latency", "perfinfo_isr_to_dpc_latency_microseconds", [], LATENCY_BOUNDS_US, 1.0),
-    _sample_sql("network_bytes_by_program", "network_process_sent_bytes_total", [*_PROGRAM, "protocol"], "sent_bytes", where="sent_bytes > 0"),
-    _sample_sql("network_bytes_by_program", "network_process_received_bytes_total", [*_PROGRAM, "protocol"], "received_bytes", where="received_bytes > 0"),
-    _sample_sql("network_totals", "network_sent_bytes_total", ["protocol"], "sent_bytes", where="sent_bytes > 0"),
-    _sample_sql("network_totals", "network_received_bytes_total", ["protocol"], "received_bytes", where="received_bytes > 0"),
-    _sample_sql("connections", "network_process_connections_attempted_total", [*_PROGRAM, "protocol"], "attempted", where="attempted > 0"),
-    _sample_sql("connections", "network_process_connections_accepted_total", [*_PROGRAM, "protocol"], "accepted", where="accepted > 0"),
-    _sample_sql("connections_failed", "network_connections_failed_total", [*_PROGRAM, "protocol", "address_family", "failure_code"], "value"),
-    _sample_sql("retransmissions", "network_process_retransmissions_total", _PROGRAM, "value"),
-    _sample_sql("hard_faults", "memory_hard_pagefaults_total", [], "value"),
-    _sample_sql("hard_faults_by_program", "memory_hard_pagefaults_per_process_total", _PROGRAM, "value"),
-    _sample_sql("registry_totals", "registry_operations_total", ["operation", "result"], "value"),
-    _sample_sql("registry_by_program", "registry_operations_process_total", [*_PROGRAM, "operation", "result"], "value"),
-    _sample_sql("process_info", "process_info", _PROGRAM, "value", "gauge"),
+ALL_SAMPLES = "\nUNION ALL ".join([
+    sample_sql("disk_operations", "disk_io_operations_total", ["disk", "operation"], "value"),
+    sample_sql("disk_bytes", "disk_read_bytes_total", ["disk"], "read_bytes"),
+    sample_sql("disk_bytes", "disk_written_bytes_total", ["disk"], "written_bytes"),
+    sample_sql("disk_by_program", "disk_process_io_operations_total", [*_PROGRAM, "disk", "operation"], "operations"),
+    sample_sql("disk_by_program", "disk_process_read_bytes_total", [*_PROGRAM, "disk"], "bytes", where="operation = 'read' AND bytes > 0"),
+    sample_sql("disk_by_program", "disk_process_written_bytes_total", [*_PROGRAM, "disk"], "bytes", where="operation = 'write' AND bytes > 0"),
+    sample_sql("disk_physical_info", "system_disk_physical_info", ["disk", "manufacturer"], "value", "gauge"),
+    sample_sql("disk_logical_info", "system_disk_logical_info", ["disk", "drive_letter", "file_system"], "value", "gauge"),
+    sample_sql("cswitch_per_cpu", "thread_context_switches_cpu_total", ["cpu"], "value"),
+    histogram_sql("cswitch_gap_histogram", "thread_context_switch_interval_milliseconds", ["cpu"], GAP_BOUNDS_MS, 1e6),
+    sample_sql("thread_states", "thread_states_total", ["state", "wait_reason"], "value"),
+    sample_sql("cswitch_by_program", "thread_context_switches_process_total", _PROGRAM, "value"),
+    sample_sql("dpc_counts", "perfinfo_dpc_queued_total", [], "queued"),
+    sample_sql("dpc_counts", "perfinfo_dpc_executed_total", [], "executed"),
+    sample_sql("dpc_counts_cpu", "perfinfo_dpc_queued_cpu_total", ["cpu"], "queued"),
+    sample_sql("dpc_counts_cpu", "perfinfo_dpc_executed_cpu_total", ["cpu"], "executed"),
+    histogram_sql("isr_dpc_latency", "perfinfo_isr_to_dpc_latency_microseconds", [], LATENCY_BOUNDS_US, 1.0),
+    sample_sql("network_bytes_by_program", "network_process_sent_bytes_total", [*_PROGRAM, "protocol"], "sent_bytes", where="sent_bytes > 0"),
+    sample_sql("network_bytes_by_program", "network_process_received_bytes_total", [*_PROGRAM, "protocol"], "received_bytes", where="received_bytes > 0"),
+    sample_sql("network_totals", "network_sent_bytes_total", ["protocol"], "sent_bytes", where="sent_bytes > 0"),
+    sample_sql("network_totals", "network_received_bytes_total", ["protocol"], "received_bytes", where="received_bytes > 0"),
+    sample_sql("connections", "network_process_connections_attempted_total", [*_PROGRAM, "protocol"], "attempted", where="attempted > 0"),
+    sample_sql("connections", "network_process_connections_accepted_total", [*_PROGRAM, "protocol"], "accepted", where="accepted > 0"),
+    sample_sql("connections_failed", "network_connections_failed_total", [*_PROGRAM, "protocol", "address_family", "failure_code"], "value"),
+    sample_sql("retransmissions", "network_process_retransmissions_total", _PROGRAM, "value"),
+    sample_sql("hard_faults", "memory_hard_pagefaults_total", [], "value"),
+    sample_sql("hard_faults_by_program", "memory_hard_pagefaults_per_process_total", _PROGRAM, "value"),
+    sample_sql("registry_totals", "registry_operations_total", ["operation", "result"], "value"),
+    sample_sql("registry_by_program", "registry_operations_process_total", [*_PROGRAM, "operation", "result"], "value"),
+    sample_sql("process_info", "process_info", _PROGRAM, "value", "gauge"),
 ])
 
 
-@query(_ALL_SAMPLES)
+@query(ALL_SAMPLES)
 def all_family_samples(t: Trace) -> DataFrame:
     """Every family that the views can feed, with all switches on except per-driver series."""
     context = t.context(per_cpu=True, by_protocol=True, connection_stats=True, retransmissions=True)
     names = ["disk_io", "system", "threads", "interrupts", "network", "memory", "registry", "process"]
-    return _flat(samples(context, names))
+    return flat(samples(context, names))
 
 
 @query(o.with_(o.K, GAPS, o.cumulative_sql("gaps", ["cpu"], o.BOUNDS_GAP_MS, "us", "log2", "gap_ns")[0], f"""
@@ -752,12 +752,12 @@ h AS (SELECT 'gap_milliseconds' AS name)""", select=f"""
     SELECT '# TYPE ' || name || ' histogram' AS line FROM h
     UNION ALL SELECT 'gap_milliseconds_bucket{{host="{HOST}",cpu="' || cpu || '",le="' || le || '"}} ' || n FROM c
     UNION ALL SELECT 'gap_milliseconds_bucket{{host="{HOST}",cpu="' || cpu || '",le="+Inf"}} ' || count(*) FROM gaps GROUP BY cpu
+    UNION ALL SELECT 'gap_milliseconds_sum{{host="{HOST}",cpu="' || cpu || '"}} ' || CAST(sum(gap_ns) AS BIGINT) FROM gaps GROUP BY cpu
     UNION ALL SELECT 'gap_milliseconds_count{{host="{HOST}",cpu="' || cpu || '"}} ' || count(*) FROM gaps GROUP BY cpu"""))
 def exposition_text(t: Trace) -> DataFrame:
-    """Text lines of a histogram, its sums left out."""
+    """Text lines of a histogram; its sums are in nanoseconds here."""
     h = threads.cswitch_intervals(t.cswitch, chunk_ns=CHUNK_NS)
-    lines = histogram_samples(h, "gap_milliseconds", ["cpu"], GAP_BOUNDS_MS).filter("metric <> 'gap_milliseconds_sum'")
-    return exposition(lines)
+    return exposition(histogram_samples(h, "gap_milliseconds", ["cpu"], GAP_BOUNDS_MS))
 
 
 # Streams --------------------------------------------------------------------------------------
@@ -794,16 +794,18 @@ def stream_isr_dpc_latency(t: Trace) -> DataFrame:
     return cumulative(h, LATENCY_BOUNDS_US)
 
 
-def _completed(t: Trace, aggregated: DataFrame) -> DataFrame:
-    """Run a streaming aggregation to its end; its final table."""
+def _upserted(t: Trace, aggregated: DataFrame, keys: list[str]) -> DataFrame:
+    """Run a streaming aggregation to its end; the last row of each key. A batch writes only the groups it has changed."""
     root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/table")
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
 
-    writer = aggregated.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{root}/ck")
+    writer = aggregated.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/ck")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{root}/table")
+    values = [c for c in aggregated.columns if c not in keys]
+    last = t.spark.read.parquet(f"{root}/table").groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return last.select(*keys, "last.*")
 
 
 @query(o.with_(o.K, f"""
@@ -814,7 +816,7 @@ def stream_interval_counts(t: Trace) -> DataFrame:
     """Per-interval diagnostics as a watermarked streaming aggregation. Here intervals are days of table time."""
     lifecycle = StreamTrace(t.spark, t.sf_dir).wide(["process_start", "thread_start"])
     timed = lifecycle.withColumn("ts", F.timestamp_seconds(fn.micros(F.col("ts_ns"))))
-    counts = _completed(t, native.interval_counts(timed, "1 day", "3 days"))
+    counts = _upserted(t, native.interval_counts(timed, "1 day", "3 days"), ["host", "interval_start"])
     interval = F.unix_seconds("interval_start") / 86_400
     return counts.select("host", interval.cast("bigint").alias("interval"), "new_processes", "new_threads", "processes")
 
@@ -822,4 +824,4 @@ def stream_interval_counts(t: Trace) -> DataFrame:
 @query(o.with_(o.K, o.DPC, select=f"SELECT '{HOST}' AS host, cpu, count(*) AS value FROM k WHERE event_type = 'click' GROUP BY cpu"))
 def stream_cswitch_per_cpu(t: Trace) -> DataFrame:
     """A stateless family function applied to a stream as it is."""
-    return _completed(t, threads.cswitch_per_cpu(StreamTrace(t.spark, t.sf_dir).cswitch))
+    return _upserted(t, threads.cswitch_per_cpu(StreamTrace(t.spark, t.sf_dir).cswitch), ["host", "cpu"])
