@@ -201,6 +201,24 @@ def test_safe_cutoffs(spark):
     assert not kept & set(range(2000, 2040)) and kept >= set(range(3000, 3010)) and len(kept & set(range(1500))) >= 1498
 
 
+def test_joint_cutoffs(spark):
+    """A few hundred good labels without false rejections let a stratum reject; too few do not, and the rows rejected by any rule count together."""
+    docs = frame(
+        spark,
+        *[(i, prose(i, 60), "de") for i in range(400)], *[(i, prose(i, 60) + " #$%" * 60, "de") for i in range(1000, 1030)],
+        *[(i, prose(i, 60) + (" #" * 6 if i < 2030 else "") + (f"\n{prose(9, 5)}" * 2 if i % 60 == 0 else ""), "fr") for i in range(2000, 2600)], *[(i, prose(i, 60) + " #$%" * 60, "fr") for i in range(3000, 3010)],
+        *[(i, prose(i, 60), None) for i in range(4000, 4100)], *[(i, prose(i, 60) + " #$%" * 60, None) for i in range(4200, 4210)],
+    )
+    good = [*range(400), *range(2000, 2600), *range(4000, 4100)]
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in [*range(1000, 1030), *range(3000, 3005), *range(4200, 4205)]] + [(None, 1), (1, None)], "doc_id long, quality int")
+    cuts = {r.of: r for r in quality.calibrate_joint(quality.store(quality.measure(docs)), labels).collect()}
+    least = int(np.ceil(np.log(0.05 / 12) / np.log(0.98)))
+    assert {k: (r.n, r.least) for k, r in cuts.items()} == {"de": (400, least), "fr": (600, least), None: (100, least)}
+    assert cuts["de"].cut_symbols == 0.05 and cuts["fr"].cut_symbols == 0.1 and cuts["fr"].cut_dup_lines is None and cuts[None].cut_symbols is None
+    kept = {r[0] for r in quality.keep_good(docs, labels).select("doc_id").collect()}
+    assert not kept & {*range(1000, 1030), *range(3000, 3010)} and kept >= {*good, *range(4200, 4210)}
+
+
 def test_binomial_tail(spark):
     from math import comb, log
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +133,50 @@ def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level:
     return store(failed.select("of", *cuts))
 
 
+def calibrate_joint(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(of, n, least, lead, cut_<rule>...): joint cutoffs of all rules per stratum, each test at the whole ``risk``; a cutoff is null where none is safe. Store ``measured`` first.
+
+    Holdout, base rules and bound are those of ``calibrate``. What is tested is not a rule alone but a setting of all rules: its false rejections are the
+    held-out documents that any of its cutoffs rejects. There is a family of settings per rule: it tightens that rule through all of its cutoffs first,
+    then the others in their order, so each setting rejects what the one before it does. Tests run along a family and stop at the first failure. The level is split
+    over strata and families, so every setting that passed is safe with probability 1 - ``level``, and a stratum may take any: it takes the last of
+    the family that rejects most of its documents labelled bad (ties: the first rule's). ``n`` is the holdout's size, ``least`` the smallest
+    with which a setting without false rejections passes, ``lead`` the place of the family's first rule.
+
+    Strata without a held-out document have no row, so nothing is rejected there. Counts are combined before the shuffle, by stratum, family and step.
+    """
+    orders = [[i, *[j for j in range(len(rules)) if j != i]] for i in range(len(rules))]
+    length = sum(len(r.cutoffs) for r in rules)
+    offsets = [{j: sum(len(rules[x].cutoffs) for x in order[: order.index(j)]) for j in order} for order in orders]
+    # The first step of each family whose setting rejects the row; ``length`` if none does.
+    passes = lambda r: F.size(F.filter(F.array(*[F.lit(c) for c in r.cutoffs]), lambda c: F.expr(r.value) <= c))
+    first = {j: passes(r) for j, r in enumerate(rules)}
+    step = lambda at: F.least(F.lit(length), *[F.when(first[j] < len(r.cutoffs), first[j] + at[j]).otherwise(F.lit(length)) for j, r in enumerate(rules)])
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label_"))
+    held = measured.filter(~base_failed()).join(known, "doc_id")
+    held = held.select(F.col(f"`{stratum}`").alias("of"), (F.col("label_") == 1).alias("good"), F.posexplode(F.array(*[step(at) for at in offsets])).alias("lead", "step"))
+    counts = held.groupBy("of", "lead", "step").agg(F.count_if("good").alias("k"), F.count_if(~F.col("good")).alias("bad"))
+    families = store(counts.groupBy("of", "lead").agg(F.sum("k").alias("n"), F.collect_list(F.struct("step", "k", "bad")).alias("steps")).filter("n > 0"))
+    strata = max(families.select("of").distinct().count(), 1)
+    share = float(np.log(level / (strata * len(rules))))
+    total = lambda name, upto: F.aggregate(F.filter("steps", lambda s: s["step"] < upto), F.lit(0).cast("long"), lambda a, s: a + s[name])
+    tests = families.select("*", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("place"))
+    tests = tests.select("of", "lead", "n", "steps", "place", total("k", F.col("place") + 1).alias("k"))
+    safe = F.when(F.col("k") < F.col("n") * risk, log_binomial_tail(F.col("n"), F.col("k"), risk) <= share).otherwise(F.lit(False))
+    passed = tests.select("*", safe.alias("safe")).groupBy("of", "lead").agg(
+        F.first("n").alias("n"), F.first("steps").alias("steps"), F.coalesce(F.min(F.when(~F.col("safe"), F.col("place"))), F.lit(length)).alias("passed")
+    )
+    ranked = passed.select("of", F.struct(total("bad", F.col("passed")).alias("bad"), (-F.col("lead")).alias("rank"), "lead", "n", "passed").alias("family"))
+    best = ranked.groupBy("of").agg(F.max("family").alias("family")).select("of", "family.*")
+
+    def cutoff(j: int, r: Rule) -> Column:
+        taken = F.col("passed") - F.get(F.array(*[F.lit(at[j]) for at in offsets]), F.col("lead"))
+        return F.when(taken > 0, F.get(F.array(*[F.lit(c) for c in r.cutoffs]), F.least(taken, F.lit(len(r.cutoffs))) - 1)).alias(f"cut_{r.name}")
+
+    least = F.lit(int(np.ceil(share / np.log1p(-risk)))).cast("long").alias("least")
+    return store(best.select("of", "n", least, "lead", *[cutoff(j, r) for j, r in enumerate(rules)]))
+
+
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds ``base_failed`` and ``kept``: false if the base rules fail or a value lies above its stratum's cutoff. No cutoff rejects nothing."""
     above = F.lit(False)
@@ -143,8 +188,8 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
-    """The documents that the base rules and the calibrated cutoffs keep, with their own columns. Rows are judged alike however often they repeat."""
+    """The documents that the base rules and the jointly calibrated cutoffs keep, with their own columns. Rows are judged alike however often they repeat."""
     packed = docs.select(F.struct("*").alias("own_"), "doc_id", "lang", "text")
     measured = store(measure(packed).select("own_", "doc_id", "lang", *MEASURES))
-    verdict = judge(measured, calibrate(measured, labels, risk, level))
+    verdict = judge(measured, calibrate_joint(measured, labels, risk, level))
     return verdict.filter("kept").select(*[F.col(f"own_.`{c}`").alias(c) for c in docs.columns])
