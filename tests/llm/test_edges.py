@@ -113,6 +113,23 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(len(found[i].base) == 1 and found[i].spans == found[i].base for i in range(40))
 
 
+def test_found_identifiers_are_reported_everywhere(spark):
+    known = [(i, f"{prose(i, 20)} customer hotline: +1 (017) 555-{1000 + i} {prose(i + 99, 20)}") for i in range(40)]
+    others = [f"{prose(7, 9)} customer hotline: (017) 555-1234 {prose(8, 9)}", f"{prose(5, 9)} part number (017) 555-1234 {prose(6, 9)}", "(017) 555-1234"]
+    found = {x.doc_id: x for x in pii.extract(frame(spark, *known, *enumerate(others, 100))).collect()}
+    assert all([(k, text[a:b]) for k, a, b in found[i].spans] == [(3, "(017) 555-1234")] for i, text in enumerate(others, 100))
+
+
+def test_rounds_go_on_while_instances_come_up(spark):
+    """Each generation stands in contexts only with the one before it; the last is four rounds away from the seeds."""
+    sizes, rows = [800, 190, 45, 9, 1], []
+    for g, (old, new) in enumerate(zip(sizes, sizes[1:], strict=False)):
+        members = [(f"{g}-{i}", g == 0) for i in range(old)] + [(f"{g + 1}-{i}", False) for i in range(new)]
+        rows += [(3, f"c{g}{c}", form, seed) for c in range(3) for form, seed in members]
+    occurrences = spark.createDataFrame(rows, "kind int, context string, form string, seed boolean")
+    assert {r.form for r in pii.bootstrap(occurrences).collect()} == {f"{g}-{i}" for g in (1, 2, 3, 4) for i in range(sizes[g])}
+
+
 def test_running_sum_over_chunks(spark):
     values = [random.Random(1).randrange(100) for _ in range(1000)]
     df = spark.createDataFrame([(values,), ([],), ([7] * 256,)], "v array<long>")

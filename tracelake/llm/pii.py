@@ -129,20 +129,21 @@ def _contexts(left: Column, right: Column) -> Column:
     return F.when(F.size(before) > 0, pair).otherwise(F.array().cast("array<string>"))
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = 3, support: float = 3.0, pattern_floor: float = 0.8, instance_floor: float = 0.9) -> DataFrame:
-    """(kind, context, form) of the confident links from contexts to unseen instances.
+def bootstrap(occurrences: DataFrame, rounds: int | None = None, support: float = 3.0, pattern_floor: float = 0.8, instance_floor: float = 0.9) -> DataFrame:
+    """(kind, form) of the unseen instances that are confident and stand in a confident context at least once.
 
     The graph links contexts and distinct instances of a kind. A context's score is the confidence of its instances over their number, nothing if
     they add up to less than ``support``; an instance that is no seed is as confident as the noisy-or of its contexts. Scores and
-    confidences are computed in turn, ``rounds`` times; an instance counts for a context once confident by ``instance_floor``. Each step is two
+    confidences are computed in turn until a round adds no instance and no confident context, or ``rounds`` times if given; an instance counts for a context once confident
+    by ``instance_floor``. Confidences never fall from one round to the next, so that ends. Each step is two
     aggregates over distinct edges, combined before the shuffle, so a context or an instance with most of the rows is no hot group.
     """
     graph = store(occurrences.groupBy("kind", "context", "form").agg(F.max("seed").alias("seed")))
     # Contexts without a seed can get support only from instances that contexts with seeds have promoted.
     sure = graph.filter("seed").select("kind", "form").distinct().withColumn("sure", F.lit(1.0))
     sure = store(sure)
-    seeds, scores = sure, None
-    for _ in range(rounds):
+    seeds, reached, done = sure, (0, 0), 0
+    while True:
         weighed = graph.join(sure, ["kind", "form"], "left")
         sums = weighed.groupBy("kind", "context").agg(F.sum(F.coalesce("sure", F.lit(0.0))).alias("sum"), F.count(F.lit(1)).alias("n"))
         scores = store(sums.filter(F.col("sum") >= support).select("kind", "context", (F.col("sum") / (F.col("n") + 1)).alias("score")))
@@ -150,22 +151,26 @@ def bootstrap(occurrences: DataFrame, rounds: int = 3, support: float = 3.0, pat
         doubt = unseen.groupBy("kind", "form").agg(F.sum(F.log1p(-F.col("score"))).alias("doubt"))
         found = store(doubt.filter(1 - F.exp("doubt") >= instance_floor).select("kind", "form", (1 - F.exp("doubt")).alias("sure")))
         sure = seeds.unionByName(found)
-    trusted = scores.filter(F.col("score") >= pattern_floor).select("kind", "context")
-    return store(graph.join(found.select("kind", "form"), ["kind", "form"]).join(trusted, ["kind", "context"]).select("kind", "context", "form"))
+        trusted = scores.filter(F.col("score") >= pattern_floor).select("kind", "context")
+        now, done = (found.count(), trusted.count()), done + 1
+        if done == rounds or not now[0] or done > 1 and now[0] <= reached[0] and now[1] <= reached[1]:
+            break
+        reached = now
+    return store(graph.join(found.select("kind", "form"), ["kind", "form"]).join(trusted, ["kind", "context"]).select("kind", "form").distinct())
 
 
-def extract(docs: DataFrame, rounds: int = 3, support: float = 3.0, pattern_floor: float = 0.8, instance_floor: float = 0.9) -> DataFrame:
+def extract(docs: DataFrame, rounds: int | None = None, support: float = 3.0, pattern_floor: float = 0.8, instance_floor: float = 0.9) -> DataFrame:
     """(doc_id, base, spans) per row: arrays of (kind, start, end) in order, kind as its place in ``KINDS``; base by the seeds' patterns, spans with the discovered ones.
 
     Whole texts are read, once, and never shuffled: what goes on is a row per identifier-like span with its side texts. Null text is empty. Repeated
-    rows get equal results. Kinds are matched apart, so spans of two kinds may overlap. Discovered spans never replace a base span; of those of one kind that
+    rows get equal results. An instance found anywhere is reported wherever it stands, whatever its context. Kinds are matched apart, so spans of two kinds may overlap. Discovered spans never replace a base span; of those of one kind that
     overlap a base span, none comes about, as loose shapes exclude the seeds' own.
     """
     found = store(find(docs))
     place = found.select("k1", "k2", F.explode("found").alias("s")).select("k1", "k2", "s.*")
     occurrences = place.select("k1", "k2", "kind", "start", "end", "form", "seed", F.explode(_contexts(F.col("left"), F.col("right"))).alias("context"))
-    links = bootstrap(occurrences, rounds, support, pattern_floor, instance_floor)
-    fresh = occurrences.filter("NOT seed").join(links, ["kind", "context", "form"])
+    forms = bootstrap(occurrences, rounds, support, pattern_floor, instance_floor)
+    fresh = place.filter("NOT seed").join(forms, ["kind", "form"])
     new = fresh.groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
     joined = found.select("doc_id", "k1", "k2", "base").join(new, ["k1", "k2"], "left")
     return joined.select("doc_id", "base", F.when(F.col("new").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "new"))).alias("spans"))
