@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, chat, fingerprint, html, lines, mixing, pii, quality, simhash, suffix_dedup
+from tracelake.llm import bpe, chat, fim, fingerprint, html, lines, mixing, pii, quality, simhash, suffix_dedup
 from tracelake.llm.common import store, table
 from tracelake.llm.sql import ORACLE  # noqa: F401  (the entry point takes both)
 
@@ -79,3 +79,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rewritten = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rewritten.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )

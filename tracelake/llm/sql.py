@@ -109,3 +109,28 @@ ORACLE["op7_chat_snapshots"] = """
     SELECT k.conv_id, (r.place - 1) // 1024 AS part, k.n_turns, k.n_copies,
            string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS text
     FROM kept k JOIN r ON r.conv_id = k.conv_id GROUP BY ALL"""
+
+
+def fill_in_middle(documents: str, seed: str = "7", percent: int = 100, spm_percent: int = 50) -> str:
+    """(doc_id, n, form, prefix_chars, middle_chars, output, text) of a relation."""
+    word = lambda i: f"CAST(concat('0x', substr(hex, {8 * i + 1}, 8)) AS BIGINT)"
+    upto = lambda k: f"CASE WHEN {k} = 0 THEN '' WHEN {k} = n THEN text ELSE array_to_string(list_slice(parts, 1, {k}), chr(10)) || chr(10) END"
+    return f"""
+    WITH split AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts,
+                          sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM {documents}),
+    counted AS (SELECT *, CAST(len(parts) - CASE WHEN parts[-1] = '' THEN 1 ELSE 0 END AS BIGINT) AS n,
+                       {", ".join(f"{word(i)} AS h{i + 1}" for i in range(4))} FROM split),
+    cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {percent} THEN 'plain'
+                        WHEN h4 % 100 < {spm_percent} THEN 'spm' ELSE 'psm' END AS form FROM counted),
+    ended AS (SELECT *, length({upto("a")}) AS p, length({upto("b")}) AS q FROM cut),
+    parted AS (SELECT *, substr(text, 1, p) AS prefix, substr(text, p + 1, q - p) AS middle, substr(text, q + 1) AS suffix FROM ended)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+           CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output, text
+    FROM parted"""
+
+
+ORACLE["op11_fill_in_middle"] = f"""
+    SELECT doc_id, n, form, prefix_chars, middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256
+    FROM ({fill_in_middle('documents')})"""
