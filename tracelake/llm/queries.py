@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, chat, fim, fingerprint, html, lines, mixing, pii, quality, simhash, suffix_dedup
+from tracelake.llm import bpe, chat, fim, fingerprint, html, lines, mixing, pii, quality, simhash, suffix_dedup, topk
 from tracelake.llm.common import store, table
 from tracelake.llm.sql import ORACLE  # noqa: F401  (the entry point takes both)
 
@@ -87,3 +87,8 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
     )
+
+
+@query
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)

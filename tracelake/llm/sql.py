@@ -134,3 +134,17 @@ def fill_in_middle(documents: str, seed: str = "7", percent: int = 100, spm_perc
 ORACLE["op11_fill_in_middle"] = f"""
     SELECT doc_id, n, form, prefix_chars, middle_chars, sha256(output) AS output_sha256, sha256(text) AS restored_sha256
     FROM ({fill_in_middle('documents')})"""
+
+
+def whole_vectors(embeddings: str, scale: int) -> str:
+    """Rows of a relation that take part, components as whole numbers."""
+    return f"""SELECT row_number() OVER () AS row_id, vec_id, label, [floor({scale}.0 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM {embeddings}
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"""
+
+
+ORACLE["op12_exact_top_k"] = f"""
+    WITH whole AS ({whole_vectors('embeddings', 1024)}),
+    scored AS (SELECT q.row_id, q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+               FROM whole q JOIN whole x ON q.vec_id % 100 = 0 AND q.row_id <> x.row_id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
