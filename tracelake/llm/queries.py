@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import bpe, chat, fim, fingerprint, html, lines, mixing, pii, quality, simhash, suffix_dedup, topk
+from tracelake.llm import bpe, chat, fim, fingerprint, html, lines, mixing, negatives, pii, quality, simhash, suffix_dedup, topk
 from tracelake.llm.common import store, table
 from tracelake.llm.sql import ORACLE  # noqa: F401  (the entry point takes both)
 
@@ -92,3 +92,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return negatives.hard_negatives(rows, every=100, positives=5, negatives=5, low=80, high=100, scale=256)

@@ -148,3 +148,14 @@ ORACLE["op12_exact_top_k"] = f"""
                FROM whole q JOIN whole x ON q.vec_id % 100 = 0 AND q.row_id <> x.row_id),
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank FROM scored)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+ORACLE["op13_hard_negatives"] = f"""
+    WITH whole AS (SELECT row_id, vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label
+                   FROM ({whole_vectors('embeddings', 256)}) WHERE label IS NOT NULL),
+    scored AS (SELECT a.row_id AS anchor, a.vec_id AS anchor_id, x.row_id, x.vec_id, a.label = x.label AS same, CAST(list_inner_product(a.v, x.v) AS BIGINT) AS score
+               FROM whole a JOIN whole x ON a.vec_id % 100 = 0 AND a.row_id <> x.row_id),
+    positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+    window_rows AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                           CAST(row_number() OVER (PARTITION BY p.anchor, p.row_id ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INT) AS rank
+                    FROM positive p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM window_rows WHERE rank <= 5"""
