@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -320,3 +321,36 @@ def test_site_templates(spark):
     got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == prose(i, 30) for i in range(30)) and all(got[i] == "copied words" for i in range(30, 60))
     assert got[60].startswith("Welcome to our site\nCall us\n") and got[70] == "x" and got[71] == ""
+
+
+def signed(fps):
+    return [f - (1 << 64) if f >> 63 else f for f in fps]
+
+
+def test_links_of_a_ball(spark):
+    """All 43,745 fingerprints within three bits of one, strangers, and a second centre six bits away that one stray connects to the ball."""
+    r = random.Random(8)
+    centre = r.getrandbits(64)
+    bits = [1 << b for b in range(64)]
+    ball = [centre] + [centre ^ a for a in bits] + [centre ^ a ^ b for a, b in combinations(bits, 2)] + [centre ^ a ^ b ^ c for a, b, c in combinations(bits, 3)]
+    assert len(ball) == 43_745
+    far = centre ^ sum(bits[20:28])  # five bits from the nearest of the ball
+    bridge = [far, far ^ bits[20]]
+    lone = centre ^ sum(bits[40:50])
+    strangers = [r.getrandbits(64) for _ in range(500)]
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed([*ball, *bridge, lone, *strangers])], "fp long"))
+    got = {x.node: x.label for x in components.components(edges).collect()}
+    labels = {got[f] for f in signed([*ball, *bridge])}
+    assert labels == {min(signed([*ball, *bridge]))} and not set(signed([lone, *strangers])) & set(got)
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_tiles_at_other_distances(spark, monkeypatch, distance):
+    """Chains of growing steps: with buckets of two every bit pattern ends in tiles, and components equal brute force."""
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    r = random.Random(distance)
+    fps = [r.getrandbits(64) & 0xFFFF for _ in range(150)]
+    fps = list(dict.fromkeys(fps))
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), distance)
+    got = {x.node: x.label for x in components.components(edges).collect()}
+    assert {f: got.get(f, f) for f in fps} == brute.classes(dict(zip(fps, fps, strict=True)), distance)

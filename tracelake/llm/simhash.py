@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import bounded_batches, row_keys, store, text_or_empty
 from tracelake.llm.components import components
 
-#: Fingerprints one bucket may hold before it is dealt out by more bits.
-BUCKET = 1024
+#: Fingerprints one bucket may hold before it is dealt out by more bits, and how often that happens before tiles follow.
+BUCKET, DEALS = 1024, 2
+#: What names a bucket: the segment its chains start from, the bits it fixes, and their values.
+PLACE = ["start", "mask", "key"]
 
 
 def fingerprint(text: bytes, width: int = 4) -> bytes:
@@ -148,26 +150,29 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
 
     The bits form a ring of ``distance`` + 1 segments. A fingerprint goes to one bucket per segment; a bucket's pairs pass the chain
     test from that segment and the full check, and leave as a spanning forest. A bucket of over ``BUCKET`` fingerprints is dealt out again: its
-    pairs differ only in the free bits, in at most ``distance`` of them, so they agree in one of ``distance`` + 1 runs of these. That goes on until
-    all buckets are small, at any corpus size, and no bucket is cut.
+    pairs differ only in the free bits, in at most ``distance`` of them, so they agree in one of ``distance`` + 1 runs of these. Two such rounds
+    fix some 30 bits, which is enough for strangers at any corpus size; what is still hot after them are balls of fingerprints
+    that differ in few bits, and these are compared in tiles (``_tiled``). No bucket is cut.
     """
     masks = ring(distance + 1)
     rows = fps.select("fp").distinct().select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("start"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)])).alias("at")
     ).select("fp", "at.start", "at.mask")
     level, found = masks, []
-    while True:
+    for deal in range(DEALS + 1):
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        hot = store(rows.groupBy("start", "mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("start", "mask", "key"))
+        hot = store(rows.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select(*PLACE))
         done = hot.isEmpty()
-        cold = rows if done else rows.join(hot, ["start", "mask", "key"], "left_anti")
-        dealt = cold.repartition("start", "mask", "key").sortWithinPartitions("start", "mask", "key").select("start", "mask", "key", "fp")
-        found.append(store(dealt.mapInArrow(_link(masks, distance), "u long, v long")))
+        found.append(store(_linked(rows if done else rows.join(hot, PLACE, "left_anti"), masks, distance)))
         if done:
             break
+        rows = rows.join(hot, PLACE, "left_semi")
+        if deal == DEALS:
+            found += _tiled(store(rows), masks, distance)
+            break
         finer = {m: _finer(m, distance + 1) for m in level}
-        deal = F.create_map(*[x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in f]))])
-        rows = store(rows.join(hot, ["start", "mask", "key"], "left_semi").select("fp", "start", F.explode(deal[F.col("mask")]).alias("mask")))
+        split = F.create_map(*[x for m, f in finer.items() for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(y)) for y in f]))])
+        rows = store(rows.select("fp", "start", F.explode(split[F.col("mask")]).alias("mask")))
         level = sorted({y for f in finer.values() for y in f})
     edges = found[0]
     for more in found[1:]:
@@ -175,6 +180,54 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return edges
 
 
+def _linked(rows: DataFrame, masks: list[int], distance: int) -> DataFrame:
+    """(u, v) from whole buckets."""
+    dealt = rows.repartition(*PLACE).sortWithinPartitions(*PLACE).select(*PLACE, "fp")
+    return dealt.mapInArrow(_link(masks, distance), "u long, v long")
+
+
+def _two_bits(fps: DataFrame) -> DataFrame:
+    """(u, v): edges that connect exactly the pairs within two bits. These share a key among themselves and their one-bit neighbours."""
+    near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+    keyed = fps.select("fp", F.explode(near).alias("near"))
+    least = keyed.groupBy("near").agg(F.min("fp").alias("v"), F.max("fp").alias("top")).filter("v < top").select("near", "v")
+    return keyed.join(least, "near").filter("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+
+
+def _tiled(rows: DataFrame, masks: list[int], distance: int) -> list[DataFrame]:
+    """Edge tables of the buckets that stay hot.
+
+    Pairs within two bits connect first, by a linear step, which in a ball leaves few components. Then each bucket is cut into blocks of about ``BUCKET``
+    rows, large components into blocks of their own, and every two blocks make a tile, but for two of the same component, which need
+    no more links. A tile is one small group: all pairs between different components are met, and none is held with its bucket.
+    """
+    out = []
+    if distance >= 2:
+        out.append(store(_two_bits(rows.select("fp").distinct())))
+        label = components(out[0]).withColumnRenamed("node", "fp")
+        rows = store(rows.join(label, "fp", "left").select(*PLACE, "fp", F.coalesce("label", "fp").alias("label")))
+    else:
+        rows = rows.select(*PLACE, "fp", F.col("fp").alias("label"))
+    counts = store(rows.groupBy(*PLACE, "label").agg(F.count(F.lit(1)).alias("n")))
+    large = counts.filter(F.col("n") > BUCKET)
+    small = counts.filter(F.col("n") <= BUCKET).groupBy(*PLACE).agg(F.sum("n").alias("others"))
+    blocks_of = lambda n: F.ceil(F.col(n) / F.lit(float(BUCKET)))
+    sized = rows.join(large, [*PLACE, "label"], "left").join(small, PLACE, "left")
+    cut = sized.select(
+        *PLACE, "fp", F.when(F.col("n").isNotNull(), F.col("label")).alias("owner"),
+        F.pmod(F.xxhash64("fp"), F.coalesce(blocks_of("n"), blocks_of("others"))).alias("part"),
+    )
+    cut = store(cut.withColumn("block", F.xxhash64(*PLACE, F.col("owner").isNull(), "owner", "part")))
+    blocks = store(cut.select(*PLACE, "block", "owner").distinct())
+    one, two = blocks.alias("one"), blocks.alias("two")
+    same = [F.col(f"one.{c}") == F.col(f"two.{c}") for c in PLACE]
+    foreign = F.col("one.owner").isNull() | F.col("two.owner").isNull() | (F.col("one.owner") != F.col("two.owner"))
+    tiles = one.join(two, same).filter((F.col("one.block") <= F.col("two.block")) & foreign)
+    tiles = tiles.select(F.col("one.start").alias("start"), F.col("one.block").alias("mask"), F.col("two.block").alias("key"))
+    held = tiles.select("*", F.explode(F.array_distinct(F.array("mask", "key"))).alias("block"))
+    return [*out, store(_linked(cut.select("block", "fp").distinct().join(held, "block"), masks, distance))]
+
+
 def _classes(marked: DataFrame, distance: int) -> DataFrame:
     """(fp, label, component_id) of every distinct fingerprint; label is a fingerprint that stands for the class."""
     least = store(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
