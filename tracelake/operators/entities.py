@@ -234,17 +234,18 @@ def resolve_services(processes: DataFrame, threads: DataFrame, services: DataFra
 
 
 def enrich_running(
-    processes: DataFrame, running: DataFrame, services: DataFrame, at_ns: Column | int | None = None
+    processes: DataFrame, running: DataFrame, services: DataFrame, at_ns: Column | int | str | None = None
 ) -> DataFrame:
     """Name instances that are still unnamed from a snapshot of running services (pid -> service).
 
     The service must have a known tag, and the instance must own the pid at ``at_ns`` (default: now,
-    that is after the last event).
+    that is after the last event). As a name, ``at_ns`` is the column of ``running`` that says when each row was taken.
     """
-    at = F.lit(OPEN_END - 1) if at_ns is None else (F.lit(at_ns) if isinstance(at_ns, int) else at_ns)
+    own_time = isinstance(at_ns, str)
+    at = F.lit(OPEN_END - 1) if at_ns is None else (F.lit(at_ns) if isinstance(at_ns, int) else F.col("_taken") if own_time else at_ns)
     known = services.select("host", "service_name").distinct()
     named = running.join(known, ["host", "service_name"], "left_semi").select(
-        "host", "pid", F.col("service_name").alias("_service")
+        "host", "pid", F.col("service_name").alias("_service"), *([F.col(at_ns).alias("_taken")] if own_time else [])
     )
     joined = processes.join(named, ["host", "pid"], "left")
     current = (F.col("valid_from") <= at) & (at < F.col("valid_to"))

@@ -125,22 +125,34 @@ class Context:
         return entities.filter_programs(df, self.switches.include_names)
 
 
+#: How a family's samples of several slices of a stream come together.
+SUM, AT_END = "sum", "at_end"
+
+
 @dataclass(frozen=True)
 class Family:
     name: str
     needs: tuple[str, ...]
     build: Callable[[Context], DataFrame]
     default: bool
+    stream: str = SUM
 
 
 FAMILIES: dict[str, Family] = {}
 
 
 def register_family(
-    name: str, needs: Iterable[str], build: Callable[[Context], DataFrame], default: bool = False
+    name: str, needs: Iterable[str], build: Callable[[Context], DataFrame], default: bool = False, stream: str = SUM
 ) -> None:
-    """Add a family. ``build(context)`` returns samples (see ``to_samples``); ``needs`` lists the classes it reads."""
-    FAMILIES[name] = Family(name, tuple(needs), build, default)
+    """Add a family, for batches and streams. ``build(context)`` returns samples (see ``to_samples``); ``needs`` lists the classes it reads.
+
+    On a stream ``build`` gets the rows of one slice, with the entities known by then, and ``stream`` says what its samples of several slices make: ``SUM`` adds
+    up counters and histograms and keeps the latest gauges; with ``AT_END`` it is built from all instances when the totals are read.
+    What looks from one row to the next (gaps, pairs) sees the rows of a slice only.
+    """
+    if stream not in (SUM, AT_END):
+        raise ValueError(f"unknown way to run on a stream: {stream!r}")
+    FAMILIES[name] = Family(name, tuple(needs), build, default, stream)
 
 
 def samples(context: Context, families: Sequence[str] | None = None) -> DataFrame:
@@ -315,5 +327,5 @@ register_family("interrupts", ("isr", "dpc", "cswitch"), _interrupts)
 register_family("network", (*_LIFECYCLE, *network.CLASSES), _network)
 register_family("memory", (*_THREADS, "hard_fault"), _memory, default=True)
 register_family("registry", (*_LIFECYCLE, "registry_op"), _registry)
-register_family("process", _LIFECYCLE, _process, default=True)
+register_family("process", _LIFECYCLE, _process, default=True, stream=AT_END)
 register_family("health", (), _health)

@@ -9,7 +9,7 @@ CPU, and interrupts without a partner that are younger than one hour.
 """
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
 from pyspark import StorageLevel
@@ -26,9 +26,11 @@ from tracelake.operators.histogram import LATENCY_BOUNDS_US, histogram
 from tracelake.operators.pairing import MAX_PAIR_NS, finalised_dpcs, pair_isr_dpc
 from tracelake.operators.scrapes import IDLE_LIMIT_NS
 from tracelake.plans import disk, interrupts, memory, network, registry_ops, threads
+from tracelake.plans import families as registered
 from tracelake.plans.network import CLASSES as NETWORK_CLASSES
 from tracelake.sources.dimensions import service_dim
 from tracelake.sources.schema import WIDE_EVENTS
+from tracelake.streaming import exposing, scraping
 from tracelake.streaming.state import Carry, latest_batch
 
 FAMILIES = ("disk_io", "threads", "interrupts", "network", "memory", "registry")
@@ -42,7 +44,7 @@ _DEFAULTS = {"session_id": 0, "service_name": "", "pe_checksum": 0}
 _ATTRIBUTED = {"disk_io", "threads", "network", "memory", "registry"}
 _TABLES = (
     "clock", "pending", "entities", "cpu", "work_clock", "work_instances", "work_threads", "work_processes", "work_images",
-    "work_calls", "work_ordered", "work_pairs", "work_network", "work_registry",
+    "work_calls", "work_ordered", "work_pairs", "work_network", "work_registry", *scraping.TABLES, *exposing.TABLES,
 )
 
 
@@ -55,20 +57,28 @@ class StreamOptions:
     call_limit_ns: int = NS_PER_S
     idle_limit_ns: int = IDLE_LIMIT_NS
     max_isr_age_ms: int | None = None
-    # Call durations by driver; on a stream a series covers the whole run, also past an unload of its driver.
+    # Call durations by driver; with ``prune_unloaded`` a series starts again when an image of its name is unloaded.
     per_driver: bool = False
+    prune_unloaded: bool = False
     chunk_ns: int = CHUNK_NS
+    # Follow scrapes: clean-up by generations, counters that fall.
+    scrapes: scraping.ScrapeOptions | None = None
+    # Write the exposition text of all totals with every batch.
+    exposition: bool = False
+    # What registered families compute beyond their core.
+    switches: registered.Switches = field(default_factory=registered.Switches)
 
 
 def run_stream(
     events: DataFrame, checkpoint: str, out: str, options: StreamOptions = StreamOptions(), trigger: dict | None = None
 ) -> StreamingQuery:
-    """Start the families over a stream of ``WIDE_EVENTS`` rows.
+    """Start the families over a stream of ``WIDE_EVENTS`` rows: those of ``FAMILIES``, and any that is registered in ``plans.families``.
 
     ``out`` gets ``deltas``, ``histograms``, ``instances`` and ``late``, one folder per batch; ``checkpoint`` holds Spark's
-    own checkpoint and the carry. Read results with ``stream_counters`` and ``stream_histograms``.
+    own checkpoint and the carry. Read results with ``stream_samples``, or one by one with ``stream_counters`` and ``stream_histograms``. Registered
+    families add ``samples``, ``prune_unloaded`` adds ``restarts``, scrapes add ``scrapes``, ``generations``, ``cleaned`` and ``steps``.
     """
-    unknown = set(options.families) - set(FAMILIES)
+    unknown = set(options.families) - set(FAMILIES) - set(registered.FAMILIES)
     if unknown:
         raise KeyError(f"unknown families {sorted(unknown)}")
 
@@ -97,15 +107,21 @@ def process_slice(
     arrived = carry.read("pending", previous, WIDE_EVENTS).unionByName(marked.filter(F.col("ts_ns") > F.col("_mark")).drop("_mark"))
     arrived = arrived.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        seen = arrived.groupBy("host").agg((F.max("ts_ns") - F.lit(options.delay_ns)).alias("watermark_ns"))
+        # Nothing is under way any more from a host that has been silent for the idle limit.
+        reach = F.when(F.col("cls") == "idle", F.col("ts_ns")).otherwise(F.col("ts_ns") - F.lit(options.delay_ns))
+        seen = arrived.groupBy("host").agg(F.max(reach).alias("watermark_ns"))
         clock = seen.unionByName(reached).groupBy("host").agg(F.lit(OPEN_END) if final else F.max("watermark_ns")).toDF(*_CLOCK.names)
         clock = carry.write(clock, "work_clock", batch_id)
         late = marked.filter(F.col("ts_ns") <= F.col("_mark")).groupBy("host", "cls").agg(F.count(F.lit(1)).alias("rows"))
         sink.write(late, "late", batch_id)
         timed = _marked(arrived, clock)
         carry.write(timed.filter(F.col("ts_ns") > F.col("_mark")).drop("_mark"), "pending", batch_id)
-        current = Slice(carry, batch_id, timed.filter(F.col("ts_ns") <= F.col("_mark")).drop("_mark"), clock, options, final)
+        current = Slice(carry, batch_id, timed.filter(F.col("ts_ns") <= F.col("_mark")).drop("_mark"), clock, reached, options, final)
         _write_results(current, sink, batch_id)
+        if options.scrapes is not None:
+            scraping.Scraping(current, options.scrapes).write(sink)
+        if options.exposition:
+            exposing.write_scrape(carry, sink, batch_id, options.families)
         current.write_carry()
         carry.write(clock, "clock", batch_id)
         carry.forget(_TABLES, batch_id)
@@ -123,9 +139,11 @@ def _marked(rows: DataFrame, clock: DataFrame) -> DataFrame:
 class Slice:
     """Rows of one watermark step of every host, with the carried state before it."""
 
-    def __init__(self, carry: Carry, batch_id: int, rows: DataFrame, clock: DataFrame, options: StreamOptions, final: bool):
-        self.carry, self.batch_id, self.rows, self.clock = carry, batch_id, rows, clock
+    def __init__(self, carry: Carry, batch_id: int, rows: DataFrame, clock: DataFrame, reached: DataFrame, options: StreamOptions, final: bool):
+        self.carry, self.batch_id, self.rows, self.clock, self.reached = carry, batch_id, rows, clock, reached
         self.options, self.final = options, final
+        self.registered = [registered.FAMILIES[f] for f in options.families if f not in FAMILIES]
+        self.needs = {c for f in self.registered for c in f.needs}
         self.before = carry.read("entities", batch_id - 1, _ENTITY)
         self.cpu_before = carry.read("cpu", batch_id - 1, WIDE_EVENTS)
         self._known()
@@ -133,6 +151,14 @@ class Slice:
     def of(self, *classes: str) -> DataFrame:
         return self.rows.filter(F.col("cls").isin(*classes))
 
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``_mark``, the watermark their host has reached."""
+        return _marked(rows, self.clock)
+
+    def marked_before(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``_mark``, the watermark before this slice."""
+        return _marked(rows, self.reached)
+
     def _with_carried(self, cls: str) -> DataFrame:
         return self.before.filter(F.col("cls") == cls).unionByName(self.of(cls), allowMissingColumns=True)
 
@@ -156,7 +182,11 @@ class Slice:
             self.threads = self.carry.write(plan, "work_threads", self.batch_id)
             enriched = entities.enrich_programs(instances, self.of("image_load"), o.chunk_ns)
             self.service_rows = self._with_carried("service_config")
-            enriched = entities.resolve_services(enriched, self.threads, service_dim(self.service_rows))
+            services = service_dim(self.service_rows)
+            enriched = entities.resolve_services(enriched, self.threads, services)
+            # A snapshot of running services names whoever owned the pid when it was taken, also if the service is made known later.
+            self.running = _last_of(self._with_carried("running_service").filter("pid <> 0"), ["host", "pid"], [f.name for f in WIDE_EVENTS.fields])
+            enriched = entities.enrich_running(enriched, self.running, services, at_ns="ts_ns")
             self.processes = self.carry.write(enriched, "work_processes", self.batch_id)
         if self.has_images:
             plan = entities.image_references(self._with_carried("image_load"), self.of("image_unload"), o.chunk_ns)
@@ -165,14 +195,25 @@ class Slice:
 
     @property
     def has_entities(self) -> bool:
-        return bool(_ATTRIBUTED & set(self.options.families))
+        return bool(_ATTRIBUTED & set(self.options.families)) or "process_start" in self.needs
 
     @property
     def has_images(self) -> bool:
-        return self.options.per_driver and "interrupts" in self.options.families
+        return (self.options.per_driver and "interrupts" in self.options.families) or "image_load" in self.needs
+
+    @property
+    def has_disks(self) -> bool:
+        return bool({"disk_physical", "disk_logical"} & self.needs)
+
+    @cached_property
+    def disk_rows(self) -> DataFrame:
+        """The last configuration row of each disk and class, so far."""
+        rows = self._with_carried("disk_physical").unionByName(self._with_carried("disk_logical"))
+        return _last_of(rows, ["host", "cls", "disk"], [f.name for f in WIDE_EVENTS.fields], order=("seq",))
 
     def write_carry(self) -> None:
         parts = (self._entity_carry() if self.has_entities else []) + (self._image_carry() if self.has_images else [])
+        parts += [self.disk_rows] if self.has_disks else []
         if parts:
             self.carry.write(_union(_ENTITY, *parts), "entities", self.batch_id)
         parts = self._cpu_carry()
@@ -196,7 +237,7 @@ class Slice:
         )
         named = self.service_rows.filter((F.col("tag") > 0) & (F.col("service_name") != ""))
         tags = named.groupBy("host", "tag").agg(F.max("seq").alias("seq"), F.max_by("service_name", "seq").alias("service_name"))
-        return [starts, tids, tags.withColumn("cls", F.lit("service_config"))]
+        return [starts, tids, tags.withColumn("cls", F.lit("service_config")), self.running]
 
     def _image_carry(self) -> list[DataFrame]:
         refs = self.references.groupBy("host", "base").agg(F.max_by("refs", F.struct("ts_ns", "seq")).alias("weight"))
@@ -265,11 +306,15 @@ def _back(time_ns: Column, by_ns: int) -> Column:
     return F.greatest(time_ns, F.lit(by_ns - OPEN_END)) - F.lit(by_ns)
 
 
-def _last_on_cpu(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    last = rows.groupBy("host", "cpu").agg(F.max_by(F.struct(*columns), F.struct("ts_ns", "seq")).alias("last"))
+def _last_of(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str] = ("ts_ns", "seq")) -> DataFrame:
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("last"))
     return last.select("last.*")
 
 
+def _last_on_cpu(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return _last_of(rows, ["host", "cpu"], columns)
+
+
 def _union(schema: StructType, *parts: DataFrame) -> DataFrame:
     shaped = [
         p.select(*[
@@ -385,7 +430,7 @@ _BUILD: dict[str, Callable[[Slice, dict], list[DataFrame]]] = {
 
 def _write_results(s: Slice, sink: Carry, batch_id: int) -> None:
     how = {"chunk_ns": s.options.chunk_ns}
-    deltas = [d for f in s.options.families for d in _BUILD[f](s, how)]
+    deltas = [d for f in s.options.families if f in _BUILD for d in _BUILD[f](s, how)]
     if deltas:
         sink.write(reduce(lambda a, b: a.unionByName(b), deltas), "deltas", batch_id)
     parts = []
@@ -399,14 +444,19 @@ def _write_results(s: Slice, sink: Carry, batch_id: int) -> None:
             pairs = pairs.filter(F.col("latency_ns") <= s.options.max_isr_age_ms * 1_000_000)
         h = histogram(pairs, latency, ["host"], LATENCY_BOUNDS_US)
         parts.append(_labelled(h, "perfinfo_isr_to_dpc_latency_microseconds"))
-    if s.has_images:
+    if s.options.per_driver and "interrupts" in s.options.families:
         durations = s.finalised.withColumn("duration_us", micros(F.col("duration_ns")))
-        h = interrupts.dpc_duration_by_image(durations, s.images, prune_unloaded=False, chunk_ns=s.options.chunk_ns)
-        parts.append(_labelled(h, "perfinfo_dpc_execution_time_microseconds"))
+        h = interrupts.dpc_duration_by_image(durations, s.images, prune_unloaded=s.options.prune_unloaded, chunk_ns=s.options.chunk_ns)
+        parts.append(_labelled(h, exposing.DURATIONS))
+        if s.options.prune_unloaded:
+            # Of what the earlier batches counted for these drivers nothing remains.
+            sink.write(s.images.filter(F.col("unload_ns").isNotNull()).select("host", "image_name").distinct(), "restarts", batch_id)
     if parts:
         sink.write(reduce(lambda a, b: a.unionByName(b), parts), "histograms", batch_id)
     if s.has_entities:
         sink.write(s.processes.select("host", "start_key", *entities.PROGRAM), "instances", batch_id)
+    if s.registered:
+        exposing.write_registered(s, sink)
 
 
 def _labelled(h: DataFrame, metric: str) -> DataFrame:

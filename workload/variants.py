@@ -4,27 +4,34 @@ They register themselves beside those of ``workload.queries``; most share its SQ
 """
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake import functions as fn
-from tracelake.operators import attribute, images, scrapes
+from tracelake.operators import attribute, entities, images, pairing, scrapes
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, cumulative
 from tracelake.operators.materialise import ensure_checkpoint_dir
 from tracelake.plans import memory, network, threads
 from tracelake.plans.families import Context, samples
+from tracelake.plans.rollup import rollup_programs
 from tracelake.sources.events import classify, read_events, wide_events, write_events
 from tracelake.sources.schema import WIDE_EVENTS
-from tracelake.streaming import native
-from tracelake.streaming.runner import StreamOptions, drain, run_stream
-from tracelake.streaming.totals import compact, stream_counters, stream_histograms
+from tracelake.streaming import native, stateful
+from tracelake.streaming.exposing import DURATIONS
+from tracelake.streaming.runner import Slice, StreamOptions, drain, run_stream
+from tracelake.streaming.scraping import ScrapeOptions
+from tracelake.streaming.totals import (
+    compact, stream_cleaned, stream_counters, stream_histograms, stream_instances, stream_samples, stream_snapshots,
+)
 from workload import oracle as o
 from workload.queries import ALL_SAMPLES, LIFECYCLE, ORACLE, THRESHOLDS, flat, histogram_sql, query, sample_sql
-from workload.views import CHUNK_NS, DAY_NS, GRACE_NS, HOST, IMAGE_SPACING, SlicedTrace, Trace
+from workload.views import CHUNK_NS, DAY_NS, GRACE_NS, HOST, IMAGE_SPACING, Trace, in_slices, typed_rows
 
-SLICES = 4
+# Slices of time a stream is fed in; each is a restart, and a last batch drains what waits.
+SLICES = 2
 
 
 def _folder(t: Trace, name: str) -> str:
@@ -143,15 +150,24 @@ def cleaned_at_idle(t: Trace) -> DataFrame:
 # Streams in slices ----------------------------------------------------------------------------
 
 
-def _sliced(t: Trace, classes: list[str], families: list[str], compacted: bool = False) -> str:
-    """Run the families over slices of time, a micro-batch each; returns where the results are."""
+def _options(families: list[str], **more) -> StreamOptions:
+    return StreamOptions(families=families, delay_ns=DAY_NS // 24, grace_ns=GRACE_NS, chunk_ns=CHUNK_NS, **more)
+
+
+def _run(t: Trace, rows: DataFrame, options: StreamOptions) -> str:
+    """Run the families over slices of time, a restart of the stream each; returns where the results are."""
     root = _folder(t, "slices")
-    options = StreamOptions(families=families, delay_ns=DAY_NS // 24, grace_ns=GRACE_NS, chunk_ns=CHUNK_NS)
-    run_stream(SlicedTrace(t.spark, t.sf_dir, f"{root}/in", SLICES).wide(classes), root, f"{root}/out", options).awaitTermination()
+    for events in in_slices(rows, f"{root}/in", SLICES):
+        run_stream(events, root, f"{root}/out", options).awaitTermination()
     drain(t.spark, root, f"{root}/out", options)
+    return f"{root}/out"
+
+
+def _sliced(t: Trace, classes: list[str], families: list[str], compacted: bool = False) -> str:
+    out = _run(t, typed_rows(t.context().typed, classes), _options(families))
     if compacted:
-        compact(t.spark, f"{root}/out", f"{root}/compact")
-    return f"{root}/compact" if compacted else f"{root}/out"
+        compact(t.spark, out, f"{out}-compact")
+    return f"{out}-compact" if compacted else out
 
 
 @query(f"SELECT host, CAST(disk AS VARCHAR) AS disk, operation, value FROM ({ORACLE['disk_operations']})")
@@ -180,10 +196,188 @@ def stream_gap_histogram(t: Trace) -> DataFrame:
 def stream_distinct_starts(t: Trace) -> DataFrame:
     """Process starts without the repeats that snapshots bring a second later."""
     root = _folder(t, "starts")
-    starts = SlicedTrace(t.spark, t.sf_dir, f"{root}/in", SLICES).process_starts
-    repeated = starts.withColumn("ts_ns", F.explode(F.array(F.col("ts_ns"), F.col("ts_ns") + 1000)))
-    timed = repeated.withColumn("ts", F.timestamp_seconds(fn.micros(F.col("ts_ns"))))
-    writer = native.distinct_starts(timed, "1 day").select("host", "start_key").writeStream.format("parquet")
-    writer = writer.option("checkpointLocation", f"{root}/ck").option("path", f"{root}/out").outputMode("append")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    for events in in_slices(typed_rows(t.context().typed, ["process_start"]), f"{root}/in", SLICES):
+        repeated = events.withColumn("ts_ns", F.explode(F.array(F.col("ts_ns"), F.col("ts_ns") + 1000)))
+        timed = repeated.withColumn("ts", F.timestamp_seconds(fn.micros(F.col("ts_ns"))))
+        stateful.write_stream(native.distinct_starts(timed, "1 day").select("host", "start_key"), f"{root}/ck", f"{root}/out").awaitTermination()
     return t.spark.read.schema("host string, start_key bigint").parquet(f"{root}/out")
+
+
+def _scrape_rows(t: Trace) -> DataFrame:
+    return typed_rows({"scrape": t.scrapes}, ["scrape"])
+
+
+_INSTANCES = ["process_start", "process_end"]
+_EVERY_FAMILY = ["disk_io", "system", "threads", "interrupts", "network", "memory", "registry", "process"]
+# Results of the run that several queries read, by application and input.
+_whole_runs: dict[tuple[str, str], str] = {}
+
+
+def _whole_run(t: Trace) -> str:
+    """One run of every family, with scrapes, a snapshot counter and exposition text."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _whole_runs:
+        typed = t.context().typed
+        rows = typed_rows(typed, list(typed)).unionByName(_scrape_rows(t))
+        followed = ScrapeOptions(min_grace_s=0.2, snapshots={"disk_operations": (["disk"], _disk_counts)})
+        _whole_runs[key] = _run(t, rows, _options(_EVERY_FAMILY, scrapes=followed, exposition=True))
+    return _whole_runs[key]
+
+
+@query(ORACLE["cleaned_at"])
+def stream_cleaned_at(t: Trace) -> DataFrame:
+    """Expiry by generations, with the scrapes and the ended instances carried from slice to slice."""
+    return stream_cleaned(t.spark, _whole_run(t)).select("host", "start_key", "generation", "cleaned_scrape")
+
+
+@query(ORACLE["cleaned_at_idle"])
+def stream_cleaned_at_idle(t: Trace) -> DataFrame:
+    """The same where the failsafe cleans up between scrapes that are far apart."""
+    rows = typed_rows(t.context().typed, _INSTANCES).unionByName(_scrape_rows(t))
+    out = _run(t, rows, _options(["process"], scrapes=ScrapeOptions(min_grace_s=0.2, idle_limit_ns=IDLE_NS)))
+    return stream_cleaned(t.spark, out).select("host", "start_key", "generation", "cleaned_scrape")
+
+
+def _disk_counts(s: Slice) -> DataFrame:
+    moved = s.of("disk_read", "disk_write").select("host", "seq", "ts_ns", "disk", "issuing_tid", "header_pid")
+    owned = attribute.known_only(attribute.attribute_disk(moved, s.threads, s.processes, chunk_ns=CHUNK_NS))
+    return owned.select("host", "start_key", "ts_ns", "disk", F.lit(1).alias("value"))
+
+
+@query(ORACLE["counter_snapshots_expiring"])
+def stream_counter_snapshots_expiring(t: Trace) -> DataFrame:
+    """Counters that fall when an instance expires, each instance's counts taken back once."""
+    levels = stream_snapshots(t.spark, _whole_run(t), "disk_operations", ["disk"], every_scrape=True)
+    return levels.withColumn("disk", F.col("disk").cast("bigint"))
+
+
+@query(ORACLE["dpc_duration_by_image"])
+def stream_dpc_duration_by_image(t: Trace) -> DataFrame:
+    """Call durations by driver; a driver's series starts again when it is unloaded."""
+    loaded = t.part_images.select("host", "seq", F.col("valid_from").alias("ts_ns"), "base", "size", F.col("image_name").alias("file_name"))
+    unloaded = t.part_images.filter("unload_ns IS NOT NULL").select("host", "seq", F.col("unload_ns").alias("ts_ns"), "base")
+    typed = {**t.context().typed, "image_load": loaded, "image_unload": unloaded}
+    rows = typed_rows(typed, ["isr", "dpc", "cswitch", "image_load", "image_unload"])
+    out = _run(t, rows, _options(["interrupts"], per_driver=True, prune_unloaded=True))
+    return cumulative(stream_histograms(t.spark, out, DURATIONS, ["host", "image_name"], DURATION_BOUNDS_US), DURATION_BOUNDS_US)
+
+
+@query(ORACLE["enrich_running"])
+def stream_enrich_running(t: Trace) -> DataFrame:
+    """Instances that earlier slices carry, named by a snapshot of running services that comes last."""
+    end = t.k.agg(F.max("ts_ns")).first()[0] + DAY_NS
+    typed = {**t.context().typed, "service_config": t.service_config, "running_service": t.running_snapshot.withColumn("ts_ns", F.lit(end))}
+    out = _run(t, typed_rows(typed, [*_INSTANCES, "service_config", "running_service"]), _options(["process"]))
+    return stream_instances(t.spark, out).select("host", "start_key", "service_name")
+
+
+@query(ALL_SAMPLES)
+def stream_family_samples(t: Trace) -> DataFrame:
+    """Every family over slices of a stream, the registered ones among them, read as samples."""
+    return flat(stream_samples(t.spark, _whole_run(t), _EVERY_FAMILY))
+
+
+@query(sample_sql("events_received", "handler_events_received_total", ["provider"], "value"))
+def stream_health_samples(t: Trace) -> DataFrame:
+    """The health family, which only its registration describes, on a stream."""
+    rows = wide_events(classify(t.routed))
+    return flat(stream_samples(t.spark, _run(t, rows, _options(["health"])), ["health"]))
+
+
+def _lines(sql: str, metric: str, labels: list[str], value: str, where: str = "true") -> str:
+    # Labels in the order of their names, after the host.
+    shown = "".join(f"""||',{c}="'||{c}||'"'""" for c in sorted(labels))
+    return f"""SELECT '{metric}{{host="'||host||'"'{shown}||'}} '||CAST({value} AS BIGINT) AS line FROM ({sql}) WHERE {where}"""
+
+
+_PROGRAM = ["process_name", "service_name", "pe_checksum", "session_id"]
+_EXPOSED = [
+    ("disk_operations", "disk_io_operations_total", ["disk", "operation"], "value", "true"),
+    ("disk_bytes", "disk_read_bytes_total", ["disk"], "read_bytes", "true"),
+    ("disk_bytes", "disk_written_bytes_total", ["disk"], "written_bytes", "true"),
+    ("disk_by_program", "disk_process_io_operations_total", [*_PROGRAM, "disk", "operation"], "operations", "true"),
+    ("disk_by_program", "disk_process_read_bytes_total", [*_PROGRAM, "disk"], "bytes", "operation = 'read' AND bytes > 0"),
+    ("disk_by_program", "disk_process_written_bytes_total", [*_PROGRAM, "disk"], "bytes", "operation = 'write' AND bytes > 0"),
+]
+
+
+@query("\nUNION ALL ".join(
+    [_lines(ORACLE[q], metric, labels, value, where) for q, metric, labels, value, where in _EXPOSED]
+    + [f"SELECT '# TYPE {metric} counter' AS line" for _, metric, *_ in _EXPOSED]
+))
+def stream_exposition_text(t: Trace) -> DataFrame:
+    """The disk series of the exposition text that the last batch of a stream has left: one file, all series."""
+    texts = t.spark.read.text(f"{_whole_run(t)}/exposition")
+    last = texts.filter(F.col("batch") == texts.agg(F.max("batch")).first()[0])
+    return last.select(F.col("value").alias("line")).filter(F.col("line").rlike("^(# TYPE )?disk_"))
+
+
+# Streams with state in the state store ----------------------------------------------------------
+
+_DELAY_NS = DAY_NS // 2
+
+
+def _in_store(t: Trace, classes: list[str], name: str, run: Callable[[DataFrame, str], None]) -> str:
+    """Feed shuffled slices and at last an end marker to ``run(events, root)``, which awaits its queries."""
+    stateful.use_state_store(t.spark)
+    root = _folder(t, name)
+    rows = typed_rows(t.context().typed, classes)
+    for events in in_slices(rows, f"{root}/in", SLICES, jitter_ns=_DELAY_NS // 2):
+        run(events, root)
+    end = t.k.agg(F.max("ts_ns")).first()[0] + 2 * pairing.MAX_PAIR_NS
+    stateful.end_marker(t.spark, end).withColumn("ts", F.timestamp_micros(fn.units.whole(F.col("ts_ns"), 1000))).write.parquet(f"{root}/in/s-end")
+    run(events, root)
+    return root
+
+
+_DELAY = f"{_DELAY_NS // 1_000_000} milliseconds"
+
+
+@query(ORACLE["isr_dpc_pairs"])
+def stream_state_isr_dpc_pairs(t: Trace) -> DataFrame:
+    """Interrupt pairing with a stack per CPU in the state store, over micro-batches whose rows come late."""
+
+    def run(events: DataFrame, root: str) -> None:
+        pairs = stateful.interrupt_pairs(events, _DELAY, call_limit_ns=1_000_000)
+        stateful.write_stream(pairs, f"{root}/ck", f"{root}/pairs").awaitTermination()
+
+    root = _in_store(t, ["isr", "dpc", "cswitch"], "pairs", run)
+    return t.spark.read.schema(stateful.PAIRS).parquet(f"{root}/pairs").withColumn("cpu", F.col("cpu").cast("int"))
+
+
+def _per_program(owned: DataFrame, dims: list[str], value: Column) -> DataFrame:
+    """Facts of the state store summed per program."""
+    starts = owned.filter("cls = 'process_start'").withColumn("session_id", entities.normalise_session(F.col("session_id"), F.col("pid")))
+    instances = starts.select("host", "start_key", "process_name", F.lit("").alias("service_name"), "pe_checksum", "session_id")
+    facts = owned.filter("cls <> 'process_start'")
+    return rollup_programs(facts, instances, dims, {"value": value})
+
+
+@query(f"""SELECT host, {o.PROGRAM_COLUMNS}, protocol, CAST(sent_bytes AS BIGINT) AS value
+    FROM ({ORACLE['network_bytes_by_program']}) WHERE sent_bytes > 0""")
+def stream_state_network_bytes(t: Trace) -> DataFrame:
+    """Bytes sent by program, with the owner of every pid in the state store."""
+
+    def run(events: DataFrame, root: str) -> None:
+        owned = stateful.process_owners(events, _DELAY, ["tcp_send", "udp_send"], GRACE_NS)
+        stateful.write_stream(owned, f"{root}/ck", f"{root}/owned").awaitTermination()
+
+    root = _in_store(t, [*_INSTANCES, "tcp_send", "udp_send"], "owners", run)
+    owned = t.spark.read.schema(stateful.OWNED).parquet(f"{root}/owned").filter("start_key IS NOT NULL")
+    sent = _per_program(owned.withColumn("protocol", F.substring("cls", 1, 3)), ["protocol"], F.sum("size"))
+    return sent.filter("value > 0")
+
+
+@query(ORACLE["hard_faults_by_program"])
+def stream_state_hard_faults(t: Trace) -> DataFrame:
+    """Faults by program of their thread: threads find their process by one state store, faults their thread by another."""
+
+    def run(events: DataFrame, root: str) -> None:
+        owned = stateful.process_owners(events, _DELAY, [], GRACE_NS)
+        stateful.write_stream(owned, f"{root}/ck-pid", f"{root}/owned").awaitTermination()
+        faults = stateful.thread_owners(stateful.read_stream(t.spark, f"{root}/owned"), events, _DELAY, ["hard_fault"], GRACE_NS)
+        stateful.write_stream(faults, f"{root}/ck-tid", f"{root}/faults").awaitTermination()
+
+    root = _in_store(t, [*LIFECYCLE, "hard_fault"], "owners", run)
+    starts, facts = (t.spark.read.schema(stateful.OWNED).parquet(f"{root}/{n}") for n in ("owned", "faults"))
+    return _per_program(starts.filter("cls = 'process_start'").unionByName(attribute.or_unknown(facts)), [], F.count(F.lit(1)))

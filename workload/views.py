@@ -4,6 +4,7 @@ The tables hold no kernel events, so each event type stands for some classes. On
 stands for one microsecond; ``ts_ns`` is that in nanoseconds.
 """
 
+from collections.abc import Iterator
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -280,18 +281,23 @@ class StreamTrace(Trace):
         return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-class SlicedTrace(StreamTrace):
-    """The events as a stream of slices of equal time, one per micro-batch, in time order."""
+def in_slices(rows: DataFrame, folder: str, slices: int, jitter_ns: int = 0) -> Iterator[DataFrame]:
+    """``WIDE_EVENTS`` rows written slice by slice in time order; yields after each the stream of all that is there.
 
-    def __init__(self, spark: SparkSession, sf_dir: str, folder: str, slices: int):
-        self.folder, self.slices = folder, slices
-        super().__init__(spark, sf_dir)
+    A slice is a folder that is written in parallel. The caller runs its query over the stream to the end of what is there before it asks for the next slice, so
+    every slice is a restart from the checkpoint. Rows may come in a slice too late by up to ``jitter_ns``.
+    """
+    spark = rows.sparkSession
+    timed = materialise(rows.withColumn("ts", F.timestamp_micros(whole(F.col("ts_ns"), 1000))))
+    first, last = timed.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    late = F.pmod(F.xxhash64("seq", "cls"), F.lit(jitter_ns + 1))
+    place = F.least(whole((F.col("ts_ns") + late - F.lit(first)) * slices, last - first + 1), F.lit(slices - 1))
+    for i in range(slices):
+        timed.filter(place == i).write.parquet(f"{folder}/s{i}")
+        yield spark.readStream.schema(schema.WIDE_EVENTS).parquet(f"{folder}/s*")
 
-    def read_events(self) -> DataFrame:
-        events = table(self.spark, self.sf_dir, "events")
-        at = F.unix_micros(F.col("ts").cast("timestamp"))
-        first, last = events.agg(F.min(at), F.max(at)).first()
-        place = whole((at - F.lit(first)) * self.slices, last - first + 1)
-        for i in range(self.slices):  # one after the other: files are read in order of their times
-            events.filter(place == i).coalesce(1).write.parquet(f"{self.folder}/s{i}")
-        return self.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{self.folder}/s*")
+
+def typed_rows(typed: dict[str, DataFrame], classes: list[str]) -> DataFrame:
+    """Rows of some classes in the columns of ``WIDE_EVENTS``; those without a time stand at the beginning."""
+    parts = [wide_events(typed[c].withColumn("cls", F.lit(c))) for c in classes]
+    return reduce(DataFrame.unionByName, parts).withColumn("ts_ns", F.coalesce("ts_ns", F.lit(0).cast("bigint")))
