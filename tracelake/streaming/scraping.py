@@ -103,7 +103,8 @@ class Scraping:
         added = self.carry.write(every.groupBy(*own, "scrape_id").agg(F.sum("value").alias("value")), "work_increments", self.batch_id)
         before = self.carry.read("sums", self.batch_id - 1, _SUMS)
         sums = before.unionByName(added.select(*own, "value")).groupBy(*own).agg(F.sum("value").alias("value"))
-        expired = self.slice.marked(self.slice.processes).filter(F.col("expires_ns") <= F.col("_mark")).select("host", "start_key", F.col("expires_ns").alias("ts_ns"))
+        expired = self.slice.marked(self.slice.processes).filter((F.col("expires_ns") <= F.col("_mark")) & (F.col("expires_ns") < OPEN_END))
+        expired = expired.select("host", "start_key", F.col("expires_ns").alias("ts_ns"))
         gone = self.carry.write(sums.join(expired, ["host", "start_key"]), "work_gone", self.batch_id)
         taken = self.place(gone.select("host", "start_key", "ts_ns", "metric", "dims", (-F.col("value")).alias("value")))
         steps = added.select("host", "metric", "dims", "scrape_id", "value").unionByName(taken.select("host", "metric", "dims", "scrape_id", "value"))
