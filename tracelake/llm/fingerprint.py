@@ -11,11 +11,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import bounded_batches, shuffle_partitions, text_or_empty
+from tracelake.llm.common import bounded_batches, row_keys, shuffle_partitions, store, text_or_empty
+from tracelake.llm.components import components
 
 # Common words of English, French, German and Spanish that start a chain, and those that only are no content words.
 ANCHORS = frozenset("the a an is was that it le la une est qui der die das ist ein el los una es que".split())
@@ -23,6 +24,8 @@ COMMON = ANCHORS | frozenset(
     """of and to in for on with by as at be are this from or les de des du un et en dans par pour sur avec pas au und zu den dem von mit auf für nicht sich auch
     im eine y en del por con para no su al lo se""".split()
 )
+#: Sets one group of a comparison holds before it is cut into tiles.
+BUCKET = 1024
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -60,7 +63,7 @@ def likeness(a: frozenset[int], b: frozenset[int], floor: float = 0.0) -> float:
     if not a and not b:
         return 1.0
     small, large = (a, b) if len(a) <= len(b) else (b, a)
-    if len(small) < floor * len(large) or not small:
+    if len(small) < floor * len(large) - 1e-9 or not small:
         return 0.0
     common = len(small & large)
     return common / (len(a) + len(b) - common)
@@ -89,7 +92,8 @@ def with_next(docs: DataFrame, work: Callable[[Iterator[tuple[object, str, str]]
     """``work`` over (doc_id, text, next text) in ascending doc_id, a range of ids at a time; after the last id comes the first.
 
     Ties are ordered by a hash of the text, null ids come first. Ids are cut into ranges at quantiles (driver: one number per
-    range); each range also gets the first rows of the next non-empty one, so texts are shuffled once and no range is read whole.
+    range); each range also gets the first rows of the next non-empty one, so texts are shuffled once and no range is read whole. Rows that share one id, or
+    have none, are neighbours and so lie in one range: ids are meant to tell documents apart.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -99,13 +103,15 @@ def with_next(docs: DataFrame, work: Callable[[Iterator[tuple[object, str, str]]
     cuts = docs.stat.approxQuantile("doc_id", [i / steps for i in range(1, steps)], 0.25 / steps)
     bounds = np.array(sorted({int(c) for c in cuts}), "i8")
     bucketed = keyed.withColumn("bucket", _bucket(bounds)("order"))
-    first = dict(bucketed.groupBy("bucket").agg(F.min("order").alias("order")).collect())
-    order = sorted(first)
-    entries = [x for b in order for x in (F.lit(b), F.struct(F.lit(first[b]).alias("order"), F.lit(order[order.index(b) - 1]).alias("to")))]
-    start = F.create_map(*entries)[F.col("bucket")] if entries else F.lit(None).cast("struct<order: long, to: int>")
+    # The first row of each range goes to the range before it too, the first of all to the last: one row per range, 4 x partitions at most.
+    starts = bucketed.groupBy("bucket").agg(F.min("order").alias("first"))
+    by_bucket = Window.orderBy("bucket")
+    before = F.coalesce(F.lag("bucket").over(by_bucket), F.max("bucket").over(Window.partitionBy()))
+    starts = F.broadcast(starts.select(F.col("bucket").alias("of"), "first", before.alias("to")))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ahead"))
-    ahead = F.struct(start["to"].alias("bucket"), F.lit(True).alias("ahead"))
-    sent = bucketed.select("doc_id", "order", "text", F.explode(F.when(start["order"] == F.col("order"), F.array(own, ahead)).otherwise(F.array(own))).alias("at"))
+    ahead = F.struct(F.col("to").alias("bucket"), F.lit(True).alias("ahead"))
+    marked = bucketed.join(starts, F.col("bucket") == F.col("of"))
+    sent = marked.select("doc_id", "order", "text", F.explode(F.when(F.col("first") == F.col("order"), F.array(own, ahead)).otherwise(F.array(own))).alias("at"))
     dealt = sent.select("at.bucket", "at.ahead", "doc_id", "order", F.xxhash64("text").alias("tie"), "text").repartition(parts, "bucket")
     dealt = dealt.sortWithinPartitions("bucket", "ahead", "order", "tie").select("bucket", "ahead", "doc_id", "text")
     names, types = schema.names, [pa.int64(), *[{"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string()) for f in schema.fields[1:]]]
@@ -176,3 +182,95 @@ def fingerprints(docs: DataFrame, chain: int = 2) -> DataFrame:
         return texts.map(lambda t: encode(spots(t, chain)))
 
     return docs.select("doc_id", of(text_or_empty("text")).alias("fingerprint"))
+
+
+def _alike(sets: list[frozenset[int]], ids: list[int], floor: float) -> list[tuple[int, int]]:
+    """Edges that connect exactly the pairs of at least ``floor``: sets by length, each with those that are long enough and not connected to it yet."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    label = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    edges = []
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if len(sets[i]) < floor * len(sets[j]) - 1e-9:
+                break
+            if top(i) != top(j) and likeness(sets[i], sets[j], floor) >= floor:
+                label[top(i)] = top(j)
+                edges.append((ids[i], ids[j]))
+    return edges
+
+
+def _tiles(floor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges of each tile; rows arrive sorted by tile, and a tile may run over batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            edges = _alike(sets, ids, floor)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            for tile, ident, found in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if tile != at:
+                    if len(ids) > 1:
+                        yield flush()
+                    at, ids, sets = tile, [], []
+                ids.append(ident)
+                sets.append(frozenset(found))
+        if len(ids) > 1:
+            yield flush()
+
+    return run
+
+
+def links(sets: DataFrame, floor: float) -> DataFrame:
+    """(u, v): edges that connect exactly the pairs of sets with a Jaccard similarity of at least ``floor``, 0 < floor <= 1.
+
+    ``sets`` are stored and distinct: id long, spots array<long>. Sets lie in partitions by length (``length_partition``), and alike ones in the same or the
+    next. Spots are ordered from the rarest; two alike sets share one among the first n - ceil(floor * n) + 1 of each, so sets meet by these
+    and by partition. What many sets share there is cut into tiles of about two times ``BUCKET`` sets, so no group is held whole.
+    """
+    exploded = sets.select("id", F.explode("spots").alias("spot"))
+    counts = exploded.groupBy("spot").agg(F.count(F.lit(1)).alias("n"))
+    ordered = exploded.join(counts, "spot").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "spot")))["spot"].alias("spots"))
+    size = F.size("spots")
+    prefix = F.slice("spots", 1, (size - F.ceil(size * F.lit(floor) - F.lit(1e-9)) + 1).cast("int"))
+    part = F.floor(F.log(size.cast("double")) / F.lit(-float(np.log(floor))) + 1e-9) if floor < 1 else size
+    placed = ordered.select("id", "spots", part.cast("long").alias("part"), F.explode(prefix).alias("spot"))
+    met = store(placed.select("id", "spots", "spot", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part")))
+    groups = met.groupBy("spot", "part").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    cut = F.ceil(F.col("sets") / F.lit(float(BUCKET))).cast("int")
+    joined = met.join(groups, ["spot", "part"]).select("id", "spots", "spot", "part", cut.alias("blocks"), F.pmod(F.xxhash64("id"), cut).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = joined.select("id", "spots", "spot", "part", "block", other)
+    tiles = tiles.select(F.xxhash64("spot", "part", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "id", "spots")
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(floor), "u long, v long")
+
+
+def near_documents(docs: DataFrame, floor: float = 0.8, chain: int = 2) -> DataFrame:
+    """(doc_id, class_id): class_id is the smallest doc_id reachable over pairs of documents whose fingerprints are at least ``floor`` alike.
+
+    Equal fingerprints, empty ones among them, are one class, and collapse before any comparison. Rows with a null doc_id take part but name a class only if all its
+    ids are null: then it is null. No rows: no rows. Other columns are not read.
+    """
+    bounded_batches(docs.sparkSession)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(spots(t, chain)))
+
+    marked = docs.select("doc_id", of(text_or_empty("text")).alias("spots"))
+    marked = store(marked.select("doc_id", *row_keys(F.col("spots")), "spots"))
+    whole = marked.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("spots").alias("spots"))
+    sets = store(store(whole).withColumn("id", F.monotonically_increasing_id()))
+    label = components(links(sets.select("id", "spots"), floor)).withColumnRenamed("node", "id")
+    named = store(sets.select("k1", "k2", "id", "least").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")))
+    classes = named.join(named.groupBy("label").agg(F.min("least").alias("class_id")), "label").select("k1", "k2", "class_id")
+    return marked.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "class_id")
