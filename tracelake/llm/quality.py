@@ -80,6 +80,12 @@ def measure(docs: DataFrame) -> DataFrame:
     return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *[F.col(c) if c != "n_repeat_words" else repeats.alias(c) for c in MEASURES])
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``text_key``: equal texts, and only they, share it (128 bits)."""
+    text = text_or_empty("text")
+    return docs.withColumn("text_key", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("k2"), text).alias("b")))
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
@@ -99,51 +105,21 @@ def log_binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(steps, start, add)["sum"]
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(of, cut_<rule>...): the strictest cutoff of each rule that is safe in each stratum; null where none is. Store ``measured`` first: a filter on it would pull its expressions apart.
-
-    The holdout is every document all of whose labels say quality 1 and that the base rules keep. A cutoff is safe if the exact (Clopper-Pearson) upper
-    bound of its false rejection rate, at its share of ``level``, is at most its share of ``risk``; that holds if P(Binomial(n, risk) <= k) does not
-    exceed the level. Risk is split over the rules, so that all together reject at most ``risk`` of a stratum's good documents. The level is
-    split over strata and rules (Bonferroni); along one rule's cutoffs tests run from lenient to strict and stop at the first
-    failure (fixed sequence), which needs no further split. All of it holds with probability 1 - ``level``.
-
-    Labels of unknown documents, null labels and null ids are left out; a null stratum is a stratum. No labels: no rule rejects.
-    Counts are combined before the shuffle, and what comes out is a row per stratum.
-    """
-    good = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    held = measured.filter(~base_failed()).join(good.select("doc_id"), "doc_id", "left_semi").select(F.col(f"`{stratum}`").alias("of"), *MEASURES)
-    held = store(held)  # else every count below would measure the texts anew
-    tests = [(r, c) for r in rules for c in r.cutoffs]
-    counts = held.groupBy("of").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(r.value) > c).alias(f"k{i}") for i, (r, c) in enumerate(tests)])
-    counts = store(counts)
-    strata = max(counts.count(), 1)
-    log_level = F.log(F.lit(level / (strata * len(rules))))
-    share = risk / len(rules)
-
-    def safe(k: Column) -> Column:  # at k >= n * share the tail is about a half or more
-        return F.when(k < F.col("n") * share, log_binomial_tail(F.col("n"), k, share) <= log_level).otherwise(F.lit(False))
-
-    places = [i for r in rules for i in range(len(r.cutoffs))]
-    rows = [F.struct(F.lit(r.name).alias("rule"), F.lit(p).alias("place"), F.col(f"k{i}").alias("k")) for i, ((r, _), p) in enumerate(zip(tests, places, strict=True))]
-    judged = counts.select("of", "n", F.inline(F.array(*rows))).select("of", "rule", "place", safe(F.col("k")).alias("safe"))
-    failed = judged.groupBy("of").agg(*[F.min(F.when((F.col("rule") == r.name) & ~F.col("safe"), F.col("place"))).alias(r.name) for r in rules])
-    passed = {r: F.coalesce(F.col(r.name), F.lit(len(r.cutoffs))) for r in rules}
-    cuts = [F.get(F.array(*[F.lit(c) for c in r.cutoffs]), passed[r] - 1).alias(f"cut_{r.name}") for r in rules]
-    return store(failed.select("of", *cuts))
-
-
 def calibrate_joint(measured: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05, stratum: str = "lang", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(of, n, least, lead, cut_<rule>...): joint cutoffs of all rules per stratum, each test at the whole ``risk``; a cutoff is null where none is safe. Store ``measured`` first.
 
-    Holdout, base rules and bound are those of ``calibrate``. What is tested is not a rule alone but a setting of all rules: its false rejections are the
-    held-out documents that any of its cutoffs rejects. There is a family of settings per rule: it tightens that rule through all of its cutoffs first,
+    The holdout is every labelled text that the base rules keep: good if all labels of all its documents say quality 1. Equal texts of a stratum (by ``text_key``, where
+    ``measured`` has it) count once, as the bound takes its documents for independent draws. A setting is safe if the exact (Clopper-Pearson) upper bound of its
+    false rejection rate, at its share of ``level``, is at most ``risk``; that holds if P(Binomial(n, risk) <= k) does not exceed the level.
+
+    What is tested is not a rule alone but a setting of all rules: its false rejections are the held-out texts that any of its cutoffs rejects. There is a family of settings per rule: it tightens that rule through all of its cutoffs first,
     then the others in their order, so each setting rejects what the one before it does. Tests run along a family and stop at the first failure. The level is split
     over strata and families, so every setting that passed is safe with probability 1 - ``level``, and a stratum may take any: it takes the last of
     the family that rejects most of its documents labelled bad (ties: the first rule's). ``n`` is the holdout's size, ``least`` the smallest
     with which a setting without false rejections passes, ``lead`` the place of the family's first rule.
 
-    Strata without a held-out document have no row, so nothing is rejected there. Counts are combined before the shuffle, by stratum, family and step.
+    Labels of unknown documents, null labels and null ids are left out; a null stratum is a stratum.
+    Strata without a good held-out text have no row, so nothing is rejected there. Counts are combined before the shuffle, by stratum, family and step.
     """
     orders = [[i, *[j for j in range(len(rules)) if j != i]] for i in range(len(rules))]
     length = sum(len(r.cutoffs) for r in rules)
@@ -154,7 +130,11 @@ def calibrate_joint(measured: DataFrame, labels: DataFrame, risk: float = 0.02,
     step = lambda at: F.least(F.lit(length), *[F.when(first[j] < len(r.cutoffs), first[j] + at[j]).otherwise(F.lit(length)) for j, r in enumerate(rules)])
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label_"))
     held = measured.filter(~base_failed()).join(known, "doc_id")
-    held = held.select(F.col(f"`{stratum}`").alias("of"), (F.col("label_") == 1).alias("good"), F.posexplode(F.array(*[step(at) for at in offsets])).alias("lead", "step"))
+    if "text_key" in measured.columns:
+        each = held.groupBy(F.col(f"`{stratum}`").alias("of"), "text_key").agg(F.min("label_").alias("label_"), *[F.first(m).alias(m) for m in MEASURES])
+    else:
+        each = held.select(F.col(f"`{stratum}`").alias("of"), "label_", *MEASURES)
+    held = each.select("of", (F.col("label_") == 1).alias("good"), F.posexplode(F.array(*[step(at) for at in offsets])).alias("lead", "step"))
     counts = held.groupBy("of", "lead", "step").agg(F.count_if("good").alias("k"), F.count_if(~F.col("good")).alias("bad"))
     families = store(counts.groupBy("of", "lead").agg(F.sum("k").alias("n"), F.collect_list(F.struct("step", "k", "bad")).alias("steps")).filter("n > 0"))
     strata = max(families.select("of").distinct().count(), 1)
@@ -190,6 +170,6 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang", rules:
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
     """The documents that the base rules and the jointly calibrated cutoffs keep, with their own columns. Rows are judged alike however often they repeat."""
     packed = docs.select(F.struct("*").alias("own_"), "doc_id", "lang", "text")
-    measured = store(measure(packed).select("own_", "doc_id", "lang", *MEASURES))
+    measured = store(keyed(measure(packed)).select("own_", "doc_id", "lang", "text_key", *MEASURES))
     verdict = judge(measured, calibrate_joint(measured, labels, risk, level))
     return verdict.filter("kept").select(*[F.col(f"own_.`{c}`").alias(c) for c in docs.columns])

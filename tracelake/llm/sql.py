@@ -76,23 +76,38 @@ RULES = {
 
 
 def judged(documents: str, labels: str, risk: float = 0.02, level: float = 0.05) -> str:
-    """Rows with measures, base_failed and kept. The binomial tail is summed from closed-form terms."""
-    share = risk / len(RULES)
-    values = ", ".join(f"[{v}, {i}]" for i, v in enumerate(RULES))
-    tests = ", ".join(f"({i}, {j}, {c})" for i, cs in enumerate(RULES.values()) for j, c in enumerate(cs))
+    """Rows with measures, base_failed and kept. Settings are rows of a cutoff per rule; the binomial tail is summed from closed-form terms."""
+    n_rules, cutoffs = len(RULES), list(RULES.values())
+    settings = []  # (family, place, cutoff of each rule), null where the rule rejects nothing yet
+    for family in range(n_rules):
+        now: list[float | None] = [None] * n_rules
+        settings.append((family, -1, *now))  # rejects nothing
+        place = 0
+        for rule in [family, *[r for r in range(n_rules) if r != family]]:
+            for c in cutoffs[rule]:
+                now[rule] = c
+                settings.append((family, place, *now))
+                place += 1
+    listed = ", ".join("(" + ", ".join("NULL::DOUBLE" if x is None else str(x) for x in s) + ")" for s in settings)
+    names = ", ".join(f"c{i}" for i in range(n_rules))
+    values = ", ".join(f"{v} AS v{i}" for i, v in enumerate(RULES))
+    above = " OR ".join(f"coalesce(v{i} > c{i}, false)" for i in range(n_rules))
     return f"""
-    WITH m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM ({measures(documents)})),
-    good AS (SELECT doc_id FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-    value AS (SELECT doc_id, lang, base_failed, x[2]::INT AS rule, x[1] AS v FROM (SELECT *, unnest([{values}]) AS x FROM m)),
-    test(rule, place, cut) AS (VALUES {tests}),
-    counted AS (SELECT lang, rule, place, cut, count(*) AS n, count(*) FILTER (v > cut) AS k
-                FROM value JOIN test USING (rule) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL),
-    tested AS (SELECT *, k < n * {share} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
-                 + j * ln({share}) + (n - j) * ln(1 - {share})))) <= {level} / ((SELECT count(*) FROM (SELECT DISTINCT coalesce(lang, '') , lang IS NULL FROM counted)) * {len(RULES)}) AS safe
-               FROM counted),
-    cut AS (SELECT lang, rule, min(cut) AS cut FROM (SELECT *, bool_and(safe) OVER (PARTITION BY lang, rule ORDER BY place) AS up FROM tested) WHERE up GROUP BY ALL),
-    above AS (SELECT DISTINCT doc_id FROM value v JOIN cut c ON v.rule = c.rule AND v.lang IS NOT DISTINCT FROM c.lang WHERE v.v > c.cut)
-    SELECT m.*, NOT base_failed AND a.doc_id IS NULL AS kept FROM m LEFT JOIN above a ON m.doc_id = a.doc_id"""
+    WITH m AS (SELECT *, {values}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM ({measures(documents)})),
+    known AS (SELECT doc_id, min(quality) AS quality FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+    held AS (SELECT lang, coalesce(text, '') AS body, min(quality) = 1 AS good, {", ".join(f"any_value(v{i}) AS v{i}" for i in range(n_rules))}
+             FROM m JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY lang, body),
+    setting(family, place, {names}) AS (VALUES {listed}),
+    counted AS (SELECT lang, family, place, count(*) FILTER (good) AS n, count(*) FILTER (good AND ({above})) AS k, count(*) FILTER (NOT good AND ({above})) AS bad
+                FROM held, setting GROUP BY ALL HAVING count(*) FILTER (good) > 0),
+    strata AS (SELECT count(*) AS n FROM (SELECT DISTINCT coalesce(lang, ''), lang IS NULL FROM counted)),
+    tested AS (SELECT *, place < 0 OR k < n * {risk} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+                 + j * ln({risk}) + (n - j) * ln(1 - {risk})))) <= {level} / ((SELECT n FROM strata) * {n_rules}) AS safe FROM counted),
+    passed AS (SELECT * FROM (SELECT *, bool_and(safe) OVER (PARTITION BY lang, family ORDER BY place) AS up FROM tested) WHERE up
+               QUALIFY row_number() OVER (PARTITION BY lang, family ORDER BY place DESC) = 1),
+    taken AS (SELECT lang, family, place FROM passed QUALIFY row_number() OVER (PARTITION BY lang ORDER BY bad DESC, family) = 1),
+    cut AS (SELECT t.lang, s.* EXCLUDE (family, place) FROM taken t JOIN setting s ON s.family = t.family AND s.place = t.place)
+    SELECT m.*, NOT base_failed AND NOT ({above}) AS kept FROM m LEFT JOIN cut ON m.lang IS NOT DISTINCT FROM cut.lang"""
 
 
 ORACLE["op6_quality_rules"] = (
