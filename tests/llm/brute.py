@@ -89,3 +89,42 @@ def dedup(docs: list[tuple[int, str]], min_chars: int = 20, min_docs: int = 3) -
         kept = [x for x in lines if gone.get(key(x), doc_id) == doc_id]
         out[doc_id] = len(lines), len(lines) - len(kept), "\n".join(kept)
     return out
+
+
+# Spot signatures, word by word: the common words that start a chain, and those that are no content.
+ANCHORS = "the a an is was that it le la une est qui der die das ist ein el los una es que".split()
+COMMON = ANCHORS + """of and to in for on with by as at be are this from or les de des du un et en dans par pour sur avec pas au und zu den dem von mit auf für nicht sich auch
+    im eine y en del por con para no su al lo se""".split()
+
+
+def spots(text: str, chain: int = 2) -> set:
+    """The chains themselves: (anchor, content words after it); the start of the text is an anchor without a name."""
+    words = re.findall(r"\w+", text.lower())
+    if not any(w not in COMMON for w in words):
+        return {tuple(words)} if words else set()
+    found = set()
+    for i in range(-1, len(words)):
+        if i >= 0 and words[i] not in ANCHORS:
+            continue
+        after = [w for w in words[i + 1 :] if w not in COMMON][:chain]
+        if after:
+            found.add(("" if i < 0 else words[i], *after))
+    return found
+
+
+def alike(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def linked(sets: dict, floor: float) -> dict:
+    """id -> smallest id reachable over pairs at least ``floor`` alike."""
+    ids, label = sorted(sets), {i: i for i in sets}
+    pairs = [(i, j) for n, i in enumerate(ids) for j in ids[n + 1 :] if min(len(sets[i]), len(sets[j])) >= floor * max(len(sets[i]), len(sets[j])) and alike(sets[i], sets[j]) >= floor]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            least = min(label[i], label[j])
+            changed = changed or label[i] != least or label[j] != least
+            label[i] = label[j] = least
+    return label

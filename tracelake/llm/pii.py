@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import row_keys, store, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that no pattern alone makes an identifier: a seed must stand in a confident context too.
+FURTHER = ("secret",)
+NAMES = KINDS + FURTHER
 _LOCAL = "[A-Za-z0-9._%+-]"
 # The seeds' patterns, with starts and repeats made possessive where that changes no match, so that time stays linear.
 SEEDS = {
@@ -21,6 +24,9 @@ LOOSE = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++(?:@[A-Za-z0-9-]++(?![A-Za-z0-9-]|\.[A-Za-z0-9-])|\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z0-9-]++)*+)",
     "phone": r"(?<![0-9+.-])(?<!\+[\x20().0-9-]{1,24})\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
 }
+#: Secrets: runs of 12 or more letters and digits, with both; those that are long and look random are seeds.
+TOKEN = r"(?<![A-Za-z0-9_.@-])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{12,}+(?![A-Za-z0-9_@-])"
+_RANDOM = r"^(?:(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,}|[0-9a-f]{32,}|[0-9A-F]{32,})$"
 #: What a text must hold before a pattern is tried.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]?)"  # leading zeros go first; a part has a digit by the seed's pattern
@@ -39,6 +45,8 @@ def _valid(kind: str, x: Column) -> Column:
         return F.length(_digits(x)).between(16, 19) & F.call_function("luhn_check", _digits(x))
     if kind == "phone":
         return F.length(_digits(x)).between(8, 15)
+    if kind == "secret":
+        return x.rlike(_RANDOM)
     return F.lit(True)
 
 
@@ -101,36 +109,41 @@ def find(docs: DataFrame) -> DataFrame:
     text = text_or_empty("text")
     digit = text.rlike("[0-9]")
     patterns = {k: (p, digit & F.contains(text, F.lit(_NEEDS[k])) if _NEEDS[k] and k != "email" else digit if k != "email" else F.contains(text, F.lit("@"))) for k, p in SEEDS.items()}
-    patterns |= {"loose_email": (LOOSE["email"], F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")), "loose_phone": (LOOSE["phone"], digit)}
+    patterns |= {"loose_email": (LOOSE["email"], F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]")), "loose_phone": (LOOSE["phone"], digit), "secret": (TOKEN, digit)}
     located = locate(docs.select("doc_id", *row_keys(text, F.col("doc_id")), text.alias("text")), patterns)
 
     def typed(name: str, kind: str, seed: bool) -> Column:
-        form = {"email": lambda x: F.lower(x), "ip": lambda x: x}.get(kind, _digits)
+        form = {"email": F.lower, "ip": lambda x: x, "secret": lambda x: x}.get(kind, _digits)
 
         def one(s: Column) -> Column:
             ok = _valid(kind, s["word"]) if seed else F.lit(False)
-            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), form(s["word"]).alias("form"), ok.alias("seed"), s["left"].alias("left"), s["right"].alias("right"))
+            return F.struct(F.lit(NAMES.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), form(s["word"]).alias("form"), ok.alias("seed"), s["left"].alias("left"), s["right"].alias("right"))
 
         kept = F.filter(name, lambda s: _plausible(kind, s["word"])) if kind in ("card", "phone") else F.col(name)
         return F.transform(kept, one)
 
-    every = F.concat(*[typed(k, k, True) for k in KINDS], typed("loose_email", "email", False), typed("loose_phone", "phone", False))
+    every = F.concat(*[typed(k, k, True) for k in NAMES], typed("loose_email", "email", False), typed("loose_phone", "phone", False))
     typed_rows = located.select("doc_id", "k1", "k2", every.alias("found"))
-    base = F.transform(F.filter("found", lambda s: s["seed"]), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    base = F.transform(F.filter("found", lambda s: s["seed"] & (s["kind"] < len(KINDS))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return typed_rows.select("doc_id", "k1", "k2", base.alias("base"), "found")
 
 
-def _contexts(left: Column, right: Column) -> Column:
-    """Lexical patterns of an instance: the two words before it, and the word before with the word after; none without a word before."""
+def _contexts(kind: Column, left: Column, right: Column) -> Column:
+    """Lexical patterns of an instance: the two words before it, and the word before with the word after; none without a word before.
+
+    Marks such as ``= "`` are words here; a secret's patterns also hold the last word with a letter or digit before it.
+    """
     before = F.filter(F.split(F.lower(left), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     after = F.coalesce(F.get(F.filter(F.split(F.lower(right), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(0)), F.lit(""))
     last, second = F.element_at(before, -1), F.coalesce(F.get(before, F.size(before) - 2), F.lit(""))
     pair = F.array(F.concat_ws(" ", F.lit("2:"), second, last), F.concat_ws(" ", F.lit("b:"), last, after))
+    name = F.regexp_extract(F.lower(left), r"([\p{L}\p{N}]+)([^\p{L}\p{N}]{1,16})$", 0)
+    pair = F.when(kind < len(KINDS), pair).otherwise(F.array(F.concat(F.lit("n: "), name)))
     return F.when(F.size(before) > 0, pair).otherwise(F.array().cast("array<string>"))
 
 
 def bootstrap(occurrences: DataFrame, rounds: int | None = None, support: float = 3.0, pattern_floor: float = 0.8, instance_floor: float = 0.9) -> DataFrame:
-    """(kind, form) of the unseen instances that are confident and stand in a confident context at least once.
+    """(kind, form) of the unseen instances that are confident and stand in a confident context at least once; of the further kinds, seeds too.
 
     The graph links contexts and distinct instances of a kind. A context's score is the confidence of its instances over their number, nothing if
     they add up to less than ``support``; an instance that is no seed is as confident as the noisy-or of its contexts. Scores and
@@ -156,11 +169,12 @@ def bootstrap(occurrences: DataFrame, rounds: int | None = None, support: float
         if done == rounds or not now[0] or done > 1 and now[0] <= reached[0] and now[1] <= reached[1]:
             break
         reached = now
-    return store(graph.join(found.select("kind", "form"), ["kind", "form"]).join(trusted, ["kind", "context"]).select("kind", "form").distinct())
+    named = found.select("kind", "form").unionByName(seeds.filter(F.col("kind") >= len(KINDS)).select("kind", "form"))
+    return store(graph.join(named, ["kind", "form"]).join(trusted, ["kind", "context"]).select("kind", "form").distinct())
 
 
 def extract(docs: DataFrame, rounds: int | None = None, support: float = 3.0, pattern_floor: float = 0.8, instance_floor: float = 0.9) -> DataFrame:
-    """(doc_id, base, spans) per row: arrays of (kind, start, end) in order, kind as its place in ``KINDS``; base by the seeds' patterns, spans with the discovered ones.
+    """(doc_id, base, spans) per row: arrays of (kind, start, end) in order, kind as its place in ``NAMES``; base by the seeds' patterns, spans with the discovered ones.
 
     Whole texts are read, once, and never shuffled: what goes on is a row per identifier-like span with its side texts. Null text is empty. Repeated
     rows get equal results. An instance found anywhere is reported wherever it stands, whatever its context. Kinds are matched apart, so spans of two kinds may overlap. Discovered spans never replace a base span; of those of one kind that
@@ -168,9 +182,9 @@ def extract(docs: DataFrame, rounds: int | None = None, support: float = 3.0, pa
     """
     found = store(find(docs))
     place = found.select("k1", "k2", F.explode("found").alias("s")).select("k1", "k2", "s.*")
-    occurrences = place.select("k1", "k2", "kind", "start", "end", "form", "seed", F.explode(_contexts(F.col("left"), F.col("right"))).alias("context"))
+    occurrences = place.select("k1", "k2", "kind", "start", "end", "form", "seed", F.explode(_contexts(F.col("kind"), F.col("left"), F.col("right"))).alias("context"))
     forms = bootstrap(occurrences, rounds, support, pattern_floor, instance_floor)
-    fresh = place.filter("NOT seed").join(forms, ["kind", "form"])
+    fresh = place.filter(~F.col("seed") | (F.col("kind") >= len(KINDS))).join(forms, ["kind", "form"])
     new = fresh.groupBy("k1", "k2").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
     joined = found.select("doc_id", "k1", "k2", "base").join(new, ["k1", "k2"], "left")
     return joined.select("doc_id", "base", F.when(F.col("new").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "new"))).alias("spans"))
@@ -178,5 +192,5 @@ def extract(docs: DataFrame, rounds: int | None = None, support: float = 3.0, pa
 
 def span_text(spans: str) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")

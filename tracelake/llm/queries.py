@@ -24,7 +24,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.span_text("base"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"))
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.span_text("base"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @query
@@ -53,8 +53,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = quality.measure(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    measured = store(measured.select("doc_id", "lang", *quality.MEASURES))
-    verdict = quality.judge(measured, quality.calibrate(measured, table(spark, sf_dir, "labels"), risk=0.02, level=0.05))
+    measured = store(quality.keyed(measured).select("doc_id", "lang", "text_key", *quality.MEASURES))
+    verdict = quality.judge(measured, quality.calibrate_joint(measured, table(spark, sf_dir, "labels"), risk=0.02, level=0.05))
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
