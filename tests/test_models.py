@@ -1,5 +1,6 @@
 """Random traces: the batch plans against small event-by-event replays, and results that do not depend on the chunk length."""
 
+import heapq
 import random
 
 import pytest
@@ -8,10 +9,11 @@ from pyspark.sql import functions as F
 from tests.util import make, rows
 from tracelake.operators import attribute, carry, entities
 from tracelake.operators.asof import asof_join
-from tracelake.operators.images import match_addresses
+from tracelake.operators.images import holding_epochs, match_addresses
 from tracelake.operators.pairing import finalised_dpcs, pair_isr_dpc, switch_gaps
 
 CHUNKS = [7, 100, 10**12]
+OPEN = (1 << 63) - 1
 GRACE = 30
 
 
@@ -193,3 +195,67 @@ def test_range_join_brute_force(spark, seed):
     ad = make(spark, "address bigint", *[(a,) for a in addresses])
     got = rows(match_addresses(ad, im), "address", "seq")
     assert sorted(got) == want
+
+
+def swept(epochs):
+    """(from, to, seq) of the holder of every stretch, by a sweep with a heap: the latest load among those that live."""
+    points = sorted({t for e in epochs for t in (e[0], e[1]) if e[0] < e[1]})
+    starts = sorted(e for e in epochs if e[0] < e[1])
+    heap, out, i = [], [], 0
+    for now, after in zip(points, points[1:], strict=False):
+        while i < len(starts) and starts[i][0] <= now:
+            start, end, base, seq = starts[i]
+            heapq.heappush(heap, (-start, -base, -seq, end))
+            i += 1
+        while heap and heap[0][3] <= now:
+            heapq.heappop(heap)
+        if heap:
+            out.append((now, after, -heap[0][2]))
+    return out
+
+
+def pieces(df):
+    """Stretches of one holder joined where they touch."""
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.address, r.valid_from)):
+        mine = out.setdefault(r.address, [])
+        if mine and mine[-1][1] == r.valid_from and mine[-1][2] == r.seq:
+            mine[-1] = (mine[-1][0], r.valid_to, r.seq)
+        else:
+            mine.append((r.valid_from, r.valid_to, r.seq))
+    return out
+
+
+def joined(stretches):
+    out = []
+    for a, b, seq in stretches:
+        if out and out[-1][1] == a and out[-1][2] == seq:
+            out[-1] = (out[-1][0], b, seq)
+        else:
+            out.append((a, b, seq))
+    return out
+
+
+@pytest.mark.parametrize("chunk_ns", [7, 10**12])
+def test_holders_of_overlapping_epochs(spark, chunk_ns):
+    """Nested, chained, equal and empty epochs, open ends and times before zero, over several addresses."""
+    rng = random.Random(9)
+    every = {}
+    for address in range(12):
+        for i in range(rng.choice([1, 2, 5, 40])):
+            start = rng.randrange(-20, 60)
+            end = rng.choice([start, start + rng.randrange(1, 60), start + 1, OPEN])
+            every.setdefault(address, []).append((start, end, rng.randrange(3), 100 * address + i))
+    values = [(a, *e) for a, es in every.items() for e in es]
+    df = make(spark, "address long, valid_from long, valid_to long, base long, seq long", *values)
+    got = pieces(holding_epochs(df, chunk_ns))
+    assert {a: joined(swept(es)) for a, es in every.items() if swept(es)} == got
+
+
+def test_many_epochs_over_one_address(spark):
+    """Twenty thousand images that all overlap, half of them nested: rows grow by the logarithm, not with the square."""
+    rng, n = random.Random(10), 20_000
+    nested = [(i, 4 * n - i, 1, i) for i in range(n // 2)]
+    epochs = nested + [(rng.randrange(4 * n), 4 * n + rng.randrange(4 * n), 2, n + i) for i in range(n // 2)]
+    df = make(spark, "address long, valid_from long, valid_to long, base long, seq long", *[(1, *e) for e in epochs])
+    assert pieces(holding_epochs(df, 1000))[1] == joined(swept(epochs))

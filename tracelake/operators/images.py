@@ -1,6 +1,6 @@
 """Address to image resolution: a range join over addresses, as-of over time."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.operators.asof import (
@@ -12,7 +12,7 @@ from tracelake.operators.asof import (
     measured,
     row_bytes,
 )
-from tracelake.operators.carry import CHUNK_NS
+from tracelake.operators.carry import CHUNK_NS, neighbour_time
 from tracelake.operators.materialise import materialise
 
 # Bucket widths as powers of two. An image is filed at the narrowest width that is at least its size, where it
@@ -55,31 +55,44 @@ def match_addresses(addresses: DataFrame, images: DataFrame) -> DataFrame:
     return probes.join(build, keys).filter(inside).drop("_bits", "_bucket", "_end")
 
 
-def holding_epochs(epochs: DataFrame) -> DataFrame:
+def holding_epochs(epochs: DataFrame, chunk_ns: int = CHUNK_NS) -> DataFrame:
     """Cut the epochs of each (host, address) so that one holds it at a time: of those live, the latest load, then the highest base and seq.
 
-    When the holder ends, an older one that still lives holds the address again. Only epochs that overlap in a chain are compared: at each start and end in the
-    chain the epochs live at it, which are as many as images lie over one address at once.
+    When the holder ends, an older one that still lives holds the address again. Addresses without an overlap stay as they are. Elsewhere every epoch is
+    filed under the binary intervals of time that make it up, at most two per power of two; of an interval only its best epoch counts; and the stretch
+    between two starts or ends looks at the intervals around it, one per power of two. So n epochs over one address, however they overlap, take some n log n rows,
+    in groups that are combined before the shuffle, and the neighbours in time are found in chunks.
     """
-    keys = ["host", "address"]
-    rank = F.struct("valid_from", "base", "seq")
-    in_order = Window.partitionBy(*keys).orderBy("valid_from", "base", "seq")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("valid_to").over(before)
-    alone = F.when(reach.isNull() | (F.col("valid_from") >= reach), 1).otherwise(0)
-    chained = epochs.filter(F.col("valid_from") < F.col("valid_to")).withColumn("_new", alone)
-    chained = chained.withColumn("_chain", F.sum("_new").over(in_order))
-    sized = chained.withColumn("_links", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_chain"))).drop("_new")
-    several = sized.filter("_links > 1").drop("_links")
-    points = several.select(*keys, "_chain", F.explode(F.array("valid_from", "valid_to")).alias("_from")).distinct()
-    stretch = Window.partitionBy(*keys, "_chain").orderBy("_from")
-    points = points.withColumn("_to", F.lead("_from").over(stretch)).filter(F.col("_to").isNotNull())
-    live = (F.col("valid_from") <= F.col("_from")) & (F.col("_from") < F.col("valid_to"))
-    held = points.join(several, [*keys, "_chain"]).filter(live).groupBy(*keys, "_from", "_to")
-    held = held.agg(F.max_by(F.struct(*epochs.columns), rank).alias("_epoch"))
+    keys, order = ["host", "address"], ["valid_from", "base", "seq"]
+    followed = neighbour_time(epochs.filter(F.col("valid_from") < F.col("valid_to")), keys, order, "_after", backward=True, chunk_ns=chunk_ns)
+    followed = materialise(followed)
+    live = followed.select(*epochs.columns)
+    mixed = followed.filter(F.col("_after") < F.col("valid_to")).select(*keys).distinct()
+    several = live.join(mixed, keys, "left_semi")
+    intervals = several.select(*keys, F.struct(*epochs.columns).alias("_epoch"), F.explode(_binary_intervals(F.col("valid_from"), F.col("valid_to"))).alias("_at"))
+    rank = F.struct(*[F.col(f"_epoch.{c}") for c in order])
+    best = materialise(intervals.groupBy(*keys, "_at.level", "_at.node").agg(F.max_by("_epoch", rank).alias("_epoch")))
+    edges = several.select(*keys, F.explode(F.array("valid_from", "valid_to")).alias("_from")).distinct()
+    stretches = neighbour_time(edges, keys, ["_from"], "_to", backward=True, chunk_ns=chunk_ns).filter(F.col("_to").isNotNull())
+    levels = sorted(r[0] for r in best.select("level").distinct().collect())  # at most 63 numbers
+    around = stretches.select("*", F.explode(F.array(*[F.lit(x) for x in levels or [0]])).alias("level"))
+    around = around.withColumn("node", F.call_function("shiftright", F.col("_from"), F.col("level")))
+    held = around.join(best, [*keys, "level", "node"]).groupBy(*keys, "_from", "_to").agg(F.max_by("_epoch", rank).alias("_epoch"))
     bounds = {"valid_from": "_from", "valid_to": "_to"}
     held = held.select(*[F.col(bounds.get(c, f"_epoch.{c}")).alias(c) for c in epochs.columns])
-    return sized.filter("_links = 1").select(*epochs.columns).unionByName(held)
+    return live.join(mixed, keys, "left_anti").select(*epochs.columns).unionByName(held)
+
+
+def _binary_intervals(start: Column, end: Column) -> Column:
+    """Array of (level, node): the intervals [node * 2^level, (node + 1) * 2^level) that make up [start, end), none twice."""
+
+    def at(level: Column) -> Column:
+        low = -F.call_function("shiftright", -start, level)
+        high = F.call_function("shiftright", end, level)
+        one = lambda node, used: F.when((low < high) & (F.abs(used % 2) == 1), F.struct(level.alias("level"), node.alias("node")))
+        return F.array(one(low, low), one(high - F.lit(1), high))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at)))
 
 
 def resolve_images(
@@ -105,5 +118,5 @@ def resolve_images(
         strategy = "broadcast" if broadcastable(epochs, keys, epochs.columns) else "scan"
     cut = epochs
     if measured(epochs, keys, epochs.columns)[1] > 1:
-        cut = holding_epochs(epochs)
+        cut = holding_epochs(epochs, chunk_ns)
     return asof_join(events, cut, keys, list(payload), chunk_ns=chunk_ns, strategy=strategy)

@@ -189,7 +189,8 @@ OWNED = StructType([
     *_longs("start_key", "expires_ns", "size", "sub_process_tag"), StructField("process_name", StringType()), *_longs("session_id", "pe_checksum"),
 ])
 EXPIRES = "owner_expires"
-_LIFECYCLE = {"process_start": 0, "process_end": 0, EXPIRES: 0, "thread_start": 0, "thread_end": 0}
+# What comes before facts of the same time: for a pid the life of its processes, for a tid that of its threads.
+_OF_PID, _OF_TID = ("process_start", "process_end"), ("thread_start", "thread_end", EXPIRES)
 
 
 _OWNED_ROW = Row(*OWNED.names)
@@ -328,12 +329,12 @@ PID_OF = {"registry_op": "header_pid"}
 TID_OF = {"cswitch": "new_tid", "disk_read": "issuing_tid", "disk_write": "issuing_tid", "disk_flush": "issuing_tid"}
 
 
-def _keyed(rows: DataFrame, key: str, of_class: dict[str, str], fields: StructType) -> DataFrame:
+def _keyed(rows: DataFrame, key: str, of_class: dict[str, str], fields: StructType, lifecycle: tuple[str, ...]) -> DataFrame:
     ident = F.col(key)
     for cls, column in of_class.items():
         if column in rows.columns:
             ident = F.when(F.col("cls") == cls, F.col(column)).otherwise(ident)
-    phase = F.when(F.col("cls").isin(*_LIFECYCLE), 0).otherwise(1).cast("bigint")
+    phase = F.when(F.col("cls").isin(*lifecycle), 0).otherwise(1).cast("bigint")
     # A state field cannot be called cls: rows of the state store are built by name, and that name is taken.
     given = {"phase": phase, "class_name": F.col("cls")}
     columns = [(given[f.name] if f.name in given else F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields.fields if f.name != key]
@@ -343,7 +344,7 @@ def _keyed(rows: DataFrame, key: str, of_class: dict[str, str], fields: StructTy
 def process_owners(events: DataFrame, delay: str, facts: list[str], grace_ns: int = GRACE_NS, slack_ns: int = THREAD_SLACK_NS) -> DataFrame:
     """A stream of ``OWNED`` rows from one of ``WIDE_EVENTS``: process and thread starts, expiries, and the ``facts`` classes, which belong to a pid."""
     rows = events.filter(F.col("cls").isin("process_start", "process_end", "thread_start", END_MARKER, *facts)).withWatermark("ts", delay)
-    shaped = _keyed(rows, "pid", PID_OF, ProcessOwners.row)
+    shaped = _keyed(rows, "pid", PID_OF, ProcessOwners.row, _OF_PID)
     owned = shaped.groupBy("host", "pid").transformWithState(ProcessOwners(grace_ns, slack_ns), OWNED, "append", "eventTime")
     return owned.withColumn("ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)))
 
@@ -357,7 +358,7 @@ def thread_owners(owned: DataFrame, events: DataFrame, delay: str, facts: list[s
     ends = events.filter(F.col("cls") == END_MARKER).select(*[(F.col(f.name) if f.name in events.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in OWNED.fields])
     starts = owned.filter(F.col("cls").isin("thread_start", EXPIRES)).unionByName(ends).withWatermark("ts", delay)
     rows = events.filter(F.col("cls").isin("thread_end", END_MARKER, *facts)).withWatermark("ts", delay)
-    shaped = _keyed(starts, "tid", {}, ThreadOwners.row).unionByName(_keyed(rows, "tid", TID_OF, ThreadOwners.row))
+    shaped = _keyed(starts, "tid", {}, ThreadOwners.row, _OF_TID).unionByName(_keyed(rows, "tid", TID_OF, ThreadOwners.row, _OF_TID))
     return shaped.groupBy("host", "tid").transformWithState(ThreadOwners(grace_ns), OWNED, "append", "eventTime")
 
 
