@@ -292,7 +292,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, pages, values, kinds = [], [], [], []
         for i, html in enumerate(batch.column("html").to_pylist()):
             page, found = subtree_hashes(html)
-            found = found or {0: 0}
+            found[0] = 0  # the page itself
             rows += [i] * len(found)
             pages += [page] * len(found)
             values += found
@@ -317,8 +317,9 @@ def templates(pages: DataFrame, min_pages: int = 10, shares: tuple[float, float,
         _hashes, "host string, page long, node long, kind int"
     )
     distinct = nodes.groupBy("host", "node", "page").agg(F.min("kind").alias("kind"))
-    counts = store(distinct.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind")).filter(F.col("n") >= min_pages))
-    totals = nodes.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    counts = distinct.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("kind"))
+    counts = store(counts.filter((F.col("n") >= min_pages) | (F.col("node") == 0)))
+    totals = counts.filter("node = 0").select("host", F.col("n").alias("all"))
     least = F.get(F.array(*[F.lit(x) for x in shares]), F.col("kind"))
     frequent = counts.join(totals, "host").filter(F.col("n") >= F.col("all") * least)
     return frequent.filter("node <> 0").groupBy(F.col("host").alias("of")).agg(F.collect_list("node").alias("template"))
