@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -163,6 +164,29 @@ def test_repeats_across_blocks(spark, monkeypatch, group):
     assert got == brute.repeats(rows)
 
 
+def test_repeats_with_full_filters(spark, monkeypatch):
+    """Filters that let everything through change no result."""
+    full = np.full(1 << (suffix_dedup.FILTER_BITS - 6), 2**64 - 1, np.uint64)
+    monkeypatch.setattr(suffix_dedup, "_filter", lambda slots, spark: spark.sparkContext.broadcast(full))
+    shared = prose(51, 40)
+    rows = [(i % 40, prose(i, 20) + " " + shared + " " + prose(i % 3, 20)) for i in range(40)] + [(50 + i, shared) for i in range(40)]
+    got = {r[0]: (*r[1:4], bytes(r[4])) for r in suffix_dedup.remove_repeats(frame(spark, *rows)).collect()}
+    assert got == brute.repeats(rows)
+
+
+def test_copies_of_a_window_are_shipped_and_compared_once():
+    shipped = {}
+    assert suffix_dedup._unshipped(shipped, [7, 7, 8, 7, 7], [5, 6, 5, 4, 4], [0, 0, 9, 3, 3]) == [0, 2, 3]
+    assert suffix_dedup._unshipped(shipped, [7, 8], [4, 5], [2, 10]) == [0]
+    window, other = b"x" * 10 + b"abcdefgh", b"y" * 10 + b"abcdefgh"
+    rows = [(window, d, 0, 1, 1, 3, 0) for d in range(1000)] + [(other, 1, 50, 1, 2, 3, 0)] + [(other, d, 0, 1, 2, 3, 0) for d in range(2, 900)]
+    names = ("raw", "doc", "pos", "blocks", "win", "anchor", "salt")
+    batches = pa.Table.from_pylist([dict(zip(names, r, strict=True)) for r in rows]).to_batches(max_chunksize=100)
+    found = [r for b in suffix_dedup._covered(8)(iter(batches)) for r in b.to_pylist()]
+    # The letters that a window repeats, and in the second one what it shares with the first; nothing of the copies.
+    assert {(r["doc"], r["pos"], r["size"]) for r in found} == {(0, 1, 9), (1, 51, 17)}
+
+
 def test_borders_equal_sorted_prefixes():
     r = random.Random(5)
     windows = [bytes(r.choice(b"ab") for _ in range(r.randrange(5, 60))) for _ in range(30)]
