@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tests.util import S, make, rows
 from tracelake.operators import attribute, entities, scrapes
+from tracelake.operators import images as images_of
 from tracelake.operators.asof import OPEN_END, asof_join
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, cumulative, histogram
 from tracelake.operators.images import resolve_images
@@ -436,3 +437,19 @@ def test_temporary_tables_are_deleted_by_their_owner(spark):
         assert inner.count() == 5
         path = inner.inputFiles()[0].removeprefix("file:").removeprefix("//")
     assert not os.path.exists(os.path.dirname(path)) and kept.count() == 3
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_large_image_tables_are_not_sent_out(spark, strategy, monkeypatch):
+    monkeypatch.setattr(images_of, "SMALL_BYTES", 0)
+    loaded = make(
+        spark, "seq bigint, base bigint, size bigint, image_name string, valid_from bigint, valid_to bigint",
+        (1, 1000, 500, "a", 0, OPEN_END), (2, 1100, 500, "b", 10, 20),
+    )
+    loaded = materialise(loaded)
+    calls = make(spark, "seq bigint, ts_ns bigint, address bigint", (5, 5, 1300), (15, 15, 1300), (20, 20, 1300))
+    matched = images_of.match_addresses(materialise(calls.select("host", "address").distinct()), loaded)
+    assert "Broadcast" not in matched._jdf.queryExecution().executedPlan().toString()
+    got = resolve_images(calls, loaded, strategy=strategy)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "seq", "image_name") == [(15, "b"), (20, "a"), (5, "a")]

@@ -3,15 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.asof import (
-    BROADCAST_BYTES,
-    BROADCAST_ROWS_PER_KEY,
-    OPEN_END,
-    asof_join,
-    broadcastable,
-    measured,
-    row_bytes,
-)
+from tracelake.operators.asof import BROADCAST_ROWS_PER_KEY, OPEN_END, asof_join, measured, row_bytes
 from tracelake.operators.carry import CHUNK_NS, neighbour_time
 from tracelake.operators.materialise import materialise
 
@@ -19,6 +11,10 @@ from tracelake.operators.materialise import materialise
 # touches two buckets at most; a distinct address looks once at every width in use.
 BUCKET_BITS = (12, 16, 20, 24, 28, 32, 62)
 
+# Images and the epochs of addresses are broadcast up to this size, measured. Hashed they take half as much again, and the driver
+# holds them more than once while it sends them out. Larger ones are merged: their files are so small that the planner would send them.
+SMALL_BYTES = 32 << 20
+
 
 def _width(size: Column) -> Column:
     width = F.lit(BUCKET_BITS[-1])
@@ -49,8 +45,8 @@ def match_addresses(addresses: DataFrame, images: DataFrame) -> DataFrame:
     widths = F.array(*[F.lit(b) for b in sorted(used) or BUCKET_BITS[:1]])
     probes = addresses.select("host", "address", F.explode(widths).alias("_bits"))
     probes = probes.withColumn("_bucket", F.call_function("shiftright", F.col("address"), F.col("_bits")))
-    small = (total or 0) <= BROADCAST_BYTES and (top or 0) <= BROADCAST_ROWS_PER_KEY
-    build = F.broadcast(filed) if small else filed
+    small = (total or 0) <= SMALL_BYTES and (top or 0) <= BROADCAST_ROWS_PER_KEY
+    build = F.broadcast(filed) if small else filed.hint("merge")
     inside = (F.col("address") >= F.col("base")) & (F.col("address") < F.col("_end"))
     return probes.join(build, keys).filter(inside).drop("_bits", "_bucket", "_end")
 
@@ -77,7 +73,7 @@ def holding_epochs(epochs: DataFrame, chunk_ns: int = CHUNK_NS) -> DataFrame:
     levels = sorted(r[0] for r in best.select("level").distinct().collect())  # at most 63 numbers
     around = stretches.select("*", F.explode(F.array(*[F.lit(x) for x in levels or [0]])).alias("level"))
     around = around.withColumn("node", F.call_function("shiftright", F.col("_from"), F.col("level")))
-    held = around.join(best, [*keys, "level", "node"]).groupBy(*keys, "_from", "_to").agg(F.max_by("_epoch", rank).alias("_epoch"))
+    held = around.join(best.hint("merge"), [*keys, "level", "node"]).groupBy(*keys, "_from", "_to").agg(F.max_by("_epoch", rank).alias("_epoch"))
     bounds = {"valid_from": "_from", "valid_to": "_to"}
     held = held.select(*[F.col(bounds.get(c, f"_epoch.{c}")).alias(c) for c in epochs.columns])
     return live.join(mixed, keys, "left_anti").select(*epochs.columns).unionByName(held)
@@ -108,15 +104,18 @@ def resolve_images(
     Routine addresses repeat, so the range join runs over distinct addresses, written once. The answer is, per
     address, a list of epochs, joined as of the event time. Where epochs overlap, the latest load
     (then the highest base) holds the address while it lives (see ``holding_epochs``). ``addresses`` may name a cheaper DataFrame that
-    holds at least the (host, address) of ``events``.
+    holds at least the (host, address) of ``events``. Epochs of more than ``SMALL_BYTES`` are scanned whatever the ``strategy``.
     """
     source = events if addresses is None else addresses
     distinct = source.select("host", "address").filter(F.col("address").isNotNull()).distinct()
     epochs = materialise(match_addresses(distinct, images))
     keys = ["host", "address"]
+    top = measured(epochs, keys, epochs.columns)[1]
     if strategy == "auto":
-        strategy = "broadcast" if broadcastable(epochs, keys, epochs.columns) else "scan"
+        strategy = "broadcast" if top <= BROADCAST_ROWS_PER_KEY else "scan"
     cut = epochs
-    if measured(epochs, keys, epochs.columns)[1] > 1:
-        cut = holding_epochs(epochs, chunk_ns)
+    if top > 1:
+        cut = materialise(holding_epochs(epochs, chunk_ns))
+    if strategy == "broadcast" and measured(cut, keys, cut.columns)[0] > SMALL_BYTES:
+        strategy = "scan"
     return asof_join(events, cut, keys, list(payload), chunk_ns=chunk_ns, strategy=strategy)
