@@ -105,3 +105,30 @@ def test_owners_equal_the_batch(spark, tmp_path, lives):
     assert rows(owned.filter("cls = 'tcp_send'"), "seq", "start_key") == rows(attribute_by_pid(sends, processes), "seq", "start_key")
     assert rows(facts, "seq", "start_key") == rows(attribute_by_tid(faults, threads), "seq", "start_key")
     assert owned.filter("cls = 'thread_start' AND start_key = 1").count() and facts.filter("start_key > 1").count()
+
+
+class _State:
+    """One state that counts the calls made to it."""
+
+    calls = 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            _State.calls += 1
+            return {"get": [], "iterator": [], "values": [], "exists": False, "containsKey": False}.get(name)
+
+        return call
+
+
+def test_a_start_asks_the_state_store_nothing():
+    """The states of a pid are read once before its rows and written once after them."""
+    owners = stateful.ProcessOwners(GRACE)
+    owners.owner, owners.threads, owners.orphans, owners.replaced = (_State() for _ in range(4))
+    owners.load()
+    before = _State.calls
+    steps = [r for i in range(50) for r in owners.step(("h", 1), (i * MS, 0, i, "process_start", 10 + i, None, None, None, "a", 0, 0))]
+    again = list(owners.step(("h", 1), (60 * MS, 0, 60, "process_start", 10, None, None, None, "a", 0, 0)))
+    assert _State.calls == before and len(steps) == 50 and again == []
+    assert list(owners.settle(("h", 1), 10**18)) == []
+    owners.save()
+    assert _State.calls <= before + 4

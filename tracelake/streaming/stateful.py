@@ -224,21 +224,30 @@ class ProcessOwners(InOrder):
     def load(self) -> None:
         self.now = self.owner.get() if self.owner.exists() else None
         self.alone = [tuple(r) for r in self.orphans.get()]
+        self.mine = [tuple(r) for r in self.threads.get()]
+        self.kept = {k[0]: until[0] for k, until in self.replaced.iterator()}
+        self.past = dict(self.kept)
 
     def save(self) -> None:
         self.owner.update(self.now) if self.now else self.owner.clear()
         self.orphans.put(self.alone) if self.alone else self.orphans.clear()
+        self.threads.put(self.mine) if self.mine else self.threads.clear()
+        for k in self.kept.keys() - self.past.keys():
+            self.replaced.removeKey((k,))
+        for k, until in self.past.items():
+            if self.kept.get(k) != until:
+                self.replaced.updateValue((k,), (until,))
 
     def step(self, key: tuple, row: tuple) -> Iterator[Row]:
         host, pid = key
         ts_ns, _, seq, cls, start_key, tid, size, tag, name, session, checksum = row
         if cls == "process_start":
-            if start_key is None or (self.now and self.now[0] == start_key) or self.replaced.containsKey((start_key,)):
+            if start_key is None or (self.now and self.now[0] == start_key) or start_key in self.past:
                 return
             if self.now:
-                self.replaced.updateValue((self.now[0],), (ts_ns + self.grace_ns,))
+                self.past[self.now[0]] = ts_ns + self.grace_ns
             self.now = (start_key, OPEN_END)
-            self.threads.clear()
+            self.mine = []
             yield _owned(host, cls, pid=pid, seq=seq, ts_ns=ts_ns, start_key=start_key, process_name=name, session_id=session, pe_checksum=checksum)
             for o in [o for o in self.alone if ts_ns - o[0] < self.slack_ns]:
                 yield self._thread(host, pid, o)
@@ -247,7 +256,7 @@ class ProcessOwners(InOrder):
             if not self.now or self.now[1] < OPEN_END or (start_key is not None and start_key != self.now[0]):
                 return
             self.now = (self.now[0], ts_ns + self.grace_ns)
-            for t in self.threads.get():
+            for t in self.mine:
                 yield _owned(host, EXPIRES, pid=pid, tid=t[0], seq=seq, ts_ns=ts_ns, start_key=self.now[0], expires_ns=self.now[1])
         elif cls == "thread_start":
             if self.now and ts_ns < self.now[1]:
@@ -259,7 +268,7 @@ class ProcessOwners(InOrder):
             yield _owned(host, cls, pid=pid, tid=tid, seq=seq, ts_ns=ts_ns, start_key=owned, size=size)
 
     def _thread(self, host: str, pid: int, row: tuple) -> Row:
-        self.threads.appendValue((row[5], row[2]))
+        self.mine.append((row[5], row[2]))
         expires = None if self.now[1] == OPEN_END else self.now[1]
         return _owned(host, "thread_start", pid=pid, tid=row[5], seq=row[2], ts_ns=row[0], start_key=self.now[0], expires_ns=expires, sub_process_tag=row[7])
 
@@ -269,12 +278,11 @@ class ProcessOwners(InOrder):
         self.alone = [o for o in self.alone if o[0] + self.slack_ns > upto_ns]
         if self.now and self.now[1] <= upto_ns:
             self.now = None
-            self.threads.clear()
-        for gone in [k for k, until in self.replaced.iterator() if until[0] <= upto_ns]:
-            self.replaced.removeKey(gone)
+            self.mine = []
+        self.past = {k: until for k, until in self.past.items() if until > upto_ns}
 
     def wake_ns(self) -> int | None:
-        times = [o[0] + self.slack_ns for o in self.alone] + [until[0] for until in self.replaced.values()]
+        times = [o[0] + self.slack_ns for o in self.alone] + list(self.past.values())
         if self.now and self.now[1] < OPEN_END:
             times.append(self.now[1])
         return min(times, default=None)
