@@ -24,7 +24,7 @@ HISTOGRAMS = {
     DURATIONS: (["image_name"], DURATION_BOUNDS_US, 1.0),
 }
 SINK = ("deltas", "histograms", "instances", "late", "restarts", "samples")
-TABLES = tuple(f"total_{t}" for t in SINK)
+TABLES = (*(f"total_{t}" for t in SINK), "work_samples")
 #: Stands before the start key in the place of a process name until the totals are read.
 INSTANCE = "\u0001"
 
@@ -186,8 +186,9 @@ def totals_as_samples(spark: SparkSession, read: Callable[[str], DataFrame | Non
 
 
 def write_scrape(carry: Carry, sink: Carry, batch_id: int, names: Iterable[str]) -> None:
-    """Add the batch to the carried totals and write the exposition text of all of them, in one file of the batch.
+    """Add the batch to the carried totals and write the exposition text of all of them, in one folder of the batch.
 
+    The lines are ranged in order over the files of the folder: one file while the text is small. No task has to hold all series.
     A batch reads the totals before it and its own rows, never the whole sink. A replay writes the same totals and the same file again.
     """
 
@@ -205,5 +206,6 @@ def write_scrape(carry: Carry, sink: Carry, batch_id: int, names: Iterable[str])
         path = carry.path(f"total_{table}", batch_id)
         return carry.spark.read.parquet(path).withColumn("batch", F.lit(batch_id)) if carry.exists(f"total_{table}", batch_id) else None
 
-    samples = totals_as_samples(carry.spark, now, list(names))
-    write_exposition(samples.coalesce(1), sink.path("exposition", batch_id))
+    # The text needs them three times: for its lines, their ranges and the TYPE lines.
+    samples = carry.write(totals_as_samples(carry.spark, now, list(names)), "work_samples", batch_id)
+    write_exposition(samples, sink.path("exposition", batch_id))

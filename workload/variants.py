@@ -306,7 +306,7 @@ _EXPOSED = [
     + [f"SELECT '# TYPE {metric} counter' AS line" for _, metric, *_ in _EXPOSED]
 ))
 def stream_exposition_text(t: Trace) -> DataFrame:
-    """The disk series of the exposition text that the last batch of a stream has left: one file, all series."""
+    """The disk series of the exposition text that the last batch of a stream has left: one folder, all series."""
     texts = t.spark.read.text(f"{_whole_run(t)}/exposition")
     last = texts.filter(F.col("batch") == texts.agg(F.max("batch")).first()[0])
     return last.select(F.col("value").alias("line")).filter(F.col("line").rlike("^(# TYPE )?disk_"))
