@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tests.util import rows
 from tracelake.operators import entities
+from tracelake.operators.asof import OPEN_END
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, LATENCY_BOUNDS_US
 from tracelake.plans import disk, interrupts, memory, network, registry_ops, threads
 from tracelake.sources.dimensions import service_dim
 from tracelake.sources.events import read_events, wide_events
 from tracelake.sources.schema import WIDE_EVENTS
-from tracelake.streaming import native
+from tracelake.streaming import native, runner
 from tracelake.streaming.runner import StreamOptions, drain, run_stream
-from tracelake.streaming.state import latest_batch
+from tracelake.streaming.state import Carry, latest_batch
 from tracelake.streaming.totals import compact, late_rows, stream_counters, stream_histograms, stream_instances
 from workload.views import CHUNK_NS, GRACE_NS, Trace
 
@@ -184,3 +185,22 @@ def test_a_host_ahead_makes_no_other_late(spark, tmp_path):
     got = stream_counters(spark, out, "disk_io_operations_total", ["disk", "operation"], per_program=False)
     assert rows(got, "operation", "value") == [("flush", 1), ("read", 0), ("write", 0)]
     assert rows(stream_counters(spark, out, "disk_read_bytes_total", ["disk"], per_program=False), "value") == [(0,)]
+
+
+def test_rows_of_one_host_stay_in_their_partitions(spark, tmp_path):
+    """A busy host's rows are many tasks' work, also before there is a clock."""
+    rows_ = spark.range(0, 400, 1, 4).select(F.lit("h").alias("host"), F.col("id").alias("ts_ns"))
+    clock = spark.createDataFrame([("h", 7)], runner._CLOCK)
+    for known in (Carry(spark, str(tmp_path)).read("clock", -1, runner._CLOCK), clock):
+        marked = runner._marked(rows_, known)
+        assert marked.select(F.spark_partition_id()).distinct().count() == 4
+        assert marked.filter(F.col("_mark") == (7 if known is clock else -OPEN_END)).count() == 400
+
+
+def test_no_slice_is_kept_in_memory(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda df, *a: kept.append(df) or df)
+    row = wide_events(spark.createDataFrame([("a", 1, 1, "hard_fault")], "host string, seq bigint, ts_ns bigint, cls string"))
+    runner.process_slice(row, 0, str(tmp_path / "carry"), str(tmp_path / "out"), StreamOptions(families=("memory",)), final=True)
+    assert kept == []
+    assert rows(stream_counters(spark, str(tmp_path / "out"), "memory_hard_pagefaults_total", [], per_program=False), "value") == [(1,)]

@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,7 +30,7 @@ from tracelake.plans.network import CLASSES as NETWORK_CLASSES
 from tracelake.sources.dimensions import service_dim
 from tracelake.sources.schema import WIDE_EVENTS
 from tracelake.streaming import exposing, scraping
-from tracelake.streaming.state import Carry, latest_batch
+from tracelake.streaming.state import Carry, empty_table, latest_batch
 
 FAMILIES = ("disk_io", "threads", "interrupts", "network", "memory", "registry")
 
@@ -43,7 +42,7 @@ _DEFAULTS = {"session_id": 0, "service_name": "", "pe_checksum": 0}
 # Families that attribute events to processes.
 _ATTRIBUTED = {"disk_io", "threads", "network", "memory", "registry"}
 _TABLES = (
-    "clock", "pending", "entities", "cpu", "work_clock", "work_instances", "work_threads", "work_processes", "work_images",
+    "clock", "pending", "entities", "cpu", "work_arrived", "work_clock", "work_instances", "work_threads", "work_processes", "work_images",
     "work_calls", "work_ordered", "work_pairs", "work_network", "work_registry", *scraping.TABLES, *exposing.TABLES,
 )
 
@@ -92,8 +91,7 @@ def run_stream(
 def drain(spark: SparkSession, checkpoint: str, out: str, options: StreamOptions = StreamOptions()) -> None:
     """Process what still waits for the watermark, once the stream has ended for good."""
     root = f"{checkpoint}/carry"
-    empty = spark.createDataFrame([], WIDE_EVENTS)
-    process_slice(empty, latest_batch(spark, root) + 1, root, out, options, final=True)
+    process_slice(empty_table(spark, WIDE_EVENTS), latest_batch(spark, root) + 1, root, out, options, final=True)
 
 
 def process_slice(
@@ -105,34 +103,34 @@ def process_slice(
     reached = carry.read("clock", previous, _CLOCK)
     marked = _marked(batch.select(*[f.name for f in WIDE_EVENTS.fields]), reached)
     arrived = carry.read("pending", previous, WIDE_EVENTS).unionByName(marked.filter(F.col("ts_ns") > F.col("_mark")).drop("_mark"))
-    arrived = arrived.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # Nothing is under way any more from a host that has been silent for the idle limit.
-        reach = F.when(F.col("cls") == "idle", F.col("ts_ns")).otherwise(F.col("ts_ns") - F.lit(options.delay_ns))
-        seen = arrived.groupBy("host").agg(F.max(reach).alias("watermark_ns"))
-        clock = seen.unionByName(reached).groupBy("host").agg(F.lit(OPEN_END) if final else F.max("watermark_ns")).toDF(*_CLOCK.names)
-        clock = carry.write(clock, "work_clock", batch_id)
-        late = marked.filter(F.col("ts_ns") <= F.col("_mark")).groupBy("host", "cls").agg(F.count(F.lit(1)).alias("rows"))
-        sink.write(late, "late", batch_id)
-        timed = _marked(arrived, clock)
-        carry.write(timed.filter(F.col("ts_ns") > F.col("_mark")).drop("_mark"), "pending", batch_id)
-        current = Slice(carry, batch_id, timed.filter(F.col("ts_ns") <= F.col("_mark")).drop("_mark"), clock, reached, options, final)
-        _write_results(current, sink, batch_id)
-        if options.scrapes is not None:
-            scraping.Scraping(current, options.scrapes).write(sink)
-        if options.exposition:
-            exposing.write_scrape(carry, sink, batch_id, options.families)
-        current.write_carry()
-        carry.write(clock, "clock", batch_id)
-        carry.forget(_TABLES, batch_id)
-    finally:
-        arrived.unpersist()
+    arrived = carry.write(arrived, "work_arrived", batch_id)
+    # Nothing is under way any more from a host that has been silent for the idle limit.
+    reach = F.when(F.col("cls") == "idle", F.col("ts_ns")).otherwise(F.col("ts_ns") - F.lit(options.delay_ns))
+    seen = arrived.groupBy("host").agg(F.max(reach).alias("watermark_ns"))
+    clock = seen.unionByName(reached).groupBy("host").agg(F.lit(OPEN_END) if final else F.max("watermark_ns")).toDF(*_CLOCK.names)
+    clock = carry.write(clock, "work_clock", batch_id)
+    late = marked.filter(F.col("ts_ns") <= F.col("_mark")).groupBy("host", "cls").agg(F.count(F.lit(1)).alias("rows"))
+    sink.write(late, "late", batch_id)
+    timed = _marked(arrived, clock)
+    carry.write(timed.filter(F.col("ts_ns") > F.col("_mark")).drop("_mark"), "pending", batch_id)
+    current = Slice(carry, batch_id, timed.filter(F.col("ts_ns") <= F.col("_mark")).drop("_mark"), clock, reached, options, final)
+    _write_results(current, sink, batch_id)
+    if options.scrapes is not None:
+        scraping.Scraping(current, options.scrapes).write(sink)
+    if options.exposition:
+        exposing.write_scrape(carry, sink, batch_id, options.families)
+    current.write_carry()
+    carry.write(clock, "clock", batch_id)
+    carry.forget(_TABLES, batch_id)
 
 
 def _marked(rows: DataFrame, clock: DataFrame) -> DataFrame:
-    """Add ``_mark``, the watermark of the row's host; a host without one is at the beginning of time."""
+    """Add ``_mark``, the watermark of the row's host; a host without one is at the beginning of time.
+
+    The clock has one short row per host. The rows stay where they are: dealt by host, all rows of a busy one would be one task's.
+    """
     of = clock.select(F.col("host").alias("_of"), F.col("watermark_ns").alias("_at"))
-    joined = rows.join(of, F.col("host").eqNullSafe(F.col("_of")), "left")
+    joined = rows.join(F.broadcast(of), F.col("host").eqNullSafe(F.col("_of")), "left")
     return joined.select(*rows.columns, F.coalesce("_at", F.lit(-OPEN_END)).alias("_mark"))
 
 
@@ -279,7 +277,8 @@ class Slice:
             return self.carry.write(rows.withColumn("ready", F.lit(True)), "work_ordered", self.batch_id)
         open_ = self.open_calls().select("host", "cpu", F.col("initial_ns").alias("_open"))
         frontier = F.least(_back(F.col("_mark"), self.options.call_limit_ns), F.coalesce("_open", F.lit(OPEN_END)))
-        marked = _marked(rows.join(open_, ["host", "cpu"], "left"), self.clock)
+        # One open call per CPU at most.
+        marked = _marked(rows.join(F.broadcast(open_), ["host", "cpu"], "left"), self.clock)
         marked = marked.withColumn("ready", F.col("initial_ns") < frontier).drop("_open", "_mark")
         return self.carry.write(marked, "work_ordered", self.batch_id)
 

@@ -7,6 +7,7 @@ reads the same input: nothing is counted twice.
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 KEEP_BATCHES = 2
@@ -30,7 +31,7 @@ class Carry:
         """The table as batch ``batch`` left it; empty before the first batch."""
         path = self.path(table, batch)
         if batch < 0 or not self.exists(table, batch):
-            return self.spark.createDataFrame([], schema)
+            return empty_table(self.spark, schema)
         return self.spark.read.schema(schema).parquet(path)
 
     def write(self, df: DataFrame, table: str, batch: int) -> DataFrame:
@@ -54,6 +55,11 @@ class Carry:
         return system.exists(location), system, location
 
 
+def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows, and known to the planner to be none: joins and unions with it cost nothing."""
+    return spark.range(0).filter(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def latest_batch(spark: SparkSession, root: str) -> int:
     """The last batch whose clock was written, -1 if none."""
     carry = Carry(spark, root)
