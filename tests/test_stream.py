@@ -12,11 +12,12 @@ from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, LAT
 from tracelake.plans import disk, interrupts, memory, network, registry_ops, threads
 from tracelake.sources.dimensions import service_dim
 from tracelake.sources.events import read_events, wide_events
+from tracelake.sources.samples import exposition
 from tracelake.sources.schema import WIDE_EVENTS
 from tracelake.streaming import native, runner
 from tracelake.streaming.runner import StreamOptions, drain, run_stream
 from tracelake.streaming.state import Carry, latest_batch
-from tracelake.streaming.totals import compact, late_rows, stream_counters, stream_histograms, stream_instances
+from tracelake.streaming.totals import compact, late_rows, stream_counters, stream_histograms, stream_instances, stream_samples
 from workload.views import CHUNK_NS, GRACE_NS, Trace
 
 DELAY_NS = 3_000_000
@@ -204,3 +205,20 @@ def test_no_slice_is_kept_in_memory(spark, tmp_path, monkeypatch):
     runner.process_slice(row, 0, str(tmp_path / "carry"), str(tmp_path / "out"), StreamOptions(families=("memory",)), final=True)
     assert kept == []
     assert rows(stream_counters(spark, str(tmp_path / "out"), "memory_hard_pagefaults_total", [], per_program=False), "value") == [(1,)]
+
+
+def test_exposition_text_is_ordered_over_files(spark, tmp_path):
+    flushes = [("a", i, i, "disk_flush", i) for i in range(40)]
+    batch = wide_events(spark.createDataFrame(flushes, "host string, seq bigint, ts_ns bigint, cls string, disk int"))
+    options = StreamOptions(families=("disk_io",), exposition=True)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        runner.process_slice(batch, 0, str(tmp_path / "carry"), str(tmp_path / "out"), options, final=True)
+    finally:
+        spark.conf.unset(name)
+    files = sorted((tmp_path / "out" / "exposition" / "batch=0").glob("part-*"))
+    lines = [line for f in files for line in f.read_text().splitlines()]
+    want = [r[0] for r in exposition(stream_samples(spark, str(tmp_path / "out"), options.families)).collect()]
+    assert len([f for f in files if f.stat().st_size]) > 1
+    assert lines == want and lines[0].startswith("# TYPE ")
