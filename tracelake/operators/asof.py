@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracelake.operators.carry import _CHUNK, CHUNK_NS, chunk_of
+from tracelake.operators.carry import _CHUNK, CHUNK_NS, chunk_of, short_keys
 
 OPEN_END = (1 << 63) - 1
 
 # A table is broadcast only up to this size, measured, and only if no key has so many rows that trying them
-# one by one for each fact would cost more than an ordered scan.
-BROADCAST_BYTES = 128 << 20
+# one by one for each fact would cost more than an ordered scan. The driver collects and hashes it alone, once per join,
+# so that larger tables are sooner scanned by all.
+BROADCAST_BYTES = 32 << 20
 BROADCAST_ROWS_PER_KEY = 64
 
 
@@ -61,13 +62,18 @@ def asof_join(
     ``epochs`` has the keys, ``valid_from``, ``valid_to``, ``seq`` and the payload. ``strategy`` is
     ``broadcast`` (interval join, facts stay in place), ``scan`` (facts and epochs are
     shuffled once by key and time chunk and merged in order), or ``auto``: broadcast if
-    measured small. ``directory`` may name a cheaper DataFrame that holds at least the (fact keys, time) of
-    ``facts``, such as the source ``facts`` was derived from. A fact with a null key matches nothing.
+    measured small, else scan, and without time chunks where no key has many rows (see ``short_keys``). ``directory`` may
+    name a cheaper DataFrame that holds at least the (fact keys, time) of ``facts``, such as the source ``facts`` was derived
+    from. A fact with a null key matches nothing.
     """
+    fact_keys = list(fact_keys or keys)
+    directory = facts if directory is None else directory
     if strategy == "auto":
         used = dict.fromkeys([*keys, "seq", "valid_from", "valid_to", *payload])
         strategy = "broadcast" if broadcastable(epochs, keys, list(used)) else "scan"
-    fact_keys = list(fact_keys or keys)
+        if strategy == "scan":
+            ids = directory.select(*[F.col(c).alias(k) for c, k in zip(fact_keys, keys)])
+            chunk_ns = None if short_keys(keys, ids, epochs.select(*keys)) else chunk_ns
     # The epoch side has the same columns whatever the facts call their keys, so joins to one table share its exchange.
     points = epochs.select(
         *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
@@ -79,7 +85,7 @@ def asof_join(
     if strategy == "broadcast":
         return _interval_join(facts, points, fact_keys, payload, fact_time)
     if strategy == "scan":
-        return _scan_join(facts, points, fact_keys, payload, fact_time, facts if directory is None else directory, chunk_ns)
+        return _scan_join(facts, points, fact_keys, payload, fact_time, directory, chunk_ns)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -103,7 +109,7 @@ def _scan_join(
     payload: Sequence[str],
     fact_time: str,
     directory: DataFrame,
-    chunk_ns: int,
+    chunk_ns: int | None,
 ) -> DataFrame:
     keys = [f"_key{i}" for i in range(len(fact_keys))]
 
@@ -119,18 +125,11 @@ def _scan_join(
         chunk_of(F.col("_from"), chunk_ns).alias(_CHUNK),
         F.struct("_to", *[f"_p_{c}" for c in payload]).alias("_at"),
     )
-    # A chunk of facts receives the last epoch of earlier chunks: its own row sorts ahead of the epochs of its chunk.
-    last = starts.groupBy(*keys, _CHUNK).agg(F.max_by("_at", F.struct("_time", "_seq")).alias("_epoch"))
-    at = [F.col(c).alias(k) for c, k in zip(fact_keys, keys)]
-    seen = directory.select(*at, chunk_of(F.col(fact_time), chunk_ns).alias(_CHUNK)).filter(keyed()).distinct()
-    listed = last.withColumn("_kind", F.lit(1)).unionByName(seen.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK, "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    received = (
-        listed.select(*keys, _CHUNK, "_kind", F.last("_epoch", ignorenulls=True).over(before).alias("_epoch"))
-        .filter((F.col("_kind") == 0) & F.col("_epoch").isNotNull())
-        .drop("_kind")
-    )
-    carried = received.select(*keys, _CHUNK, F.lit(-1).cast("tinyint").alias("_kind"), F.col("_epoch").alias("_at"))
+    carried = None
+    if chunk_ns is not None:
+        at = [F.col(c).alias(k) for c, k in zip(fact_keys, keys)]
+        seen = directory.select(*at, chunk_of(F.col(fact_time), chunk_ns).alias(_CHUNK)).filter(keyed()).distinct()
+        carried = _carried(starts, seen, keys)
     # Facts without a key or a time match nothing; their rows spread over as many window partitions as they have hashes.
     spread = F.xxhash64(*[c for c in dict.fromkeys((*fact_keys, fact_time, "seq", "start_key")) if c in facts.columns])
     present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*fact_keys, fact_time)])
@@ -142,7 +141,9 @@ def _scan_join(
         F.lit(1).cast("tinyint").alias("_kind"),
         F.when(present, chunk_of(F.col(fact_time), chunk_ns)).otherwise(spread).alias(_CHUNK),
     )
-    rows = probes.unionByName(starts, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    rows = probes.unionByName(starts, allowMissingColumns=True)
+    if carried is not None:
+        rows = rows.unionByName(carried, allowMissingColumns=True)
     # The carried epoch has no time and comes first; at equal times an epoch precedes the facts.
     upto = Window.partitionBy(*keys, _CHUNK).orderBy(F.col("_time").asc_nulls_first(), "_kind", "_seq")
     upto = upto.rowsBetween(Window.unboundedPreceding, 0)
@@ -153,3 +154,16 @@ def _scan_join(
         *[F.col(back.get(c, c)).alias(c) for c in facts.columns],
         *[F.when(live, F.col(f"_epoch._p_{c}")).alias(c) for c in payload],
     )
+
+
+def _carried(starts: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The last epoch of earlier chunks for each (key, chunk) in ``seen``: its own row sorts ahead of the epochs of its chunk."""
+    last = starts.groupBy(*keys, _CHUNK).agg(F.max_by("_at", F.struct("_time", "_seq")).alias("_epoch"))
+    listed = last.withColumn("_kind", F.lit(1)).unionByName(seen.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    before = Window.partitionBy(*keys).orderBy(_CHUNK, "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    received = (
+        listed.select(*keys, _CHUNK, "_kind", F.last("_epoch", ignorenulls=True).over(before).alias("_epoch"))
+        .filter((F.col("_kind") == 0) & F.col("_epoch").isNotNull())
+        .drop("_kind")
+    )
+    return received.select(*keys, _CHUNK, F.lit(-1).cast("tinyint").alias("_kind"), F.col("_epoch").alias("_at"))

@@ -10,9 +10,13 @@ window partitions are ``(key, chunk)``:
 3. that value enters the chunk as one extra leading row, and a window inside the chunk finishes.
 
 Rows are shuffled once. Results do not depend on the chunk length.
+
+With many short sequences the chunks only add rows: where no key has more than ``KEY_ROWS`` (see :func:`short_keys`), a scan may
+take each sequence as one (``chunk_ns=None``).
 """
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,12 +25,22 @@ from tracelake.functions.units import NS_PER_S, whole
 
 CHUNK_NS = 10 * NS_PER_S
 
+#: So many rows of a key are scanned in one piece at most.
+KEY_ROWS = 200_000
+
 _CHUNK = "_chunk"
 _REAL = "_real"
 
 
-def chunk_of(time: Column, chunk_ns: int) -> Column:
-    return whole(time, chunk_ns)
+def chunk_of(time: Column, chunk_ns: int | None) -> Column:
+    return F.lit(0).cast("bigint") if chunk_ns is None else whole(time, chunk_ns)
+
+
+def short_keys(keys: Sequence[str], *tables: DataFrame) -> bool:
+    """Has no key more than ``KEY_ROWS`` rows in the tables together? One aggregate job; null keys do not count."""
+    counts = [t.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) for t in tables]
+    per_key = reduce(DataFrame.unionByName, counts).groupBy(*keys).agg(F.sum("n").alias("n"))
+    return (per_key.agg(F.max("n")).first()[0] or 0) <= KEY_ROWS
 
 
 def _received(handed: DataFrame, keys: Sequence[str], outs: Sequence[str], backward: bool) -> DataFrame:
@@ -48,7 +62,7 @@ def _any_set(columns: Sequence[str]) -> Column:
 
 def _finish(
     rows: DataFrame,
-    received: DataFrame,
+    received: DataFrame | None,
     keys: Sequence[str],
     order: Sequence[str],
     outs: Sequence[str],
@@ -56,10 +70,12 @@ def _finish(
     inclusive: bool,
 ) -> DataFrame:
     """Rows hold ``_in_<out>`` values; add ``<out>`` by a scan inside each chunk."""
-    extra = received.select(
-        *keys, _CHUNK, *[F.col(o).alias(f"_in_{o}") for o in outs], F.lit(0).cast("tinyint").alias(_REAL)
-    )
-    merged = rows.withColumn(_REAL, F.lit(1).cast("tinyint")).unionByName(extra, allowMissingColumns=True)
+    merged = rows.withColumn(_REAL, F.lit(1).cast("tinyint"))
+    if received is not None:
+        extra = received.select(
+            *keys, _CHUNK, *[F.col(o).alias(f"_in_{o}") for o in outs], F.lit(0).cast("tinyint").alias(_REAL)
+        )
+        merged = merged.unionByName(extra, allowMissingColumns=True)
     positions = [F.col(c).desc_nulls_last() if backward else F.col(c).asc_nulls_first() for c in order]
     upto = Window.partitionBy(*keys, _CHUNK).orderBy(F.col(_REAL), *positions)
     upto = upto.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -75,7 +91,7 @@ def fill(
     *,
     backward: bool = False,
     inclusive: bool = False,
-    chunk_ns: int = CHUNK_NS,
+    chunk_ns: int | None = CHUNK_NS,
 ) -> DataFrame:
     """Add, for each ``out -> value``, the nearest non-null value before the row (after it, if backward).
 
@@ -85,6 +101,8 @@ def fill(
     chunked = rows.select(
         "*", chunk_of(F.col(order[0]), chunk_ns).alias(_CHUNK), *[values[o].alias(f"_in_{o}") for o in outs]
     )
+    if chunk_ns is None:
+        return _finish(chunked, None, keys, order, outs, backward, inclusive)
     pick = F.min_by if backward else F.max_by
     place = F.struct(*[F.col(c) for c in order])
     handed = chunked.groupBy(*keys, _CHUNK).agg(

@@ -81,12 +81,12 @@ def process_intervals(
     )
 
 
-def _followed(starts: DataFrame, ends: DataFrame | None, id_column: str, chunk_ns: int) -> DataFrame:
+def _followed(starts: DataFrame, ends: DataFrame | None, id_column: str, chunk_ns: int | None) -> DataFrame:
     """Add to each start of an id: ``next_ns`` (its next start, or OPEN_END) and ``end_ns`` (its first end before that)."""
     at = F.struct("ts_ns", "seq")
     keys, order = ["host", id_column], ["ts_ns", "seq"]
     if ends is None:
-        timed = neighbour_time(starts, keys, order, "next_ns", backward=True, chunk_ns=chunk_ns)
+        timed = neighbour_time(starts, keys, order, "next_ns", backward=True, chunk_ns=CHUNK_NS if chunk_ns is None else chunk_ns)
         end = F.lit(None).cast("bigint")
     else:
         rows = starts.withColumn("_start", F.lit(True)).unionByName(
@@ -112,19 +112,21 @@ def thread_intervals(
     grace_ns: int = GRACE_NS,
     slack_ns: int = THREAD_SLACK_NS,
     chunk_ns: int = CHUNK_NS,
+    short_tids: bool = False,
 ) -> DataFrame:
     """Which process instance each tid belongs to, over time.
 
     ``starts``: host, seq, ts_ns, pid, tid, sub_process_tag. ``ends``: host, seq, ts_ns, tid.
     A thread belongs to the process that owns its pid at its start; if there is none, to the one that starts
     on the pid less than ``slack_ns`` later, else to the unknown process. A tid stays mapped
-    until it starts again, ``grace_ns`` after the thread ended, or when its process expires.
+    until it starts again, ``grace_ns`` after the thread ended, or when its process expires. ``short_tids``: no tid has many rows
+    (see ``short_keys``), so they are not cut into chunks.
     """
     tags = F.col("sub_process_tag") if "sub_process_tag" in starts.columns else F.lit(0)
     known = [c for c in ("known_next_ns", "known_end_ns", "known_start_key") if c in starts.columns]
     rows = starts.select("host", "tid", "ts_ns", "seq", "pid", tags.cast("bigint").alias("sub_process_tag"), *known)
     owned = asof_join(
-        _followed(rows, ends, "tid", chunk_ns), _owners(processes, slack_ns, chunk_ns), ["host", "pid"], ["start_key", "expires_ns"],
+        _followed(rows, ends, "tid", None if short_tids else chunk_ns), _owners(processes, slack_ns, chunk_ns), ["host", "pid"], ["start_key", "expires_ns"],
         chunk_ns=chunk_ns, directory=starts.select("host", "pid", "ts_ns"),
     )
     if known:

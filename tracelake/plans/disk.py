@@ -8,6 +8,10 @@ from tracelake.operators.attribute import attribute_disk, known_only
 from tracelake.plans.rollup import rollup_programs
 
 
+#: What the totals and the series per program read of an event.
+COLUMNS = ("host", "ts_ns", "disk", "operation", "size", "header_pid", "issuing_tid")
+
+
 def disk_totals(events: DataFrame) -> DataFrame:
     """Per (host, disk): counts and bytes by direction. ``events``: host, disk, operation, size."""
     read, written = F.col("operation") == "read", F.col("operation") == "write"

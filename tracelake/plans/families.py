@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.names import FIRST_REGISTRY_OPCODE, REGISTRY_OPS
 from tracelake.operators import entities
-from tracelake.operators.carry import CHUNK_NS
+from tracelake.operators.carry import CHUNK_NS, short_keys
 from tracelake.operators.histogram import DURATION_BOUNDS_US, GAP_BOUNDS_MS, LATENCY_BOUNDS_US
 from tracelake.operators.materialise import materialise
 from tracelake.operators.pairing import finalised_dpcs
@@ -45,21 +45,27 @@ class Switches:
 class Context:
     """Events by class, with the entity tables and dimensions derived from them.
 
-    ``typed`` maps class names to DataFrames of typed rows; ``wide`` holds typed rows of any classes
-    (``WIDE_EVENTS``); classes in neither are decoded from ``raw``.
+    ``typed`` maps class names to DataFrames of typed rows, ``mixed`` several names to one DataFrame with ``cls``, which is then
+    scanned once for all of them; ``wide`` holds typed rows of any classes (``WIDE_EVENTS``); classes in none are decoded from ``raw``.
     """
 
     raw: DataFrame | None = None
     wide: DataFrame | None = None
     typed: Mapping[str, DataFrame] = field(default_factory=dict)
     switches: Switches = field(default_factory=Switches)
+    mixed: Mapping[tuple[str, ...], DataFrame] = field(default_factory=dict)
     grace_ns: int = entities.GRACE_NS
     chunk_ns: int = CHUNK_NS
 
     def events(self, *classes: str) -> DataFrame:
         """Rows of the classes, with ``cls``; one scan of the raw events for all classes not given as typed tables."""
-        given = [self.typed[c].withColumn("cls", F.lit(c)) for c in classes if c in self.typed]
-        rest = [c for c in classes if c not in self.typed]
+        given, rest = [], list(classes)
+        for names, df in self.mixed.items():
+            if picked := [c for c in rest if c in names]:
+                given.append(df.filter(F.col("cls").isin(*picked)))
+                rest = [c for c in rest if c not in names]
+        given += [self.typed[c].withColumn("cls", F.lit(c)) for c in rest if c in self.typed]
+        rest = [c for c in rest if c not in self.typed]
         if self.wide is not None and rest:
             given.append(self.wide.filter(F.col("cls").isin(*rest)))
             rest = []
@@ -70,7 +76,7 @@ class Context:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def has(self, cls: str) -> bool:
-        return cls in self.typed or self.wide is not None or (self.raw is not None and cls in LAYOUTS)
+        return cls in self.typed or any(cls in names for names in self.mixed) or self.wide is not None or (self.raw is not None and cls in LAYOUTS)
 
     @property
     def options(self) -> dict:
@@ -85,8 +91,10 @@ class Context:
 
     @cached_property
     def threads(self) -> DataFrame:
+        starts, ends = self.events("thread_start"), self.events("thread_end")
         plan = entities.thread_intervals(
-            self.events("thread_start"), self.events("thread_end"), self._instances, self.grace_ns, chunk_ns=self.chunk_ns
+            starts, ends, self._instances, self.grace_ns, chunk_ns=self.chunk_ns,
+            short_tids=short_keys(["host", "tid"], starts.select("host", "tid"), ends.select("host", "tid")),
         )
         return materialise(plan)
 
@@ -183,15 +191,19 @@ _THREADS = (*_LIFECYCLE, "thread_start", "thread_end")
 
 
 def _disk(c: Context) -> DataFrame:
+    # The attribution looks at the events many times over; they are decoded once.
+    events = c.disk_events
+    if c.switches.per_process:
+        events = materialise(events.select(*[x for x in disk.COLUMNS if x in events.columns]))
     # One pass over the facts per aggregate; the series below read its few rows.
-    totals = materialise(disk.disk_totals(c.disk_events))
+    totals = materialise(disk.disk_totals(events))
     parts = [
         to_samples(disk.operations_of(totals), "disk_io_operations_total", ["disk", "operation"], "value"),
         to_samples(totals, "disk_read_bytes_total", ["disk"], "read_bytes"),
         to_samples(totals, "disk_written_bytes_total", ["disk"], "written_bytes"),
     ]
     if c.switches.per_process:
-        moved = materialise(c.programs(disk.disk_by_program(c.disk_events, c.threads, c.processes, **c.options)))
+        moved = materialise(c.programs(disk.disk_by_program(events, c.threads, c.processes, **c.options)))
         labels = [*LABELS, "disk"]
         parts.append(to_samples(moved, "disk_process_io_operations_total", [*labels, "operation"], "operations"))
         for operation, metric in (("read", "disk_process_read_bytes_total"), ("write", "disk_process_written_bytes_total")):
@@ -252,7 +264,12 @@ def _interrupts(c: Context) -> DataFrame:
 
 def _network(c: Context) -> DataFrame:
     events, s = c.events(*network.CLASSES), c.switches
-    all_moved = materialise(network.network_bytes(events, c.processes, **c.options))
+    known = None
+    if s.connection_stats or s.retransmissions:
+        # Several series: events are decoded once, and their owners are looked up once.
+        events = materialise(network.narrow(events))
+        known = materialise(network.known_traffic(events, c.processes, **c.options))
+    all_moved = materialise(network.network_bytes(events, c.processes, known=known, **c.options))
     moved = c.programs(all_moved)
     by_protocol = [*LABELS, "protocol"]
     parts = [
@@ -268,7 +285,7 @@ def _network(c: Context) -> DataFrame:
             to_samples(drop_zero(totals, "received_bytes"), "network_received_bytes_total", ["protocol"], "received_bytes")
         )
     if s.connection_stats:
-        made = materialise(c.programs(network.connections(events, c.processes, **c.options)))
+        made = materialise(c.programs(network.connections(events, c.processes, known=known, **c.options)))
         failed = c.programs(network.connections_failed(events, c.processes, **c.options))
         parts += [
             to_samples(drop_zero(made, "attempted"), "network_process_connections_attempted_total", by_protocol, "attempted"),
@@ -276,7 +293,7 @@ def _network(c: Context) -> DataFrame:
             to_samples(failed, "network_connections_failed_total", [*by_protocol, "address_family", "failure_code"], "value"),
         ]
     if s.retransmissions:
-        again = c.programs(network.retransmissions(events, c.processes, **c.options))
+        again = c.programs(network.retransmissions(events, c.processes, known=known, **c.options))
         parts.append(to_samples(again, "network_process_retransmissions_total", LABELS, "value"))
     return _all(parts)
 

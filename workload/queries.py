@@ -741,7 +741,7 @@ ALL_SAMPLES = "\nUNION ALL ".join([
 @query(ALL_SAMPLES)
 def all_family_samples(t: Trace) -> DataFrame:
     """Every family that the views can feed, with all switches on except per-driver series."""
-    context = t.context(per_cpu=True, by_protocol=True, connection_stats=True, retransmissions=True)
+    context = t.parsed_once().context(per_cpu=True, by_protocol=True, connection_stats=True, retransmissions=True)
     names = ["disk_io", "system", "threads", "interrupts", "network", "memory", "registry", "process"]
     return flat(samples(context, names))
 

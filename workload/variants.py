@@ -56,8 +56,9 @@ def event_source(t: Trace) -> DataFrame:
 @query(ALL_SAMPLES)
 def wide_family_samples(t: Trace) -> DataFrame:
     """The families over one table of typed rows, where columns a class does not have are null."""
-    given = t.context(per_cpu=True, by_protocol=True, connection_stats=True, retransmissions=True)
-    wide = reduce(DataFrame.unionByName, [wide_events(df.withColumn("cls", F.lit(c))) for c, df in given.typed.items()])
+    given = t.parsed_once().context(per_cpu=True, by_protocol=True, connection_stats=True, retransmissions=True)
+    apart = [df.withColumn("cls", F.lit(c)) for c, df in given.typed.items() if not any(c in several for several in given.mixed)]
+    wide = reduce(DataFrame.unionByName, [wide_events(df) for df in (*apart, *given.mixed.values())])
     context = Context(wide=wide, switches=given.switches, grace_ns=given.grace_ns, chunk_ns=given.chunk_ns)
     return flat(samples(context, ["disk_io", "system", "threads", "interrupts", "network", "memory", "registry", "process"]))
 

@@ -5,6 +5,7 @@ stands for one microsecond; ``ts_ns`` is that in nanoseconds.
 """
 
 from collections.abc import Iterator
+from copy import copy
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,28 +26,56 @@ GRACE_NS = 30_000
 CHUNK_NS = 50_000_000
 DAY_NS = 86_400 * 1_000
 IMAGE_SPACING = 4096
-
+#: The event types that stand for classes.
+EVENT_TYPES = ("click", "view", "purchase", "signup", "error")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def kernel(events: DataFrame) -> DataFrame:
+def _time_ns() -> Column:
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_US)
+    return (whole(micros, 1_000_000) * 1000).alias("ts_ns")
+
+
+def kernel(events: DataFrame) -> DataFrame:
+    measure, size = F.get_json_object("props", "$.k"), F.round(F.col("value") * 100)
+    return _kernel_rows(events.select("event_id", "user_id", "event_type", _time_ns(), measure.cast("bigint").alias("k"), size.cast("bigint").alias("size")))
+
+
+def _kernel_rows(events: DataFrame) -> DataFrame:
     return events.select(
         F.lit(HOST).alias("host"),
         F.col("event_id").alias("seq"),
-        (whole(micros, 1_000_000) * 1000).alias("ts_ns"),
+        "ts_ns",
         (F.col("user_id") % 8).cast("int").alias("cpu"),
         F.col("user_id").alias("tid"),
         (F.col("user_id") % 40 + 4).alias("pid"),
         "event_type",
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        F.round(F.col("value") * 100).cast("bigint").alias("size"),
+        "k",
+        "size",
     )
 
 
+def kernel_once(events: DataFrame) -> DataFrame:
+    """The rows of ``kernel`` of all types that stand for classes, parsed once and written by type.
+
+    A number that does not parse, or that no class of the type has, is left as it came: it costs, or fails, only the plans that look at it.
+    """
+    kind = F.col("event_type")
+    measure, size = F.get_json_object("props", "$.k"), F.round(F.col("value") * 100)
+    read = events.filter(kind.isin(*EVENT_TYPES)).select(
+        "event_id", "user_id", "event_type", _time_ns(), "props", "value",
+        F.when(kind != "error", measure.try_cast("bigint")).alias("k"),
+        F.when(kind.isin("view", "purchase"), size.try_cast("bigint")).alias("size"),
+    )
+    rest = [F.when(F.col(n).isNull(), F.col(c)).alias(c) for n, c in (("k", "props"), ("size", "value"))]
+    written = materialise(read.select("event_id", "user_id", "event_type", "ts_ns", "k", "size", *rest), by=["event_type"])
+    numbers = [F.coalesce("k", measure.cast("bigint")).alias("k"), F.coalesce("size", size.cast("bigint")).alias("size")]
+    return _kernel_rows(written.select("event_id", "user_id", "event_type", "ts_ns", *numbers))
+
+
 class Trace:
     """The event classes and entities of one scale factor."""
 
@@ -59,6 +88,15 @@ class Trace:
     def read_events(self) -> DataFrame:
         return table(self.spark, self.sf_dir, "events")
 
+    def parsed_once(self) -> "Trace":
+        """The same trace over events parsed once and written by type, for queries that look at many classes many times.
+
+        Events of types that no class has are not in it.
+        """
+        once = copy(self)
+        once.k = kernel_once(self.read_events())
+        return once
+
     def _of(self, event_type: str) -> DataFrame:
         return self.k.filter(F.col("event_type") == event_type)
 
@@ -232,7 +270,11 @@ class Trace:
             **{f"disk_{op}": self.disk.filter(F.col("operation") == op).select(moves.columns) for op in ("read", "write", "flush")},
             **{c: self.network.filter(F.col("cls") == c) for c in network.CLASSES},
         }
-        return Context(typed=typed, switches=Switches(**switches), grace_ns=GRACE_NS, chunk_ns=CHUNK_NS)
+        mixed = {
+            ("disk_read", "disk_write", "disk_flush"): self.disk.withColumn("cls", F.concat(F.lit("disk_"), "operation")).drop("operation"),
+            network.CLASSES: self.network,
+        }
+        return Context(typed=typed, mixed=mixed, switches=Switches(**switches), grace_ns=GRACE_NS, chunk_ns=CHUNK_NS)
 
     @property
     def disk_payloads(self) -> DataFrame:
